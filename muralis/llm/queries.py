@@ -27,9 +27,23 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from muralis.llm.quality import quality
+
+    return quality(table(spark, sf_dir, "documents"))
+
+
+def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from muralis.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_records": op1_token_records,
     "op7_token_counts": op7_token_counts,
+    "op8_quality_rules": op8_quality_rules,
+    "op10_source_mix": op10_source_mix,
 }
 
 ORACLE_SQL: dict[str, str] = {}
