@@ -21,6 +21,12 @@ def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from muralis.llm.decontam import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from muralis.llm.bpe_count import token_counts
 
@@ -41,6 +47,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_records": op1_token_records,
+    "op5_decontamination": op5_decontamination,
     "op7_token_counts": op7_token_counts,
     "op8_quality_rules": op8_quality_rules,
     "op10_source_mix": op10_source_mix,
