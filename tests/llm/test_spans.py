@@ -1,0 +1,105 @@
+"""Personal data and secrets against brute force."""
+
+import hashlib
+import random
+import re
+
+import pytest
+
+from muralis.llm.pii import KINDS, personal_data
+from muralis.llm.secret_scan import BASE_RULES, MORE_RULES, secrets, trigram_query
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+
+
+def digits(x):
+    return re.sub("[^0-9]", "", x)
+
+
+def luhn(d):
+    return sum(sum(divmod(2 * int(c), 10)) if i % 2 else int(c) for i, c in enumerate(reversed(d))) % 10 == 0
+
+
+def base_personal(t):
+    out = {"email": [m for m in EMAIL.finditer(t)], "ip": [m for m in IP.finditer(t) if all(int(x) <= 255 for x in m[0].split("."))]}
+    out["card"] = [m for m in CARD.finditer(t) if 14 <= len(digits(m[0])) <= 19 and luhn(digits(m[0]))]
+    out["phone"] = [m for m in PHONE.finditer(t) if 10 <= len(digits(m[0])) <= 15]
+    return out
+
+
+def base_secret(t):
+    return {
+        "assign": [m for m in ASSIGN.finditer(t) if len(m[2]) >= 12],
+        "access": [m for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 18],
+        "hex": [m for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 16],
+    }
+
+
+def digest(found):
+    spans = sorted((m.start(), k, m.end(), kind) for k, (kind, ms) in enumerate(found.items()) for m in ms)
+    return hashlib.sha256(",".join(f"{k}:{s}:{e}" for s, _, e, k in spans).encode()).hexdigest()
+
+
+FIXED = [
+    None, "", "a@b.com_foo@c.d x@y..z q@w.e-f", "1.2.3.4.5.6.7.8 0255.1.1.1 256.1.1.1 00000000000000000001.2.3.4",
+    "4111 1111 1111 1111 4111-1111-1111-1111 4111111111111111 41111111111111112222", "+1 (389) 555-5010 ++49 30 1234567) +12345678901234567",
+    "é\U0001f600 mail é@ü.com  a@b.co  x@y.z", "1 " * 40_000, "a.b" * 30_000 + "@" + "c." * 30_000 + "d", "9" * 100_000, "+" * 1000 + "1" * 50,
+    'PassWord = "abcdefghijkl" api_key:x apikey=ABCDEFGHIJKLMNOP toKen=abcdefghijklmnop ſecret=abcdefghijklmnop', "AKIAABCDEFGHIJKLMN AKIA", "0123456789abcdef0 0123456789abcde",
+]
+
+
+@pytest.fixture(scope="module")
+def texts():
+    rng = random.Random(7)
+    alphabet = ["1", "2", "40", "255", ".", "-", " ", "+", "(", ")", "@", "a", "Z", "é", "_", "%", "token", "=", '"', "AKIA", "dead", "beef", "\n", "123456789012", "4111111111111111"]
+    return FIXED + ["".join(rng.choice(alphabet) for _ in range(rng.randint(1, 60))) for _ in range(1500)]
+
+
+def test_personal_data_against_brute_force(spark, texts):
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, rk string")
+    got = {r.doc_id: r for r in personal_data(docs).collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        want = base_personal(t or "")
+        assert tuple(got[i][f"n_{k}"] for k in KINDS) == tuple(len(want[k]) for k in KINDS), (i, (t or "")[:80])
+        assert got[i].base_sha256 == digest(want)
+
+
+def test_contexts_discover_unseen_identifiers(spark):
+    rows = [(i, f"words here reachable at +1 (389) 555-50{i:02d} and more words") for i in range(20)]
+    rows += [(100, "he was reachable at 389-55-7712 then"), (101, "he counted up to 389-55-7713 then"), (101, "again 389-55-7713")]
+    got = {}
+    for r in personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(r.doc_id, []).append((r.n_other, r.spans))
+    assert got[100] == [(1, "other:20:31")]
+    assert sorted(got[101]) == [(0, ""), (0, "")]
+
+
+def test_personal_data_of_nothing(spark):
+    assert personal_data(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_secrets_against_brute_force(spark, texts):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r for r in secrets(docs).collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        want = base_secret(t or "")
+        assert tuple(got[i][f"n_{k}"] for k in want) == tuple(map(len, want.values())), (i, (t or "")[:80])
+        assert got[i].base_sha256 == digest(want)
+
+
+def test_trigram_queries():
+    assert trigram_query("[0-9a-f]+") == ("all",)
+    assert trigram_query("ab") == ("all",)
+    assert trigram_query("AKIA[A-Z0-9]+")[0] == "and"
+    assert trigram_query(BASE_RULES[0].pattern)[0] == "or"
+    assert all(trigram_query(r.pattern) != ("all",) for r in MORE_RULES)
+
+
+def test_secrets_of_nothing(spark):
+    assert secrets(spark.createDataFrame([], "doc_id long, text string")).collect() == []
