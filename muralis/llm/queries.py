@@ -22,6 +22,12 @@ def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from muralis.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("rk")
+
+
 def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from muralis.llm.pii import personal_data
 
@@ -67,6 +73,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_records": op1_token_records,
+    "op2_near_duplicates": op2_near_duplicates,
     "op4_personal_data": op4_personal_data,
     "op5_decontamination": op5_decontamination,
     "op6_secret_scan": op6_secret_scan,
