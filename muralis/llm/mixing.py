@@ -23,10 +23,10 @@ from collections.abc import Iterable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from muralis.llm.common import stash
+from muralis.llm.common import row_key, stash
 
 #: A word of a text (fixed pattern).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -113,12 +113,23 @@ def _fly(seed: int, level: int, last: bool, spare: int = 12):
     return run
 
 
-def mix(docs: DataFrame, weights: Iterable[float] = (5.0, 2.0, 1.0), share: float = 1.5, cap: float = 2.0, block: int = 4096, seed: int = 20) -> DataFrame:
+def resample(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs``, each as many times as the mix takes it; rows without words go.  Equal rows share
+    their copies."""
+    taken = mix(docs, key=True, **options).filter("size > 0 and taken > 0").groupBy("rk").agg(F.sum(F.expr("taken div size")).alias("_copies"), F.count("*").alias("_rows"))
+    rows = docs.withColumn("rk", row_key("doc_id", "text", "source")).join(taken, "rk")
+    # equal rows stand alike: the first copies // rows of each, and what is left by their order
+    nth = F.when(F.col("_rows") > 1, F.row_number().over(Window.partitionBy("rk").orderBy("doc_id")) - 1).otherwise(F.lit(0))
+    rows = rows.withColumn("_n", F.expr("_copies div _rows") + (nth < F.col("_copies") % F.col("_rows")).cast("long"))
+    return rows.filter("_n > 0").withColumn("_i", F.explode(F.expr("sequence(1, cast(_n as int))"))).select(*docs.columns)
+
+
+def mix(docs: DataFrame, weights: Iterable[float] = (5.0, 2.0, 1.0), share: float = 1.5, cap: float = 2.0, block: int = 4096, seed: int = 20, key: bool = False) -> DataFrame:
     """``(doc_id, size, source_size, target, taken)`` for each row of ``docs(doc_id, text, source)``; weights
-    repeat over the sources in code point order, null last."""
+    repeat over the sources in code point order, null last.  ``key`` adds the row's key, ``rk``."""
     cycle = list(weights)
     sized = stash(
-        docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count(F.col("text").cast("string")).alias("size"))
+        docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), row_key("doc_id", "text", "source").alias("rk"), word_count(F.col("text").cast("string")).alias("size"))
         .withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "size", F.col("source"))), "mix")
     # one row for each source: a mixture lists its sources by hand, so they fit a driver
     stats = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")).collect()
@@ -128,8 +139,8 @@ def mix(docs: DataFrame, weights: Iterable[float] = (5.0, 2.0, 1.0), share: floa
         [(i, r.source, int(r.source_size), float(t), t / r.source_size if r.source_size else 0.0, -(-int(r.n) // block)) for i, (r, t) in enumerate(zip(stats, goal, strict=True))],
         "sid int, source string, source_size long, target double, ratio double, blocks long")
     rows = sized.join(F.broadcast(plan), sized["source"].eqNullSafe(plan["source"])).select(
-        "doc_id", "size", "h", "sid", "source_size", "target", F.floor("ratio").cast("long").alias("copies"), (F.col("ratio") - F.floor("ratio")).alias("p"), "blocks")
-    schema = "doc_id long, size long, h long, sid int, source_size long, target double, copies long, p double, blocks long"
+        "doc_id", "rk", "size", "h", "sid", "source_size", "target", F.floor("ratio").cast("long").alias("copies"), (F.col("ratio") - F.floor("ratio")).alias("p"), "blocks")
+    schema = "doc_id long, rk long, size long, h long, sid int, source_size long, target double, copies long, p double, blocks long"
     certain, level, done = (F.col("p") == 0) | (F.col("p") == 1) | (F.col("size") == 0), 0, []
     done.append(rows.filter(certain).withColumn("p", F.lit(0.0)))
     rows = rows.filter(~certain)
@@ -149,4 +160,4 @@ def mix(docs: DataFrame, weights: Iterable[float] = (5.0, 2.0, 1.0), share: floa
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("copies") + F.col("p").cast("long"))).alias("taken"))
+    return out.select(*["rk"] * key, "doc_id", "size", "source_size", "target", (F.col("size") * (F.col("copies") + F.col("p").cast("long"))).alias("taken"))
