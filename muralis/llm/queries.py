@@ -28,6 +28,12 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).drop("rk")
 
 
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from muralis.llm.html_extract import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from muralis.llm.pii import personal_data
 
@@ -74,6 +80,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_records": op1_token_records,
     "op2_near_duplicates": op2_near_duplicates,
+    "op3_main_text": op3_main_text,
     "op4_personal_data": op4_personal_data,
     "op5_decontamination": op5_decontamination,
     "op6_secret_scan": op6_secret_scan,
