@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ("scans", "joins")
+_MODULES = ("scans", "joins", "verification")
 
 
 def query(name: str, sql: str | None = None):
