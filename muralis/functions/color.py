@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: sRGB to XYZ under D65 and its inverse, Bradford cone response, white points (fixed values).
@@ -51,16 +51,48 @@ def xyz_to_lab(xyz: Triple) -> Triple:
     return 116 * f[1] - 16, 500 * (f[0] - f[1]), 200 * (f[1] - f[2])
 
 
-def lab_to_srgb(lab: Triple) -> Triple:
+# Chains of these functions are built as steps of a DataFrame, each over plain columns: nested in one expression,
+# every use of an intermediate would repeat its whole tree.
+
+
+def steps(df: DataFrame, start: Triple, functions: list, out: tuple[str, str, str]) -> DataFrame:
+    """``df`` with columns ``out``: ``start`` taken through ``functions`` from triple to triple, one after another."""
+    own = df.columns
+    names = ("_0", "_1", "_2")
+    df = df.withColumns(dict(zip(names, start, strict=True)))
+    for f in functions:
+        df = df.withColumns(dict(zip(names, f(tuple(F.col(n) for n in names)), strict=True)))
+    return df.select(*[c for c in own if c not in out], *[F.col(n).alias(o) for n, o in zip(names, out, strict=True)])
+
+
+def each(f):
+    return lambda v: tuple(f(c) for c in v)
+
+
+def with_lab(df: DataFrame, rgb: Triple, out: tuple[str, str, str]) -> DataFrame:
+    """sRGB to Lab."""
+    return steps(df, rgb, [each(to_linear), linear_to_xyz, xyz_to_lab], out)
+
+
+def with_srgb_of_lab(df: DataFrame, lab: Triple, out: tuple[str, str, str]) -> DataFrame:
     eps, kappa = 216 / 24389, 24389 / 27
-    fy = (lab[0] + 16) / 116
-    f = (fy + lab[1] / 500, fy, fy - lab[2] / 200)
-    xyz = tuple(F.when(t * t * t > eps, t * t * t).otherwise((116 * t - 16) / kappa) * w for t, w in zip(f, D65, strict=True))
-    return tuple(to_srgb(c) for c in xyz_to_linear(xyz))
 
+    def cone(v: Triple) -> Triple:
+        fy = (v[0] + 16) / 116
+        return fy + v[1] / 500, fy, fy - v[2] / 200
+
+    def xyz(f: Triple) -> Triple:
+        return tuple(F.when(t * t * t > eps, t * t * t).otherwise((116 * t - 16) / kappa) * w for t, w in zip(f, D65, strict=True))
 
-def srgb_to_lab(rgb: Triple) -> Triple:
-    return xyz_to_lab(linear_to_xyz(tuple(to_linear(c) for c in rgb)))
+    return steps(df, lab, [cone, xyz, xyz_to_linear, each(to_srgb)], out)
+
+
+def lab_of(rgb: tuple[float, float, float]) -> tuple[float, float, float]:
+    """Lab of a constant colour, as plain numbers."""
+    lin = [c / 12.92 if c <= 0.04045 else ((c + 0.055) / 1.055) ** 2.4 for c in rgb]
+    ratio = [sum(m * c for m, c in zip(row, lin, strict=True)) / w for row, w in zip(RGB_TO_XYZ, D65, strict=True)]
+    f = [r ** (1 / 3) if r > 216 / 24389 else (24389 / 27 * r + 16) / 116 for r in ratio]
+    return 116 * f[1] - 16, 500 * (f[0] - f[1]), 200 * (f[1] - f[2])
 
 
 def luma709(rgb: Triple) -> Column:
@@ -71,29 +103,29 @@ def luma601(rgb: Triple) -> Column:
     return 0.299 * rgb[0] + 0.587 * rgb[1] + 0.114 * rgb[2]
 
 
-#: CIEDE2000 over columns of (l1, a1, b1, l2, a2, b2) as a ladder of named steps; each step may use earlier ones.
+#: CIEDE2000 over columns of (q_l1, q_a1, q_b1, q_l2, q_a2, q_b2) as a ladder of named steps; each step may use earlier ones.
 #: The text is valid SQL in Spark and in DuckDB alike, so one definition serves both.
 DELTA_E_STEPS = (
-    {"cm": "(sqrt(a1*a1+b1*b1) + sqrt(a2*a2+b2*b2)) / 2"},
-    {"g": "0.5e0 * (1 - sqrt(power(cm, 7) / (power(cm, 7) + 6103515625e0)))"},
-    {"p1": "(1 + g) * a1", "p2": "(1 + g) * a2"},
-    {"c1": "sqrt(p1*p1 + b1*b1)", "c2": "sqrt(p2*p2 + b2*b2)", "u1": "degrees(atan2(b1, p1))", "u2": "degrees(atan2(b2, p2))"},
-    {"h1": "case when p1 = 0 and b1 = 0 then 0e0 when u1 < 0 then u1 + 360 else u1 end", "h2": "case when p2 = 0 and b2 = 0 then 0e0 when u2 < 0 then u2 + 360 else u2 end", "grey": "c1 * c2 = 0"},
-    {"dh": "case when grey then 0e0 when h2 - h1 > 180 then h2 - h1 - 360 when h2 - h1 < -180 then h2 - h1 + 360 else h2 - h1 end",
-     "hm": "case when grey then h1 + h2 when abs(h1 - h2) <= 180 then (h1 + h2) / 2 when h1 + h2 < 360 then (h1 + h2 + 360) / 2 else (h1 + h2 - 360) / 2 end",
-     "lm": "(l1 + l2) / 2", "km": "(c1 + c2) / 2"},
-    {"t": "1 - 0.17e0 * cos(radians(hm - 30)) + 0.24e0 * cos(radians(2 * hm)) + 0.32e0 * cos(radians(3 * hm + 6)) - 0.20e0 * cos(radians(4 * hm - 63))",
-     "turn": "-sin(radians(60 * exp(-power((hm - 275) / 25, 2)))) * 2 * sqrt(power(km, 7) / (power(km, 7) + 6103515625e0))"},
-    {"tl": "(l2 - l1) / (1 + 0.015e0 * power(lm - 50, 2) / sqrt(20 + power(lm - 50, 2)))", "tc": "(c2 - c1) / (1 + 0.045e0 * km)",
-     "th": "2 * sqrt(c1 * c2) * sin(radians(dh) / 2) / (1 + 0.015e0 * km * t)"},
-    {"delta_e": "sqrt(greatest(0e0, tl*tl + tc*tc + th*th + turn * tc * th))"},
+    {"q_cm": "(sqrt(q_a1*q_a1+q_b1*q_b1) + sqrt(q_a2*q_a2+q_b2*q_b2)) / 2"},
+    {"q_g": "0.5e0 * (1 - sqrt(power(q_cm, 7) / (power(q_cm, 7) + 6103515625e0)))"},
+    {"q_p1": "(1 + q_g) * q_a1", "q_p2": "(1 + q_g) * q_a2"},
+    {"q_c1": "sqrt(q_p1*q_p1 + q_b1*q_b1)", "q_c2": "sqrt(q_p2*q_p2 + q_b2*q_b2)", "q_u1": "degrees(atan2(q_b1, q_p1))", "q_u2": "degrees(atan2(q_b2, q_p2))"},
+    {"q_h1": "case when q_p1 = 0 and q_b1 = 0 then 0e0 when q_u1 < 0 then q_u1 + 360 else q_u1 end", "q_h2": "case when q_p2 = 0 and q_b2 = 0 then 0e0 when q_u2 < 0 then q_u2 + 360 else q_u2 end", "q_grey": "q_c1 * q_c2 = 0"},
+    {"q_dh": "case when q_grey then 0e0 when q_h2 - q_h1 > 180 then q_h2 - q_h1 - 360 when q_h2 - q_h1 < -180 then q_h2 - q_h1 + 360 else q_h2 - q_h1 end",
+     "q_hm": "case when q_grey then q_h1 + q_h2 when abs(q_h1 - q_h2) <= 180 then (q_h1 + q_h2) / 2 when q_h1 + q_h2 < 360 then (q_h1 + q_h2 + 360) / 2 else (q_h1 + q_h2 - 360) / 2 end",
+     "q_lm": "(q_l1 + q_l2) / 2", "q_km": "(q_c1 + q_c2) / 2"},
+    {"q_t": "1 - 0.17e0 * cos(radians(q_hm - 30)) + 0.24e0 * cos(radians(2 * q_hm)) + 0.32e0 * cos(radians(3 * q_hm + 6)) - 0.20e0 * cos(radians(4 * q_hm - 63))",
+     "q_turn": "-sin(radians(60 * exp(-power((q_hm - 275) / 25, 2)))) * 2 * sqrt(power(q_km, 7) / (power(q_km, 7) + 6103515625e0))"},
+    {"q_tl": "(q_l2 - q_l1) / (1 + 0.015e0 * power(q_lm - 50, 2) / sqrt(20 + power(q_lm - 50, 2)))", "q_tc": "(q_c2 - q_c1) / (1 + 0.045e0 * q_km)",
+     "q_th": "2 * sqrt(q_c1 * q_c2) * sin(radians(q_dh) / 2) / (1 + 0.015e0 * q_km * q_t)"},
+    {"delta_e": "sqrt(greatest(0e0, q_tl*q_tl + q_tc*q_tc + q_th*q_th + q_turn * q_tc * q_th))"},
 )
 
 
 def with_delta_e(df, left: Triple, right: Triple, name: str = "delta_e"):
     """``df`` with the CIEDE2000 difference of two Lab triples."""
     own = df.columns
-    out = df.withColumns(dict(zip(("l1", "a1", "b1", "l2", "a2", "b2"), (*left, *right), strict=True)))
+    out = df.withColumns(dict(zip(("q_l1", "q_a1", "q_b1", "q_l2", "q_a2", "q_b2"), (*left, *right), strict=True)))
     for step in DELTA_E_STEPS:
         out = out.withColumns({k: F.expr(v) for k, v in step.items()})
     return out.select(*own, F.col("delta_e").alias(name))
@@ -112,13 +144,12 @@ def white(name: str) -> tuple:
     return x / y, 1.0, (1 - x - y) / y
 
 
-def capture(rgb: Triple, illuminant: str, awb: float, exposure: float, flare: float) -> Triple:
+def with_capture(df: DataFrame, rgb: Triple, illuminant: str, awb: float, exposure: float, flare: float, out: tuple[str, str, str]) -> DataFrame:
     """A D65 colour as a camera sees it under another light, noise off."""
     dst = white(illuminant)
-    lit = adapt(linear_to_xyz(tuple(to_linear(c) for c in rgb)), D65, dst)
-    seen = xyz_to_linear(adapt(lit, dst, D65, awb))
-    return tuple(to_srgb(c * exposure + flare) for c in seen)
+    light, balance = (lambda v: adapt(v, D65, dst)), (lambda v: adapt(v, dst, D65, awb))
+    return steps(df, rgb, [each(to_linear), linear_to_xyz, light, balance, xyz_to_linear, each(lambda c: c * exposure + flare), each(to_srgb)], out)
 
 
-def apply_correction(rgb: Triple, gain: Triple, offset: Triple) -> Triple:
-    return tuple(to_srgb((to_linear(c) - o) / g) for c, g, o in zip(rgb, gain, offset, strict=True))
+def with_correction(df: DataFrame, rgb: Triple, gain: Triple, offset: Triple, out: tuple[str, str, str]) -> DataFrame:
+    return steps(df, rgb, [each(to_linear), lambda v: tuple((c - o) / g for c, g, o in zip(v, gain, offset, strict=True)), each(to_srgb)], out)

@@ -32,8 +32,12 @@ def fit(observed: DataFrame, by: list[str]) -> DataFrame:
         *[F.regr_intercept(f"o{c}", f"x{c}").alias(f"offset_{c}") for c in "rgb"]).filter("n >= 2")
     # the sides are tiny per group and share its key
     each = lin.join(fits, by)
-    fixed = tuple(color.to_srgb((F.col(f"o{c}") - F.col(f"offset_{c}")) / F.col(f"gain_{c}")) for c in "rgb")
-    target = tuple(color.to_srgb(F.col(f"x{c}")) for c in "rgb")
-    each = color.with_delta_e(each, color.srgb_to_lab(fixed), color.srgb_to_lab(target))
+    names = [f"{n}{c}" for n in ("gain_", "offset_") for c in "rgb"]
+    gain, offset = (tuple(F.col(c) for c in names[k : k + 3]) for k in (0, 3))
+    back = lambda v: tuple((c - o) / g for c, g, o in zip(v, gain, offset, strict=True))
+    clip = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+    each = color.steps(each, tuple(F.col(f"o{c}") for c in "rgb"), [back, color.each(clip), color.linear_to_xyz, color.xyz_to_lab], ("l1", "a1", "z1"))
+    each = color.steps(each, tuple(F.col(f"x{c}") for c in "rgb"), [color.linear_to_xyz, color.xyz_to_lab], ("l2", "a2", "z2"))
+    each = color.with_delta_e(each, (F.col("l1"), F.col("a1"), F.col("z1")), (F.col("l2"), F.col("a2"), F.col("z2")))
     residual = each.groupBy(*by).agg(F.avg("delta_e").alias("residual"))
     return fits.join(residual, by).withColumn("quality", quality_of(F.col("residual"))).drop("n")

@@ -62,6 +62,6 @@ def summary(hist: DataFrame) -> DataFrame:
     g = g.withColumn("trend", trend).withColumn("days", F.when(F.col("n") >= 2, days))
     guidance = F.when(F.col("n") == 0, HOLD).when((F.col("trend") == "widening") | (F.col("last.ci_high") >= EXPERT_MM), EXPERT).otherwise(OBSERVE)
     text = F.when(F.col("n") < 2, "비교할 이전 기록이 없습니다").when(
-        F.col("trend") == "widening", F.concat(F.col("days").cast("string"), F.lit("일 사이 "), F.format_number("first.width", "0.00"), F.lit(" → "), F.format_number("last.width", "0.00"), F.lit("mm. 오차 범위가 겹치지 않을 만큼 넓어졌습니다"))
+        F.col("trend") == "widening", F.concat(F.col("days").cast("string"), F.lit("일 사이 "), F.expr("format_number(first.width, '0.00')"), F.lit(" → "), F.expr("format_number(last.width, '0.00')"), F.lit("mm. 오차 범위가 겹치지 않을 만큼 넓어졌습니다"))
     ).otherwise(F.concat(F.col("days").cast("string"), F.lit("일 사이 오차 범위 안에서 변화가 없습니다")))
     return g.select("site_id", "report_count", F.col("last.width").alias("latest_width"), "trend", "days", guidance.alias("guidance"), text.alias("trend_detail"), F.col("first.width").alias("first_width"), F.col("first.ci_high").alias("first_high"), F.col("last.ci_low").alias("last_low"))
