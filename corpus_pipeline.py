@@ -7,35 +7,59 @@ repeat an id are judged each on its own text.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from muralis.llm import decontam, minhash, mixing, quality, records
-from muralis.llm.common import row_key, stash, table
+from muralis.llm.common import mark, release, release_since, row_key, stash, table
 from muralis.llm.queries import vocabulary
 
 
+_scratch = (0, 0)
+
+
+def _stage(f):
+    """The scratch tables of a stage go when the next one begins: by then its rows are written."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        global _scratch
+        release_since(spark, *_scratch)
+        start = mark()
+        out = f(spark, docs, sf_dir)
+        _scratch = (start, mark())
+        return out
+
+    return functools.wraps(f)(run_stage)
+
+
+@_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: rejected documents go."""
     return quality.quality(docs, keep_columns=docs.columns).filter("kept").select(*docs.columns)
 
 
+@_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2: the document with the least id of each class stays; of equal rows, one."""
     kept = minhash.near_duplicates(docs).filter("kept").select(F.col("rk").alias("_rk")).distinct()
     return docs.withColumn("_key", row_key("doc_id", "text")).join(kept, F.col("_key") == F.col("_rk")).dropDuplicates(["_key"]).select(*docs.columns)
 
 
+@_stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5: contaminated documents go."""
     return decontam.contamination(docs, table(spark, sf_dir, "benchmark"), keep_columns=docs.columns).filter(~F.col("contaminated")).select(*docs.columns)
 
 
+@_stage
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: a document stands as many times as the mix takes it."""
     return mixing.resample(docs).select(*docs.columns)
 
 
+@_stage
 def token_records(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1: the documents as token records, read back from the files."""
     return records.token_records(docs, vocabulary())
@@ -53,7 +77,9 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stash(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        made, read = stage(spark, docs, sf_dir), docs
+        docs = stash(made, name.replace(" ", "-"))
+        release(read)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 

@@ -36,22 +36,49 @@ def fresh_dir(spark: SparkSession, label: str) -> str:
     return path
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def _forget(spark: SparkSession) -> None:
     try:
-        jvm = spark.sparkContext._jvm
-        for path in _made:
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        for path in filter(None, _made):
+            _delete(spark, path)
     except Exception:  # the session may be gone by then; the files are only scratch
         pass
 
 
+def mark() -> int:
+    """A point in time for ``release_since``."""
+    return len(_made)
+
+
+def release_since(spark: SparkSession, start: int, stop: int) -> None:
+    """Delete what was stashed between two marks; nothing may read it any more."""
+    for i in range(start, stop):
+        if _made[i]:
+            _delete(spark, _made[i])
+            _made[i] = ""
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete stashed tables that nothing reads any more."""
+    for t in tables:
+        path = getattr(t, "stashed_at", None)
+        if path in _made:
+            _delete(t.sparkSession, path)
+            _made[_made.index(path)] = ""
+
+
 def stash(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: cuts the lineage, so that a lost
     executor costs at most the tasks of one step, and no later step recomputes an earlier one."""
     path = fresh_dir(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stashed_at = path
+    return out
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
