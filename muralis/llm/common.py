@@ -81,6 +81,12 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def small_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Texts reach Python in batches of ``size`` bytes: numpy's arrays are some fifty times their text.  Only the
+    cut into batches changes, never a result."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Bind ``value`` once and use it many times in ``body``, inside a single expression."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

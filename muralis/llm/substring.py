@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from muralis.llm.common import row_key, stash
+from muralis.llm.common import row_key, small_batches, stash
 from muralis.llm.wordarrays import Words, gather, mix, rolling
 
 _U = np.uint64
@@ -118,7 +118,7 @@ def _bitmap(keys: DataFrame, bits: int, parts: int = 64) -> Bitmap:
     return out
 
 
-def _blocks(batch: pa.RecordBatch, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def _blocks(batch: pa.RecordBatch, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of about ``size`` bytes of text, one text at least."""
     n = max(1, int(batch.num_rows * size / max(batch.nbytes, 1)))
     for at in range(0, batch.num_rows, n):
@@ -178,9 +178,10 @@ def _count_windows(packed: list[bytes], n: list[int], k: int) -> list[tuple[int,
     return list(merged.items())
 
 
-def remove_repeats(docs: DataFrame, k: int = 35, m: int = 8, bits: int = 27, hot: int = 2_000, bucket_bytes: int = 8 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, k: int = 35, m: int = 8, bits: int = 27, hot: int = 2_000, bucket_bytes: int = 2 << 20) -> DataFrame:
     """``(doc_id, n_words, n_removed, kept_text)`` for each row of ``docs(doc_id, text)``."""
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), row_key("doc_id", "text").alias("rk"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
