@@ -66,9 +66,10 @@ def occurrences(words: DataFrame, windows: DataFrame, broadcast_rows: int) -> Da
     start = F.col("pos") - F.col("off")
     candidates = spots.join(_small(anchors, broadcast_rows), "word").filter((start >= 0) & (start + F.col("len") <= F.col("n"))).select("rk", start.alias("start"), "len", "wid")
     candidates = stash(candidates, "candidates")
-    # a row for each document, so the texts are shuffled once and never multiplied
+    # a row for each document, so the texts are shuffled once and never multiplied; and only texts with candidates
     wanted = candidates.join(_small(distinct.withColumnRenamed("words", "want"), broadcast_rows), "wid").groupBy("rk").agg(F.collect_list(F.struct("start", "len", "wid", "want")).alias("c"))
-    found = words.dropDuplicates(["rk"]).join(wanted, "rk").select("rk", F.filter("c", lambda c: F.slice("w", c["start"] + 1, c["len"]) == c["want"]).alias("c"))
+    some = _small(candidates.select("rk").distinct(), broadcast_rows)
+    found = words.join(some, "rk", "left_semi").dropDuplicates(["rk"]).join(wanted, "rk").select("rk", F.filter("c", lambda c: F.slice("w", c["start"] + 1, c["len"]) == c["want"]).alias("c"))
     return found.select("rk", F.inline(F.transform("c", lambda c: F.struct(c["start"].alias("start"), c["len"].alias("len"), c["wid"].alias("wid")))))
 
 
