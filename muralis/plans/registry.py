@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ("scans", "joins", "verification", "sitesadmin", "colors", "measures", "rasters", "streams")
+_MODULES = ("scans", "joins", "verification", "sitesadmin", "colors", "measures", "rasters", "kernels", "streams")
 
 
 def query(name: str, sql: str | None = None):
