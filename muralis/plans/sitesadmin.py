@@ -53,10 +53,10 @@ def site_history(spark, d):
     return hist(spark, d)
 
 
-@query("win_history", sql(HIST + "SELECT site_id, list(id ORDER BY captured_us, id) AS ids FROM hist GROUP BY site_id"))
+@query("win_history", sql(HIST + "SELECT site_id, string_agg(id::VARCHAR, ',' ORDER BY captured_us, id) AS ids FROM hist GROUP BY site_id"))
 def win_history(spark, d):
     rows = hist(spark, d).groupBy("site_id").agg(F.array_sort(F.collect_list(F.struct("captured_us", "id"))).alias("p"))
-    return rows.select("site_id", F.transform("p", lambda x: x["id"]).alias("ids"))
+    return rows.select("site_id", F.array_join(F.transform("p", lambda x: x["id"].cast("string")), ",").alias("ids"))
 
 
 @query("win_first_last", sql(SUMMARY + "SELECT site_id, fw AS first_width, fh AS first_high, ll AS last_low FROM guided WHERE n >= 2"))
