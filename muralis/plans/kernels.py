@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import struct
-import uuid
 import zlib
 
 import numpy as np
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 from muralis.kernels import filters, geometry, profile
 from muralis.operators import vision
 from muralis.plans.registry import query
-from muralis.scratch import shared_dir
+from muralis.scratch import fresh_dir
 from muralis.sources import images, synthetic
 
 _OUT = "item_id long, n long, mean double, spread double"
@@ -95,7 +94,7 @@ def _files(spark, named: dict[str, bytes]) -> str:
     """Files in the shared folder, written by the driver."""
     from pyarrow import fs
 
-    where = f"{shared_dir(spark)}/muralis/files-{uuid.uuid4().hex}"
+    where = fresh_dir(spark, "files")
     system, root = fs.FileSystem.from_uri(where)
     system.create_dir(root, recursive=True)
     for name, data in named.items():

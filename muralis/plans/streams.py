@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from muralis.plans.registry import query
-from muralis.scratch import shared_dir
+from muralis.scratch import fresh_dir
 from muralis.sources import carrier
 from muralis.streaming import reports as streaming
 
 
 def stream_of(spark, d):
     """The reports as a file stream: written once, in several files."""
-    path = f"{shared_dir(spark)}/muralis/stream-{uuid.uuid4().hex}"
+    path = fresh_dir(spark, "stream")
     r = carrier.reports(spark, d).select("id", F.concat(F.lit("u"), (F.col("id") % 6000).cast("string")).alias("client_uuid"), "device", "received_us")
     r.repartitionByRange(4, "received_us").write.parquet(f"{path}/in")
     return spark.readStream.schema(r.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in"), path
