@@ -14,15 +14,15 @@ Steps:
 3. proposals are verified on the whole shingle multisets, and links make components (min-label propagation with
    pointer jumping, each round written out);
 4. buckets that still hold several components propose again, to leaders drawn anew for each band and round, until
-   a round finds no link; buckets of at most ``small`` members then compare all pairs across components.
+   a round finds no link.  These rounds only save work: what they leave is settled by step 5;
+5. buckets of at most ``small`` members compare all pairs across components; the members of larger ones go through
+   an exact prefix join (``prefix_pairs``), which misses no pair of the wanted similarity.
 
 The first leader of a bucket is its most central member, whose bands fill the largest buckets: among copies with
-edits of their own that is the least edited one, to which a copy is more similar than to any other copy.  All
-proposals are linear in the rows; no bucket, however large, compares all its pairs.
+edits of their own that is the least edited one, to which a copy is more similar than to any other copy.
 
-At a similarity of 0.8 the default 20 bands of 4 slots miss a pair with probability 3e-5.  In a bucket of more than
-``small`` members a link can be missed beyond that if neither end ever leads a bucket of both and no chain of other
-links joins them.
+At a similarity of 0.8 the default 20 bands of 4 slots miss a pair with probability 3e-5, whatever the size of the
+bucket that it shares.
 
 Defined cases: null and empty texts, and those without words, are a class each; ties in arrival don't occur; rows
 that repeat an id are rows of their own; an empty table gives no rows; further columns are ignored.  Verification
@@ -179,10 +179,43 @@ def _fits(n: str, m: str, similarity: float) -> Column:
     return F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9
 
 
+def prefix_pairs(docs: DataFrame, items: DataFrame, similarity: float, step: float = 1.1) -> DataFrame:
+    """``(p, q)``: all pairs of ``docs(fp, n, comp)`` of different ``comp`` that can have the wanted similarity.
+
+    Items are ordered by rarity.  A pair of n and m items needs ``similarity / (1 + similarity) * (n + m)`` common
+    ones, so if its first common item stands i-th, then ``m <= reach = (n - i + 1) * (1 + similarity) / similarity - n``.
+    The longer text looks an item up in the length classes (a factor of ``step`` each) from ``similarity * n`` to its
+    reach, where the shorter one stands if it reaches its own length.  In each of these lists the members of the most
+    common component meet only the others, never each other."""
+    each = docs.join(items, "fp").select("fp", "n", "comp", F.explode(F.array_distinct("items")).alias("item"))
+    rarity = each.groupBy("item").agg(F.count("*").alias("df"))
+    ranked = each.join(rarity, "item").groupBy("fp", "n", "comp").agg(F.sort_array(F.collect_list(F.struct("df", "item"))).alias("r"))
+    shortest = F.ceil(similarity * F.col("n") - 1e-6).cast("int")
+    prefix = ranked.select("fp", "n", "comp", F.posexplode(F.slice("r", F.lit(1), F.col("n").cast("int") - shortest + 1)).alias("at", "x")).filter("x.df > 1")
+    left = F.col("n") - F.col("at")  # what can be common from this item on
+    reach = F.floor(left * (1 + similarity) / similarity - F.col("n") + 1e-6)
+    cls = lambda m: F.floor(F.log(m.cast("double")) / float(np.log(step))).cast("int")
+    prefix = prefix.select("fp", "n", "comp", F.col("x.item").alias("item"), left.alias("left"), reach.alias("reach"))
+    shorter = prefix.filter("reach >= n").select("item", cls(F.col("n")).alias("cls"), "comp", "fp", "n", "left", F.lit(False).alias("looks"))
+    farthest = F.least("n", "reach")
+    longer = prefix.filter(farthest >= shortest).select("item", F.explode(F.sequence(cls(shortest), cls(farthest))).alias("cls"), "comp", "fp", "n", "left", F.lit(True).alias("looks"))
+    entries = stash(shorter.union(longer), "prefixes")
+    lists = entries.groupBy("item", "cls", "comp").agg(F.count("*").alias("k"), F.bool_or("looks").alias("looked"), F.bool_or(~F.col("looks")).alias("stands"))
+    lists = lists.groupBy("item", "cls").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), (F.count("*") > 1).alias("mixed"), (F.bool_or("looked") & F.bool_or("stands")).alias("meet"))
+    entries = entries.join(lists.filter("mixed and meet").drop("mixed", "meet"), ["item", "cls"]).withColumn("is_main", F.col("comp") == F.col("main"))
+    sides = F.when(F.col("looks") & ~F.col("is_main"), F.array(F.lit(True), F.lit(False))).when(F.col("looks"), F.array(F.lit(False))).otherwise(F.array("is_main"))
+    entries = stash(entries.select("item", "cls", F.explode(sides).alias("side"), "comp", "fp", "n", "left", "looks"), "lists")
+    p = entries.filter("looks").select("item", "cls", "side", F.col("fp").alias("p"), "n", "comp", "left")
+    q = entries.filter("not looks").select("item", "cls", "side", F.col("fp").alias("q"), F.col("n").alias("m"), F.col("comp").alias("other"), F.col("left").alias("left_q"))
+    once = (F.col("n") > F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("p") < F.col("q")))
+    enough = F.least("left", "left_q") >= similarity / (1 + similarity) * (F.col("n") + F.col("m")) - 1e-6
+    return p.join(q, ["item", "cls", "side"]).filter((F.col("comp") != F.col("other")) & once & _fits("n", "m", similarity) & enough).select("p", "q")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bands: int = 20, rows: int = 4, leader_rounds: int = 4, small: int = 20) -> DataFrame:
     """``(doc_id, class_id, n_shingles, kept, rk)``: the class is named by its least id, whose row is kept; ``rk`` is
     the row's ``row_key``, for joining decisions back (equal rows share it).  ``leader_rounds`` ends the rounds of
-    leaders if each still finds links."""
+    leaders if each still finds links; neither it nor ``small`` changes the result."""
     small_batches(docs.sparkSession)
     signed = stash(signatures(docs, shingle, bands, rows), "signatures")
     reps = stash(signed.filter("n > 0").groupBy("fp").agg(F.min(F.struct("doc_id", "rk")).alias("r"), F.first("n").alias("n"), F.first("bands").alias("bands")), "representatives")
@@ -222,7 +255,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
         last = step < 0
         if last:
             few = now.filter(F.col("k") <= small).withColumnRenamed("fp", "p")
-            pairs = few.join(other, ["band", "key"]).filter((F.col("comp") < F.col("other")) & _fits("n", "m", similarity))
+            pairs = few.join(other, ["band", "key"]).filter((F.col("comp") < F.col("other")) & _fits("n", "m", similarity)).select("p", "q")
+            many = stash(now.filter(F.col("k") > small).select("fp", "n", "comp").distinct(), "large")
+            scratch.append(many)
+            if not many.isEmpty():
+                pairs = pairs.union(prefix_pairs(many, items, similarity))
         else:
             rank = F.struct(-F.col("central"), "fp") if step == 0 else F.struct(F.xxhash64("fp", "band", F.lit(step)), "fp")
             leader = now.groupBy("band", "key").agg(F.min_by(F.struct("fp", "n", "comp"), rank).alias("l")).select("band", "key", F.col("l.fp").alias("p"), F.col("l.n").alias("n"), F.col("l.comp").alias("comp"))

@@ -126,6 +126,31 @@ def test_near_duplicates(docs, texts, empty):
     assert minhash.near_duplicates(empty).collect() == []
 
 
+def test_near_duplicates_in_large_buckets(spark):
+    """A form with sixty yes/no fields: every shingle is in half of the texts or more, so hardly a bucket is small;
+    only copies that differ in few fields are near-duplicates."""
+    rng = np.random.default_rng(11)
+    filled = rng.integers(0, 2, (500, 60))
+    copies = filled[:60].copy()
+    for row in copies:
+        row[rng.choice(60, 10, replace=False)] ^= 1
+    filled = np.concatenate([copies, filled])
+    texts = [" ".join(f"{'no' if x else 'yes'}{k} " + " ".join(f"f{k}w{j}" for j in range(9)) for k, x in enumerate(row)) for row in filled]
+    shingles = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
+    number = {x: i for i, x in enumerate(set().union(*shingles))}
+    has = np.zeros((len(texts), len(number)))
+    for row, x in zip(has, shingles, strict=True):
+        row[[number[y] for y in x]] = 1
+    common, size = has @ has.T, has.sum(axis=1)
+    near = common >= 0.8 * (size[:, None] + size - common)
+    label = np.arange(len(texts))
+    for _ in label:
+        label = np.where(near, label, len(texts)).min(axis=1)
+    got = by_id(minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert 490 < len(set(label)) <= 500
+    assert [got[i].class_id for i in range(len(texts))] == label.tolist()
+
+
 def test_bag_minhash_estimates_weighted_jaccard():
     rng = np.random.default_rng(0)
     h = rng.integers(1, 1 << 62, 300, dtype=np.uint64)
