@@ -4,9 +4,11 @@ A source's target is ``r`` times its size, ``0 <= r <= 2``.  Each of its documen
 once more with probability ``r - floor(r)``.  Those extra copies are drawn by the cube method, balanced on two
 totals within the source: tokens (``p_i * size_i``) and documents (``p_i``).  The flight phase moves the vector of
 probabilities along the null space of the two constraints until at most two documents of a block are still
-fractional; these leftovers of all blocks fly together in the next level, and so on, until one block is
-left.  It ends as a landing problem of at most fourteen documents: the two that stayed fractional and twelve of
-all lengths kept for it, settled by the best of all their outcomes.
+fractional; these leftovers of all blocks fly together in the next level, and so on, until one block of the
+source is left.  It ends as a landing problem of at most fourteen documents: the two that stayed fractional and
+twelve of all lengths, settled by the best of all their outcomes.  The twelve are held back at the first level, from
+the source's first block, and wait unflown for its last one; each source ends at a level of its own.  Documents
+too long for the twelve to even out are drawn before them, against all others of the block (``outliers``).
 
 Scale: a source is dealt into blocks of at most ``block`` documents by a hash of the row, so a source with a third
 of all rows is only more blocks; a level shrinks the rows by ``block / 2``.  Only ids and sizes travel, never texts.
@@ -99,16 +101,38 @@ def landing(p: np.ndarray, size: np.ndarray) -> np.ndarray:
     return out
 
 
-def _fly(seed: int, level: int, last: bool, spare: int = 12):
+def outliers(p: np.ndarray, size: np.ndarray, rng: np.random.Generator, spare: int = 12) -> np.ndarray:
+    """Settle the documents too long for a landing of ``spare`` to even out, longest first: each is drawn with its
+    own probability, and all shorter ones move against it alike, so that tokens stay and so do all expectations.
+    ``size`` descends.  Ends where the shorter ones have no room for either outcome."""
+    p = p.astype(float).copy()
+    for k in np.flatnonzero((p > 0) & (p < 1)).tolist():
+        rest = np.flatnonzero((p > 0) & (p < 1))
+        rest = rest[rest > k]
+        if len(rest) < spare or 2 * size[k] <= size[rest[np.linspace(0, len(rest) - 1, spare - 1).astype(int)]].sum():
+            break
+        move = size[k] / size[rest].sum()
+        if (1 - p[k]) * move >= p[rest].min() or p[k] * move >= 1 - p[rest].max():
+            break
+        taken = float(rng.random() < p[k])
+        p[rest] -= (taken - p[k]) * move
+        p[k] = taken
+    return p
+
+
+def _fly(seed: int, level: int, spare: int = 12):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["size", "h", "doc_id"], ascending=[False, True, True], kind="stable", ignore_index=True)
         rng = np.random.default_rng([seed, level, int(pdf["sid"].iloc[0]), int(pdf["block"].iloc[0])])
         p, size = pdf["p"].to_numpy(float).copy(), pdf["size"].to_numpy(float)
-        fly = np.ones(len(p), bool)
-        if last:  # documents of all lengths stay for the landing, so that it can even out any remainder
-            fly[np.linspace(0, len(p) - 1, min(spare, len(p))).astype(int)] = False
-        p[fly] = flight(p[fly], size[fly], rng)
-        return pdf.assign(p=landing(p, size) if last else p).drop(columns="block")
+        last, held = int(pdf["blocks"].iloc[0]) == 1, pdf["held"].to_numpy(bool).copy()
+        if level == 0 and int(pdf["block"].iloc[0]) == 0:
+            # documents of all lengths stay for the landing, so that it can even out any remainder
+            p = outliers(p, size, rng, spare)
+            open_ = np.flatnonzero((p > 0) & (p < 1))
+            held[open_[np.linspace(0, len(open_) - 1, min(spare, len(open_))).astype(int)]] = True
+        p[~held] = flight(p[~held], size[~held], rng)
+        return pdf.assign(p=landing(p, size) if last else p, held=held).drop(columns="block")
 
     return run
 
@@ -139,22 +163,21 @@ def mix(docs: DataFrame, weights: Iterable[float] = (5.0, 2.0, 1.0), share: floa
         [(i, r.source, int(r.source_size), float(t), t / r.source_size if r.source_size else 0.0, -(-int(r.n) // block)) for i, (r, t) in enumerate(zip(stats, goal, strict=True))],
         "sid int, source string, source_size long, target double, ratio double, blocks long")
     rows = sized.join(F.broadcast(plan), sized["source"].eqNullSafe(plan["source"])).select(
-        "doc_id", "rk", "size", "h", "sid", "source_size", "target", F.floor("ratio").cast("long").alias("copies"), (F.col("ratio") - F.floor("ratio")).alias("p"), "blocks")
-    schema = "doc_id long, rk long, size long, h long, sid int, source_size long, target double, copies long, p double, blocks long"
+        "doc_id", "rk", "size", "h", "sid", "source_size", "target", F.floor("ratio").cast("long").alias("copies"), (F.col("ratio") - F.floor("ratio")).alias("p"), "blocks", F.lit(False).alias("held"))
+    schema = "doc_id long, rk long, size long, h long, sid int, source_size long, target double, copies long, p double, blocks long, held boolean"
     certain, level, done = (F.col("p") == 0) | (F.col("p") == 1) | (F.col("size") == 0), 0, []
     done.append(rows.filter(certain).withColumn("p", F.lit(0.0)))
     rows = rows.filter(~certain)
-    most = max([int(r.n) for r in stats], default=0)
+    most = max([-(-int(r.n) // block) for r in stats], default=0)
     while most:
-        last = most <= block
         spread = F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("h", "doc_id", F.lit(level)), F.col("blocks"))).otherwise(F.lit(0))
-        flown = stash(rows.withColumn("block", spread).groupBy("sid", "block").applyInPandas(_fly(seed, level, last), schema), f"flight{level}")
+        flown = stash(rows.withColumn("block", spread).groupBy("sid", "block").applyInPandas(_fly(seed, level), schema), f"flight{level}")
         open_ = (F.col("p") > 0) & (F.col("p") < 1)
         done.append(flown.filter(~open_))
-        if last:
+        if most == 1:
             break
-        # hashing spreads a source unevenly over its blocks, but each block leaves two rows at most
-        most = 2 * -(-most // block)
+        # hashing spreads a source unevenly over its blocks, but each block leaves two rows at most, and the held ones
+        most = -(-2 * most // block)
         rows = flown.filter(open_).withColumn("blocks", F.ceil(2 * F.col("blocks") / F.lit(block)))
         level += 1
     out = done[0]

@@ -215,6 +215,19 @@ def test_mix(spark, docs, empty):
     assert mixing.mix(empty).collect() == [] and mixing.mix(docs).count() == docs.count()
 
 
+def test_mix_of_a_small_source_beside_a_large_one(spark):
+    """However many blocks other sources need, each meets its target by the landing of fourteen."""
+    rng = random.Random(5)
+    rows = [(i, "w " * rng.randint(1, 60), "a") for i in range(1500)]
+    rows += [(10_000 * (k + 1) + i, "w " * (5000 if i == 0 else rng.randint(1, 400)), f"b{k}") for k in range(4) for i in range(100)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=(4.0, 1.0, 1.1, 1.2, 1.3), share=0.7, block=256).collect()
+    source, taken, target = {i: s for i, _, s in rows}, collections.Counter(), {}
+    for r in got:
+        taken[source[r.doc_id]] += r.taken
+        target[source[r.doc_id]] = r.target
+    assert len(got) == len(rows) and all(abs(taken[s] - t) <= 20 for s, t in target.items()), (taken, target)
+
+
 def test_targets():
     assert mixing.targets([10, 10, 10], [5, 2, 1]) == [20, pytest.approx(50 / 3), pytest.approx(25 / 3)]
     assert mixing.targets([0, 0], [5, 2]) == [0, 0] and mixing.targets([], []) == []
