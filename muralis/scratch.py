@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +12,10 @@ LOCAL_SHARED = "file:///tmp/muralis-shared"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, else a local folder, as in tests."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or LOCAL_SHARED
+    """``spark.checkpoint.dir``; where it's unset, the warehouse, or a local folder if the master is local."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named:
+        named = LOCAL_SHARED if re.match(r"local(\[|$)", spark.sparkContext.master) else spark.conf.get("spark.sql.warehouse.dir")
     return (named if ":" in named.split("/")[0] else f"file://{named}").rstrip("/")
 
 
