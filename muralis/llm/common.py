@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import atexit
+import re
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder, as on one machine in tests.
+#: Used only where the session names no shared folder and runs on one machine, as in tests.
 LOCAL_SHARED = "file:///tmp/muralis-shared"
 
 _made: list[str] = []
@@ -22,8 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, else a local one."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or LOCAL_SHARED
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it's unset, the warehouse, or a
+    local folder if the master is local."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named:
+        named = LOCAL_SHARED if re.match(r"local(\[|$)", spark.sparkContext.master) else spark.conf.get("spark.sql.warehouse.dir")
     return (named if "://" in named or named.startswith("file:") else f"file://{named}").rstrip("/")
 
 
@@ -81,10 +86,17 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
-def small_batches(spark: SparkSession, size: int = 8 << 20) -> None:
-    """Texts reach Python in batches of ``size`` bytes: numpy's arrays are some fifty times their text.  Only the
-    cut into batches changes, never a result."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+@contextmanager
+def small_batches(spark: SparkSession, size: int = 8 << 20) -> Iterator[None]:
+    """Inside, texts reach Python in batches of ``size`` bytes: numpy's arrays are some fifty times their text.  Only
+    the cut into batches changes, never a result.  Holds for jobs that run inside; the session's setting returns."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -115,5 +127,12 @@ def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def blank(text: str | None) -> str:
-    return text or ""
+def blocks(batch: pa.RecordBatch, column: int, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about ``size`` bytes of text in ``column``, one row at least."""
+    texts = batch.column(column).cast(pa.large_binary())
+    at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    a = 0
+    while a < batch.num_rows:
+        b = max(a + 1, int(np.searchsorted(at, at[a] + size, "right")) - 1)
+        yield batch.slice(a, b - a)
+        a = b

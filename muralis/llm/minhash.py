@@ -26,8 +26,11 @@ bucket that it shares.
 
 Defined cases: null and empty texts, and those without words, are a class each; ties in arrival don't occur; rows
 that repeat an id are rows of their own; an empty table gives no rows; further columns are ignored.  Verification
-compares 32-bit digests of (shingle, occurrence): a collision inside a pair, one in ten thousand pairs, moves its
-overlap by one shingle.
+compares 64-bit digests of (shingle, occurrence).
+
+Scale: nothing but emptiness of a step comes to the driver.  What a bucket must know of itself - its size, its leader,
+whether it's mixed - is counted with partial sums and written, then joined to its members, so that a bucket of very
+many members is a skewed join key that adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -40,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from muralis.llm.common import release, row_key, small_batches, stash
+from muralis.llm.common import blocks, release, row_key, small_batches, stash
 from muralis.llm.wordarrays import Words, mix, rolling
 
 _U = np.uint64
@@ -106,19 +109,13 @@ def bag_minhash(h: np.ndarray, doc: np.ndarray, count: np.ndarray, n_docs: int,
     return sig
 
 
-def _blocks(batch: pa.RecordBatch, column: int, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    n = max(1, int(batch.num_rows * size / max(batch.column(column).nbytes, 1)))
-    for at in range(0, batch.num_rows, n):
-        yield batch.slice(at, n)
-
-
 def signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
     """``(doc_id, rk, fp, n, bands)``: the row's key, a 128-bit digest of the words, the number of shingles and the band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         odd = np.random.default_rng(5).integers(1, 1 << 62, rows, dtype=np.uint64) * _U(2) + _U(1)
         for batch in batches:
-            for block in _blocks(batch, 1):
+            for block in blocks(batch, 1):
                 words = Words(block.column(1))
                 h, doc, count = counted(*shingles(words, shingle))
                 n = np.bincount(doc, weights=count, minlength=block.num_rows).astype(np.int64)
@@ -136,23 +133,22 @@ def signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFram
 
 
 def multisets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """``(fp, items)``: the sorted 32-bit digests of (shingle, occurrence) of one text for each wanted ``fp``."""
+    """``(fp, items)``: the 64-bit digests of (shingle, occurrence) of one text for each wanted ``fp``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in _blocks(batch, 1):
+            for block in blocks(batch, 1):
                 h, doc, count = counted(*shingles(Words(block.column(1)), shingle))
                 first = np.append(0, np.cumsum(count)[:-1])
                 nth = np.arange(count.sum()) - np.repeat(first, count)
-                item = (mix(np.repeat(h, count) + nth.astype(_U) * _U(0x9E3779B97F4A7C15)) >> _U(32)).astype(np.uint32).view(np.int32)
-                owner = np.repeat(doc, count)
-                item = item[np.lexsort((item, owner))]
+                item = mix(np.repeat(h, count) + nth.astype(_U) * _U(0x9E3779B97F4A7C15)).view(np.int64)
+                owner = np.repeat(doc, count)  # ascends
                 offs = np.append(0, np.cumsum(np.bincount(owner, minlength=block.num_rows))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([block.column(0), pa.ListArray.from_arrays(pa.array(offs), pa.array(item))], ["fp", "items"])
 
     texts = docs.select(row_key("doc_id", "text").alias("rep"), F.col("text").cast("string"))
     one = wanted.select("fp", "rep").join(texts, "rep").dropDuplicates(["fp"])
-    return one.select("fp", "text").mapInArrow(run, "fp binary, items array<int>")
+    return one.select("fp", "text").mapInArrow(run, "fp binary, items array<long>")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -216,13 +212,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     """``(doc_id, class_id, n_shingles, kept, rk)``: the class is named by its least id, whose row is kept; ``rk`` is
     the row's ``row_key``, for joining decisions back (equal rows share it).  ``leader_rounds`` ends the rounds of
     leaders if each still finds links; neither it nor ``small`` changes the result."""
-    small_batches(docs.sparkSession)
+    with small_batches(docs.sparkSession):
+        return _classes(docs, shingle, similarity, bands, rows, leader_rounds, small)
+
+
+def _classes(docs: DataFrame, shingle: int, similarity: float, bands: int, rows: int, leader_rounds: int, small: int) -> DataFrame:
     signed = stash(signatures(docs, shingle, bands, rows), "signatures")
     reps = stash(signed.filter("n > 0").groupBy("fp").agg(F.min(F.struct("doc_id", "rk")).alias("r"), F.first("n").alias("n"), F.first("bands").alias("bands")), "representatives")
     # a struct's minimum puts null ids first; the class is then named null
     reps = reps.select("fp", F.col("r.doc_id").alias("least"), F.col("r.rk").alias("rep"), "n", "bands")
     buckets = reps.select("fp", "n", F.posexplode("bands").alias("band", "key"))
-    sizes = buckets.groupBy("band", "key").agg(F.count("*").alias("k")).filter("k > 1")
+    sizes = stash(buckets.groupBy("band", "key").agg(F.count("*").alias("k")).filter("k > 1"), "sizes")
     members = stash(buckets.join(sizes, ["band", "key"]), "buckets")
     known = reps.join(members.select("fp").distinct(), "fp", "left_semi").select("fp", "rep")
     items = stash(multisets(docs, known, shingle), "multisets")
@@ -247,8 +247,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
         else:
             now = members.join(comp, members["fp"] == comp["v"], "left").select(members["*"], F.coalesce("label", "fp").alias("comp"))
             mixed = now.groupBy("band", "key").agg((F.min("comp") != F.max("comp")).alias("mixed")).filter("mixed").select("band", "key")
+            mixed = stash(mixed, "mixed")
             now = stash(now.join(mixed, ["band", "key"]), "unresolved")
-            scratch.append(now)
+            scratch += [mixed, now]
             if now.isEmpty():
                 break
         other = now.select("band", "key", F.col("fp").alias("q"), F.col("n").alias("m"), F.col("comp").alias("other"))
@@ -263,6 +264,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
         else:
             rank = F.struct(-F.col("central"), "fp") if step == 0 else F.struct(F.xxhash64("fp", "band", F.lit(step)), "fp")
             leader = now.groupBy("band", "key").agg(F.min_by(F.struct("fp", "n", "comp"), rank).alias("l")).select("band", "key", F.col("l.fp").alias("p"), F.col("l.n").alias("n"), F.col("l.comp").alias("comp"))
+            leader = stash(leader, "leaders")
+            scratch.append(leader)
             pairs = leader.join(other, ["band", "key"]).filter((F.col("comp") != F.col("other")) & _fits("n", "m", similarity))
         pairs = ordered(pairs)
         if tried is not None:
@@ -279,7 +282,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
             break
         step = -1 if nothing or step + 1 >= leader_rounds else step + 1
 
-    release(items, members, *scratch)
+    release(items, members, sizes, *scratch)
     home = reps.join(comp, reps["fp"] == comp["v"], "left").select("fp", "least", "rep", F.coalesce("label", "fp").alias("label"))
     named = home.groupBy("label").agg(F.min(F.struct("least", "rep")).alias("first"))
     classes = home.join(named, "label").select("fp", "first")

@@ -13,7 +13,9 @@ Steps, none of which collects documents:
 2. super-k-mers with a marked minimiser are packed.  Hot minimisers are split by a second minimiser, of another hash,
    so a passage in a third of all texts spreads over as many buckets as its surroundings vary, and its equal packed
    strings are combined before the shuffle.
-3. buckets are sorted, windows counted, and packed strings with repeated windows report which words they cover.
+3. buckets are sorted, windows counted, and packed strings with repeated windows report which words they cover.  The
+   strings of a minimiser that alone has more than ``bucket_bytes`` are taken apart instead: each of their windows is
+   a row, counted under its own 128-bit digest, so that no task holds such a bucket.
 4. occurrences, keyed by a 128-bit digest of their string, join the verdicts (a skewed join that adaptive execution
    can split), and each document drops its covered words.
 
@@ -33,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from muralis.llm.common import row_key, small_batches, stash
+from muralis.llm.common import blocks, row_key, small_batches, stash
 from muralis.llm.wordarrays import Words, gather, mix, rolling
 
 _U = np.uint64
@@ -118,13 +120,6 @@ def _bitmap(keys: DataFrame, bits: int, parts: int = 64) -> Bitmap:
     return out
 
 
-def _blocks(batch: pa.RecordBatch, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of about ``size`` bytes of text, one text at least."""
-    n = max(1, int(batch.num_rows * size / max(batch.nbytes, 1)))
-    for at in range(0, batch.num_rows, n):
-        yield batch.slice(at, n)
-
-
 def _digests(packed: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     both = np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=16).digest() for x in packed.to_pylist()), "<i8").reshape(-1, 2)
     return both[:, 0], both[:, 1]
@@ -178,15 +173,15 @@ def _count_windows(packed: list[bytes], n: list[int], k: int) -> list[tuple[int,
     return list(merged.items())
 
 
-def remove_repeats(docs: DataFrame, k: int = 35, m: int = 8, bits: int = 27, hot: int = 2_000, bucket_bytes: int = 2 << 20) -> DataFrame:
-    """``(doc_id, n_words, n_removed, kept_text)`` for each row of ``docs(doc_id, text)``."""
+def repeated_spans(docs: DataFrame, k: int = 35, m: int = 8, bits: int = 27, hot: int = 2_000, bucket_bytes: int = 2 << 20) -> tuple[DataFrame, DataFrame]:
+    """The rows ``(doc_id, text, rk)`` of ``docs``, and ``(rk, spans)``: the word ranges that repeated windows cover in
+    rows of that key, as starts and ends in turn."""
     spark = docs.sparkSession
-    small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), row_key("doc_id", "text").alias("rk"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in _blocks(batch):
+            for block in blocks(batch, 0):
                 s = SuperKmers(Words(block.column(0)), k, m)
                 mz, inverse = np.unique(s.mz, return_inverse=True)
                 n = np.bincount(inverse, weights=1 + s.twice, minlength=len(mz)).astype(np.int64) if len(mz) else np.zeros(0, np.int64)
@@ -197,9 +192,9 @@ def remove_repeats(docs: DataFrame, k: int = 35, m: int = 8, bits: int = 27, hot
     split = spark.sparkContext.broadcast(_bitmap(counts.filter(F.col("n") >= hot), 22))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["rk", "at", "key", "h1", "h2", "packed", "n"]
+        names = ["rk", "at", "key", "h1", "h2", "packed", "n", "size"]
         for batch in batches:
-            for block in _blocks(batch):
+            for block in blocks(batch, 0):
                 words = Words(block.column(0))
                 s = SuperKmers(words, k, m, split.value)
                 keep = marked.value.has(s.mz)
@@ -212,13 +207,16 @@ def remove_repeats(docs: DataFrame, k: int = 35, m: int = 8, bits: int = 27, hot
                 _, first, inverse = np.unique(h1, return_index=True, return_inverse=True)
                 number = np.zeros(len(a), np.int64)
                 number[first] = np.bincount(inverse)
+                if (h2 != h2[first][inverse]).any():  # one half of the digest isn't enough: all travel
+                    number[:] = 1
                 sent = pa.array(number > 0)
                 rk = block.column(1).to_numpy()[doc]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(rk), pa.array((a - words.first[doc]).astype(np.int32)), pa.array(key.view(np.int64)), pa.array(h1), pa.array(h2),
-                     pc.if_else(sent, packed, pa.scalar(None, pa.large_binary())).cast(pa.binary()), pa.array(number)], names)
+                     pc.if_else(sent, packed, pa.scalar(None, pa.large_binary())).cast(pa.binary()), pa.array(number),
+                     pc.binary_length(packed)], names)
 
-    super_kmers = stash(rows.select("text", "rk").mapInArrow(pack, "rk long, at int, key long, h1 long, h2 long, packed binary, n long"), "superkmers")
+    super_kmers = stash(rows.select("text", "rk").mapInArrow(pack, "rk long, at int, key long, h1 long, h2 long, packed binary, n long, size long"), "superkmers")
 
     def bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed: list[bytes] = []
@@ -244,10 +242,37 @@ def remove_repeats(docs: DataFrame, k: int = 35, m: int = 8, bits: int = 27, hot
                 size, last = size + len(p), key
         yield done()
 
-    sent = super_kmers.filter("n > 0").select("key", "h1", "h2", "packed", "n").repartition("key").sortWithinPartitions("key", "h1", "h2")
-    verdicts = stash(sent.mapInArrow(bucket, "h1 long, h2 long, spans array<int>"), "verdicts")
-    covered = super_kmers.select("rk", "at", "h1", "h2").join(verdicts, ["h1", "h2"]).select("rk", F.transform("spans", lambda x: x + F.col("at")).alias("spans"))
-    covered = covered.groupBy("rk").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(batch, 2):
+                words = Words(block.column(2).cast(pa.large_binary()).cast(pa.large_string()))
+                at = words.run_starts(k)
+                owner = np.searchsorted(words.first, at, "right") - 1
+                w1, w2 = _digests(words.slices(at, at + k))
+                own = [block.column(i).to_numpy()[owner] for i in (0, 1, 3)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*own[:2], (at - words.first[owner]).astype(np.int32), w1, w2, own[2])], ["h1", "h2", "off", "w1", "w2", "n"])
+
+    sent = super_kmers.filter("n > 0")
+    large = stash(sent.groupBy("key").agg(F.sum("size").alias("bytes")).filter(F.col("bytes") > bucket_bytes).select("key"), "large")
+    found = None
+    if not large.isEmpty():
+        single = sent.join(large, "key", "left_semi").select("h1", "h2", "packed", "n")
+        single = stash(single.mapInArrow(windows, "h1 long, h2 long, off int, w1 long, w2 long, n long"), "windows")
+        twice = stash(single.groupBy("w1", "w2").agg(F.sum("n").alias("n")).filter("n > 1").select("w1", "w2"), "twice")
+        starts = single.join(twice, ["w1", "w2"]).select("h1", "h2", "off").distinct().groupBy("h1", "h2").agg(F.sort_array(F.collect_list("off")).alias("o"))
+        found = starts.select("h1", "h2", F.flatten(F.transform("o", lambda x: F.array(x, x + k))).alias("spans"))
+        sent = sent.join(large, "key", "left_anti")
+    dealt = sent.select("key", "h1", "h2", "packed", "n").repartition("key").sortWithinPartitions("key", "h1", "h2").mapInArrow(bucket, "h1 long, h2 long, spans array<int>")
+    verdicts = stash(dealt if found is None else dealt.union(found), "verdicts")
+    covered = super_kmers.select("rk", "at", "h1", "h2").distinct().join(verdicts, ["h1", "h2"]).select("rk", F.transform("spans", lambda x: x + F.col("at")).alias("spans"))
+    return rows, covered.groupBy("rk").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+
+
+def remove_repeats(docs: DataFrame, **options) -> DataFrame:
+    """``(doc_id, n_words, n_removed, kept_text)`` for each row of ``docs(doc_id, text)``; ``options`` of
+    ``repeated_spans``."""
+    with small_batches(docs.sparkSession):
+        rows, covered = repeated_spans(docs, **options)
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
