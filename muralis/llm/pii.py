@@ -28,8 +28,12 @@ EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: Identifier-like tokens that may turn out to be personal: six or more digits and hyphens standing alone.
-TOKEN = r"(?<![0-9A-Za-z.+@_-])[0-9][0-9-]{4,30}+(?<=[0-9])(?![0-9A-Za-z@_-]|\.[0-9])"
+#: Identifier-like tokens that may turn out to be personal, of any length: runs of letters, digits and inner hyphens
+#: with five digits or more, and groups of two to four digits with a space, dot, hyphen or brackets between them.
+TOKEN = (
+    r"(?<![0-9A-Za-z.+@_-])(?=(?:[A-Za-z-]*+[0-9]){5})[0-9A-Za-z]++(?:-[0-9A-Za-z]++)*+(?![@_]|\.[0-9])"
+    r"|(?:\([0-9]{2,4}\)|(?<![0-9A-Za-z.+@_-])[0-9]{2,4})(?:[ .-][0-9]{2,4}(?![0-9A-Za-z@_]))++"
+)
 KINDS = ("email", "ip", "card", "phone")
 _MARK, _OTHER = "\ue000", "\ue001"
 

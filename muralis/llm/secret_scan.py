@@ -77,33 +77,39 @@ def _of_strings(strings: set[str]) -> Query:
 
 
 def trigram_query(pattern: str, most: int = 64) -> Query:
-    """The query that every match of ``pattern`` satisfies; ``("all",)`` if it has no mandatory trigram."""
+    """The query that every match of ``pattern`` satisfies; ``("all",)`` if it has no mandatory trigram.  Characters
+    that the index can't fold as the rule does give none: those beyond ASCII, and under a Unicode ``(?i)`` the
+    letters with a partner beyond ASCII."""
 
-    def node(op, arg) -> tuple[set[str] | None, Query]:
+    def one(code: int, flags: int) -> set[str] | None:
+        partners = "iks" if flags & re.IGNORECASE and not flags & re.ASCII else ""
+        c = chr(code).lower()
+        return None if code > 127 or c in partners else {c}
+
+    def node(op, arg, flags: int) -> tuple[set[str] | None, Query]:
         """(the finite set of strings it matches, or None; a query that holds in any case)"""
         name = str(op)
         if name == "LITERAL":
-            return {chr(arg).lower()}, _ALL
+            return one(arg, flags), _ALL
         if name == "IN":
             chars: set[str] = set()
             for kind, x in arg:
-                if str(kind) == "LITERAL":
-                    chars.add(chr(x).lower())
-                elif str(kind) == "RANGE" and x[1] - x[0] < 8:
-                    chars |= {chr(c).lower() for c in range(x[0], x[1] + 1)}
-                else:
+                codes = [x] if str(kind) == "LITERAL" else range(x[0], x[1] + 1) if str(kind) == "RANGE" and x[1] - x[0] < 8 else None
+                found = [one(c, flags) for c in codes] if codes is not None else [None]
+                if None in found:
                     return None, _ALL
+                chars = chars.union(*found)
             return (chars, _ALL) if len(chars) <= 8 else (None, _ALL)
         if name == "SUBPATTERN":
-            return run(arg[3])
+            return run(arg[3], (flags | arg[1]) & ~arg[2])
         if name == "BRANCH":
-            each = [run(x) for x in arg[1]]
+            each = [run(x, flags) for x in arg[1]]
             if all(s is not None for s, _ in each) and len(out := set().union(*(s for s, _ in each))) <= most:
                 return out, _ALL
             return None, _or([_of_strings(s) if s is not None else q for s, q in each])
         if name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT"):
             least, greatest, child = arg
-            strings, query = run(child)
+            strings, query = run(child, flags)
             if strings is not None and greatest == 1:
                 return (strings | {""} if least == 0 else strings), _ALL
             if strings is not None and least == greatest and len(strings) == 1:
@@ -115,12 +121,12 @@ def trigram_query(pattern: str, most: int = 64) -> Query:
             return {""}, _ALL
         return None, _ALL
 
-    def run(items) -> tuple[set[str] | None, Query]:
+    def run(items, flags: int) -> tuple[set[str] | None, Query]:
         now: set[str] = {""}
         parts: list[Query] = []
         exact = True
         for op, arg in items:
-            strings, query = node(op, arg)
+            strings, query = node(op, arg, flags)
             if strings is not None and len(now) * len(strings) <= most:
                 now = {a + b for a in now for b in strings}
                 continue
@@ -131,7 +137,8 @@ def trigram_query(pattern: str, most: int = 64) -> Query:
             return now, _ALL
         return None, _and([*parts, _of_strings(now)])
 
-    strings, query = run(sre.parse(pattern))
+    parsed = sre.parse(pattern)
+    strings, query = run(parsed, parsed.state.flags)
     return query if strings is None else _of_strings(strings)
 
 
