@@ -6,8 +6,9 @@ whose shrunk rate passes ``host_limit`` lose all their documents.  The prior kee
 being judged on them alone.
 
 Defined cases: a null text has no words and fails; a null host is a host of its own; repeated rows are measured and
-counted again; ties don't arise; an empty table gives no rows; further columns stay or go by the caller's choice.
-Very long texts are sorted window by window inside their row: n log n, no pairs.
+counted again; ties don't arise; an empty table gives no rows; further columns stay or go by the caller's choice, but
+a column with the name of a measure or verdict gives way to it.  Very long texts are sorted window by window inside
+their row: n log n, no pairs.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(text, SPACE), lambda w: w != "")
+    return F.array_remove(F.split(text, SPACE), "")
 
 
 def _dup_lines(text: Column) -> Column:
@@ -33,33 +34,34 @@ def _dup_lines(text: Column) -> Column:
 
 
 def _repeat_words(words: Column, n: int = 3) -> Column:
-    """Words covered by an ``n``-word window whose words occur at least twice in the array: windows are sorted,
-    equal neighbours keep their positions, and the union of the positions' spans is measured in one pass."""
-    windows = F.when(F.size(words) > n, F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.struct(F.array_join(F.slice(words, i + 1, n), " ").alias("t"), i.alias("i"))))
+    """Words covered by an ``n``-word window whose words occur at least twice in the array.  Hashes of the windows are
+    sorted with their positions; neighbours of one hash whose words agree too keep their positions, and the union of
+    the positions' spans is measured in one pass."""
+    hashes = F.when(F.size(words) > n, F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.struct(F.xxhash64(*[F.get(words, i + k) for k in range(n)]).alias("h"), i.alias("i"))))
 
     def covered(starts: Column) -> Column:
         zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
         return F.aggregate(starts, zero, lambda a, i: F.struct((a["n"] + i + n - F.greatest(a["end"], i)).alias("n"), (i + n).alias("end")), lambda a: a["n"])
 
+    def alike(x: Column, y: Column) -> Column:
+        return (x["h"] == y["h"]) & (F.slice(words, x["i"] + 1, n) == F.slice(words, y["i"] + 1, n))
+
     def repeated(s: Column) -> Column:
-        marks = F.transform(s, lambda x, j: F.when((x["t"] == F.get(s, j - 1)["t"]) | (x["t"] == F.get(s, j + 1)["t"]), x["i"]))
+        marks = F.transform(s, lambda x, j: F.when(alike(x, F.get(s, j - 1)) | alike(x, F.get(s, j + 1)), x["i"]))
         return covered(F.sort_array(F.filter(marks, lambda i: i.isNotNull())))
 
-    return F.coalesce(let(F.sort_array(windows), repeated), F.lit(0))
+    return F.coalesce(let(F.sort_array(hashes), repeated), F.lit(0))
 
 
-def measured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the measures of each text and ``base_failed``."""
-    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    m = let(words_of(t), lambda w: F.struct(
+def measures_of(text: Column) -> Column:
+    """A struct of the measures of a text."""
+    t = F.coalesce(text.cast("string"), F.lit(""))
+    return let(words_of(t), lambda w: F.struct(
         F.size(w).cast("long").alias("n_words"),
         F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+        F.regexp_count(t, F.lit(SYMBOL)).cast("long").alias("n_symbols"),
+        _dup_lines(t).cast("long").alias("n_dup_lines"),
         _repeat_words(w).cast("long").alias("n_repeat_words")))
-    out = docs.withColumn("_m", m).withColumns({
-        "n_words": F.col("_m.n_words"), "word_chars": F.col("_m.word_chars"),
-        "n_symbols": F.regexp_count(t, F.lit(SYMBOL)).cast("long"), "n_dup_lines": _dup_lines(t).cast("long"), "n_repeat_words": F.col("_m.n_repeat_words"),
-    }).drop("_m")
-    return out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
 def host_verdicts(measures: DataFrame, host: str, host_limit: float = 0.8, min_prior: float = 2.0) -> DataFrame:
@@ -81,9 +83,13 @@ def host_verdicts(measures: DataFrame, host: str, host_limit: float = 0.8, min_p
 
 
 def quality(docs: DataFrame, host: str = "source", keep_columns: list[str] | None = None, host_limit: float = 0.8) -> DataFrame:
-    """Rows of ``docs`` with their measures, ``base_failed`` and ``kept``; ``keep_columns`` come along."""
-    cols = ["doc_id"] if keep_columns is None else keep_columns
-    rows = measured(docs).select(*[F.col(c) for c in cols], F.col(host).alias("_host"), *MEASURES, "base_failed")
-    rows = stash(rows, "quality")
-    bad = host_verdicts(rows, "_host", host_limit).filter("rejected").select(F.col("host").alias("_bad"), F.lit(True).alias("_out"))
-    return rows.join(bad, rows["_host"].eqNullSafe(bad["_bad"]), "left").withColumn("kept", ~F.col("base_failed") & F.col("_out").isNull()).drop("_host", "_bad", "_out")
+    """Rows of ``docs(text, host)`` with their measures, ``base_failed`` and ``kept``; ``keep_columns`` (else
+    ``doc_id``) come along."""
+    own = {*MEASURES, "base_failed", "kept"}
+    cols = [c for c in (["doc_id"] if keep_columns is None else keep_columns) if c.lower() not in own]
+    rows = docs.select(F.struct(*cols).alias("row") if cols else F.lit(None).alias("row"), F.col(host).alias("host"), measures_of(F.col("text")).alias("m"))
+    failed = (F.col("m.n_words") < 50) | (100 * F.col("m.n_repeat_words") > 50 * F.col("m.n_words"))
+    rows = stash(rows.withColumn("base_failed", failed), "quality")
+    bad = host_verdicts(rows, "host", host_limit).filter("rejected").select(F.col("host").alias("bad"), F.lit(True).alias("out"))
+    met = rows.join(bad, rows["host"].eqNullSafe(bad["bad"]), "left")
+    return met.select(*(["row.*"] if cols else []), "m.*", "base_failed", (~F.col("base_failed") & F.col("out").isNull()).alias("kept"))
