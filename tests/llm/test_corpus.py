@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from muralis.llm import bpe_count, decontam, html_extract, minhash, mixing, quality, queries, records, substring
 from muralis.llm.bpe_encode import Encoder
@@ -151,6 +152,49 @@ def test_near_duplicates_in_large_buckets(spark):
     assert [got[i].class_id for i in range(len(texts))] == label.tolist()
 
 
+def near_classes(texts, similarity=0.8):
+    """Least index of each text's class, by all pairs of multisets of five-word runs."""
+    bags = [collections.Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if (w := WORD.findall(t or "")) else None for t in texts]
+    number: dict = {}
+    for bag in bags:
+        for x, c in (bag or {}).items():
+            for k in range(c):
+                number.setdefault((x, k), len(number))
+    has = np.zeros((len(texts), len(number)), np.float32)
+    for row, bag in zip(has, bags, strict=True):
+        row[[number[x, k] for x, c in (bag or {}).items() for k in range(c)]] = 1
+    common, size = has @ has.T, has.sum(axis=1)
+    near = (common >= similarity * (size[:, None] + size - common) - 1e-6) & (size[:, None] > 0) & (size > 0)
+    np.fill_diagonal(near, True)
+    label = np.arange(len(texts))
+    while True:
+        new = np.where(near, label, len(texts)).min(axis=1)
+        if (new == label).all():
+            return label.tolist()
+        label = new
+
+
+def test_near_duplicates_in_one_cluster_of_2000_edited_copies(spark):
+    rng = random.Random(21)
+    base = prose(rng, 120).split(" ")
+    texts = []
+    for _ in range(2000):
+        w = list(base)
+        for _ in range(rng.randint(0, 6)):
+            w[rng.randrange(120)] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    got = by_id(minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    want = near_classes(texts)
+    assert 1 < len(set(want)) < 1900
+    assert [got[i].class_id for i in range(2000)] == want
+
+
+def test_near_duplicates_of_the_documents_table(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").collect()
+    got = by_id(minhash.near_duplicates(spark.createDataFrame([(i, r.text) for i, r in enumerate(rows)], "doc_id long, text string")))
+    assert [got[i].class_id for i in range(len(rows))] == near_classes([r.text for r in rows])
+
+
 def test_bag_minhash_estimates_weighted_jaccard():
     rng = np.random.default_rng(0)
     h = rng.integers(1, 1 << 62, 300, dtype=np.uint64)
@@ -176,6 +220,19 @@ def test_repeated_passages_with_split_minimisers(docs):
     assert plain == split
 
 
+def test_repeated_passages_window_by_window(docs):
+    """Minimisers of more than ``bucket_bytes`` are counted window by window."""
+    plain, single = (sorted(map(tuple, substring.remove_repeats(docs, bucket_bytes=b).collect()), key=repr) for b in (2 << 20, 300))
+    assert plain == single
+
+
+def test_repeated_passages_of_many_equal_rows(spark):
+    text = prose(random.Random(4), 4000)
+    df = spark.range(1500).select(F.lit(7).cast("long").alias("doc_id"), F.lit(text).alias("text")).repartition(8)
+    rows = substring.remove_repeats(df).groupBy("doc_id", "n_words", "n_removed", "kept_text").count().collect()
+    assert [tuple(r) for r in rows] == [(7, 4000, 4000, "", 1500)]
+
+
 def test_contamination(spark, docs, texts, empty):
     items = [(1, " ".join(texts[14].split(" ")[28:60])), (2, "nothing like it in any of these documents at all"), (3, None), (10, "One, two; THREE four"), (11, " ".join(texts[13].split(" ")[100:120]))]
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -196,6 +253,8 @@ def test_contamination(spark, docs, texts, empty):
                     who |= found
         want = (len(w), len(hit), len(who), hashlib.sha256(",".join(sorted(who)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w))
         assert tuple(got[i][c] for c in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")) == want, i
+    # without broadcasts, candidates come back to their documents in blocks
+    assert sorted(map(tuple, decontam.contamination(docs, bench, broadcast_rows=0, block=20).collect()), key=repr) == sorted(map(tuple, decontam.contamination(docs, bench).collect()), key=repr)
     assert decontam.contamination(empty, bench).collect() == []
     assert not any(r.n_hit for r in decontam.contamination(docs, bench.limit(0)).collect())
 
@@ -216,7 +275,7 @@ def test_mix(spark, docs, empty):
 
 
 def test_mix_of_a_small_source_beside_a_large_one(spark):
-    """However many blocks other sources need, each meets its target by the landing of fourteen."""
+    """However many blocks other sources need, each meets its target, whatever its longest document."""
     rng = random.Random(5)
     rows = [(i, "w " * rng.randint(1, 60), "a") for i in range(1500)]
     rows += [(10_000 * (k + 1) + i, "w " * (5000 if i == 0 else rng.randint(1, 400)), f"b{k}") for k in range(4) for i in range(100)]
@@ -228,15 +287,50 @@ def test_mix_of_a_small_source_beside_a_large_one(spark):
     assert len(got) == len(rows) and all(abs(taken[s] - t) <= 20 for s, t in target.items()), (taken, target)
 
 
-def test_targets():
-    assert mixing.targets([10, 10, 10], [5, 2, 1]) == [20, pytest.approx(50 / 3), pytest.approx(25 / 3)]
-    assert mixing.targets([0, 0], [5, 2]) == [0, 0] and mixing.targets([], []) == []
-    assert mixing.targets([100, 1, 1], [5, 2, 1])[1:] == [2, 2]
+def brute_targets(sizes, weights, share=1.5, cap=2.0):
+    """Every capped set is tried by adding the sources that are above, until none is."""
+    full = set()
+    while True:
+        open_ = [i for i, x in enumerate(sizes) if x > 0 and i not in full]
+        left = share * sum(sizes) - sum(cap * sizes[i] for i in full)
+        out = [cap * x if i in full else left * weights[i] / sum(weights[j] for j in open_) if i in open_ else 0.0 for i, x in enumerate(sizes)]
+        over = {i for i in open_ if out[i] > cap * sizes[i]}
+        if not over:
+            return out
+        full |= over
+
+
+@pytest.mark.parametrize("sizes", [[10, 10, 10], [0, 0], [], [100, 1, 1], [1, 2, 3, 4, 5000, 6, 7], [1000, 3, 0, 40, 7]])
+def test_targets(spark, sizes):
+    rows = [(i, "w " * n, f"s{i:02d}" if i < len(sizes) - 1 else None) for i, n in enumerate(sizes)]
+    got = by_id(mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")))
+    want = brute_targets(sizes, [(5, 2, 1)[i % 3] for i in range(len(sizes))])
+    assert [got[i].target for i in range(len(sizes))] == pytest.approx(want)
+    assert [(got[i].size, got[i].source_size) for i in range(len(sizes))] == [(n, n) for n in sizes]
+
+
+def test_mix_of_repeated_ids_agrees(spark):
+    rng = random.Random(9)
+    rows = [(i % 7, "w " * rng.randint(1, 9) + str(i % 90), "a" if i % 2 else "b") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    first, again = (collections.Counter(map(tuple, mixing.mix(x, key=True).collect())) for x in (df, df.repartition(3, "text")))
+    assert first == again
+    first, again = (collections.Counter(map(tuple, mixing.resample(x).collect())) for x in (df, df.repartition(3, "text")))
+    assert first == again and set(first) <= set(rows)
+
+
+def test_draws_keep_probabilities():
+    size = np.sort(np.random.default_rng(2).integers(1, 100, 60))[::-1].astype(float)
+    seen = np.zeros(60)
+    for seed in range(3000):
+        rng = np.random.default_rng(seed)
+        seen += mixing.landing(mixing.flight(mixing.outliers(np.full(60, 0.3), size, rng), size, rng), size, rng)
+    assert abs(seen / 3000 - 0.3).max() < 0.04
 
 
 def test_flight_keeps_totals():
     rng = np.random.default_rng(4)
-    p, size = rng.random(500), rng.integers(1, 1000, 500).astype(float)
+    p, size = rng.random(500), np.sort(rng.integers(1, 1000, 500))[::-1].astype(float)
     out = mixing.flight(p, size, rng)
     assert ((out > 0) & (out < 1)).sum() <= 2 and abs(out.sum() - p.sum()) < 1e-6 and abs(out @ size - p @ size) < 1e-3
 

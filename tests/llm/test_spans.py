@@ -7,7 +7,7 @@ import re
 import pytest
 
 from muralis.llm.pii import KINDS, personal_data
-from muralis.llm.secret_scan import BASE_RULES, MORE_RULES, secrets, trigram_query
+from muralis.llm.secret_scan import BASE_RULES, MORE_RULES, Rule, secrets, trigram_query
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -72,10 +72,12 @@ def test_personal_data_against_brute_force(spark, texts):
 def test_contexts_discover_unseen_identifiers(spark):
     rows = [(i, f"words here reachable at +1 (389) 555-50{i:02d} and more words") for i in range(20)]
     rows += [(100, "he was reachable at 389-55-7712 then"), (101, "he counted up to 389-55-7713 then"), (101, "again 389-55-7713")]
+    rows += [(102, "he was reachable at (389) 555-5012 then"), (103, "he was reachable at X12345678 then"), (104, "he was reachable at " + "12-" * 15 + "7 then")]
     got = {}
     for r in personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect():
         got.setdefault(r.doc_id, []).append((r.n_other, r.spans))
     assert got[100] == [(1, "other:20:31")]
+    assert got[102] == [(1, "other:20:34")] and got[103] == [(1, "other:20:29")] and got[104] == [(1, "other:20:66")]
     assert sorted(got[101]) == [(0, ""), (0, "")]
 
 
@@ -101,5 +103,25 @@ def test_trigram_queries():
     assert all(trigram_query(r.pattern) != ("all",) for r in MORE_RULES)
 
 
+def test_added_secrets_against_brute_force(spark, texts):
+    rng = random.Random(2)
+    long = lambda n: "".join(rng.choice("ABCxyz019") for _ in range(n))
+    more = [f"ghp_{long(36)} xoxb-{long(12)} sk_live_{long(20)}", f"AIza{long(35)} eyJ{long(9)}.eyJ{long(9)}.{long(9)}", "-----BEGIN RSA PRIVATE KEY-----", f"ghp_{long(35)}", f"AIza{long(40)}x"]
+    rows = [*texts[:200], *more]
+    got = {r.doc_id: r for r in secrets(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(rows):
+        spans = [(m.start(), k, m.end(), kind) for k, (kind, ms) in enumerate(base_secret(t or "").items()) for m in ms]
+        spans += [(m.start(), 3 + k, m.end(), r.kind) for k, r in enumerate(MORE_RULES) for m in re.finditer(r.pattern, t or "")]
+        assert got[i].spans == ",".join(f"{kind}:{a}:{b}" for a, _, b, kind in sorted(spans))
+    assert sum(got[200 + i].n_more for i in range(len(more))) == 7
+
+
+def test_rules_beyond_ascii_lose_no_match(spark):
+    rules = (Rule("unit", "(?i)kelvin"), Rule("apple", "Äpfel[0-9]+"), Rule("key", "(?ai:skey)[0-9]"))
+    rows = [(0, "\u212aelvin KELVIN kelvin"), (1, "Äpfel12 äpfel12"), (2, "SKEY1 \u017fkey1"), (3, "nothing")]
+    got = {r.doc_id: r.spans for r in secrets(spark.createDataFrame(rows, "doc_id long, text string"), base=rules, more=()).collect()}
+    assert got == {0: "unit:0:6,unit:7:13,unit:14:20", 1: "apple:0:7", 2: "key:0:5", 3: ""}
+
+
 def test_secrets_of_nothing(spark):
     assert secrets(spark.createDataFrame([], "doc_id long, text string")).collect() == []
