@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from muralis.llm import decontam, minhash, mixing, quality, records
@@ -34,23 +34,36 @@ def _stage(f):
     return functools.wraps(f)(run_stage)
 
 
+def _carried(docs: DataFrame) -> DataFrame:
+    """The columns that stages judge, the row's key, and the whole row beside them, so that no name clashes."""
+    return docs.select("doc_id", "text", "source", row_key("doc_id", "text").alias("key"), F.struct("*").alias("whole"))
+
+
 @_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: rejected documents go."""
-    return quality.quality(docs, keep_columns=docs.columns).filter("kept").select(*docs.columns)
+    return quality.quality(_carried(docs), keep_columns=["whole"]).filter("kept").select("whole.*")
 
 
 @_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 2: the document with the least id of each class stays; of equal rows, one."""
-    kept = minhash.near_duplicates(docs).filter("kept").select(F.col("rk").alias("_rk")).distinct()
-    return docs.withColumn("_key", row_key("doc_id", "text")).join(kept, F.col("_key") == F.col("_rk")).dropDuplicates(["_key"]).select(*docs.columns)
+    """Operator 2: the document with the least id of each class stays; of rows that share id and text, the first by
+    their other columns."""
+    kept = minhash.near_duplicates(docs).filter("kept").select("rk").distinct()
+    rest = F.to_json(F.struct(*[c for c in docs.columns if c != "text"]))
+    rows = docs.select(row_key("doc_id", "text").alias("key"), rest.alias("rest"), F.struct("*").alias("whole")).join(kept, F.col("key") == F.col("rk"))
+    first = F.row_number().over(Window.partitionBy("key").orderBy("rest"))
+    return rows.withColumn("nth", first).filter("nth = 1").select("whole.*")
 
 
 @_stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5: contaminated documents go."""
-    return decontam.contamination(docs, table(spark, sf_dir, "benchmark"), keep_columns=docs.columns).filter(~F.col("contaminated")).select(*docs.columns)
+    """Operator 5: contaminated documents go.  Their keys are written first; so Spark knows their size when it chooses
+    between a broadcast and a shuffle of the texts."""
+    found = decontam.contamination(docs, table(spark, sf_dir, "benchmark"), key=True)
+    bad = stash(found.filter("contaminated").select("rk").distinct(), "contaminated")
+    rows = _carried(docs)
+    return rows.join(bad, rows["key"] == bad["rk"], "left_anti").select("whole.*")
 
 
 @_stage
@@ -83,5 +96,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: Sampling and near-duplicate detection have no SQL; tests/llm/test_pipeline.py holds the rows against brute force.
+#: Sampling, near-duplicate detection and tokens have no SQL; tests/llm/test_pipeline.py holds each stage's rows
+#: against a plain Python version of it, and the mix against its totals.
 ORACLE_SQL = None
