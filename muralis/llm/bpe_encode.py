@@ -33,50 +33,49 @@ def cuttable(text: str) -> bool:
     return not any(pair in text for pair in _after_space)
 
 
-class _Tokens(dict):
-    """Pre-token -> packed ids, by the library's own model, which takes it in the byte alphabet."""
-
-    def __init__(self, model, packed, limit):
-        alphabet = byte_alphabet()
-        self.model, self.packed, self.limit = model, packed, limit
-        self.map = {i: alphabet[i] for i in range(256)}
-
-    def __missing__(self, token):
-        if len(self) >= self.limit:
-            self.clear()
-        key = token.encode().decode("latin-1").translate(self.map)
-        self[token] = out = b"".join([self.packed[t.id] for t in self.model.tokenize(key)])
-        return out
-
-
-class _Pieces(dict):
-    def __init__(self, owner, lead):
-        self.owner, self.lead = owner, lead
-
-    def __missing__(self, piece):
-        if len(self) >= self.owner.limit:
-            self.clear()
-        self[piece] = out = self.owner.piece(self.lead + piece)
+class _Memo(dict):
+    """Text -> packed ids.  Keys of more than ``LONGEST`` characters aren't kept, and a memo that has taken ``room``
+    bytes is emptied, so memory stays bounded whatever the texts are."""
+
+    LONGEST, ENTRY = 64, 250  # an entry's own bytes: two objects and a slot of the table
+
+    def __init__(self, find, room: int):
+        self.find, self.room, self.left = find, room, room
+
+    def __missing__(self, key: str) -> bytes:
+        out = self.find(key)
+        if len(key) <= self.LONGEST:
+            self.left -= self.ENTRY + 4 * len(key) + len(out)
+            if self.left < 0:
+                self.clear()
+                self.left = self.room
+            self[key] = out
         return out
 
 
 class Encoder:
     """``encode(text)`` gives the ids as packed little-endian integers of ``dtype``.
 
-    ``limit`` bounds each memo's number of entries; a full memo is emptied, so memory stays bounded."""
+    ``room`` bounds the bytes that all memos together hold."""
 
-    def __init__(self, path: str, limit: int = 800_000):
+    def __init__(self, path: str, room: int = 48 << 20):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.limit = limit
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         packed = [int(i).to_bytes(self.dtype.itemsize, "little") for i in range(self.tokenizer.get_vocab_size())]
-        self.tokens = _Tokens(self.tokenizer.model, packed, limit)
-        self.first, self.later = _Pieces(self, ""), _Pieces(self, " ")
+        model, stand_in = self.tokenizer.model, dict(enumerate(byte_alphabet()))
+
+        def by_model(token: str) -> bytes:
+            """A pre-token by the library's own model, which takes it in the byte alphabet."""
+            return b"".join([packed[t.id] for t in model.tokenize(token.encode().decode("latin-1").translate(stand_in))])
+
+        self.tokens = _Memo(by_model, room // 2)
+        self.first = _Memo(self.piece, room // 4)
+        self.later = _Memo(lambda piece: self.piece(" " + piece), room // 4)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()

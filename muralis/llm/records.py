@@ -10,8 +10,11 @@ token ids``.  Beside each shard lies an index, ``u64`` offsets of all frames and
 visits frames in any order.  Shards follow one another in ascending id order.
 
 Defined cases: a null text is an empty one, whose sequence is the end id alone; null ids come first and keep their
-null; rows that repeat an id are all written, ordered by text; an empty table gives no shard and no rows; further
-columns are ignored.
+null; rows that repeat an id are all written, ordered by a hash of their text; an empty table gives no shard and no
+rows; further columns are ignored.
+
+Scale: rows are dealt by ranges of id, then hash of the text, then a running number, so that neither null ids nor rows
+that repeat an id or are equal make one large range.  A writer holds one batch of texts and one frame.
 
 Recovery: a task writes under a name of its own and reports it only when the file is complete; the manifest lists
 just the reported files, so a lost or repeated attempt leaves at most a file that nobody reads.  Nothing but the
@@ -28,10 +31,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from muralis.llm.common import fresh_dir, stash
+from muralis.llm.common import blocks, fresh_dir, small_batches, stash
 
 _U32, _U64, _HEAD = struct.Struct("<I"), struct.Struct("<Q"), struct.Struct("<BqB")
 FRAME_OVERHEAD = 16
@@ -75,8 +79,8 @@ def _fs(uri: str):
 
 
 def write_shards(docs: DataFrame, tokenizer: str, end_id: int, label: str = "records") -> DataFrame:
-    """Encode ``docs(doc_id, text)`` and write its shards; returns the manifest
-    ``(path, n_records, n_tokens, first_id)``, one row a shard, already computed."""
+    """Encode ``docs(doc_id, text)`` and write its shards; returns the manifest ``(path, n_records, n_tokens, part)``,
+    one row a shard, already computed; shards follow one another by ``part``."""
     spark, where = docs.sparkSession, fresh_dir(docs.sparkSession, label)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,24 +95,25 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, label: str = "rec
         files.create_dir(folder, recursive=True)
         name = f"shard-{uuid.uuid4().hex}"
         n_tokens, at = 0, [0]
-        with files.open_output_stream(f"{folder}/{name}.rec") as out:
-            for batch in itertools.chain([first], batches):
-                done = []
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        with files.open_output_stream(f"{folder}/{name}.rec", buffer_size=1 << 20) as out:
+            for block in (b for batch in itertools.chain([first], batches) for b in blocks(batch, 1)):
+                for doc_id, text in zip(block.column(0).to_pylist(), block.column(1).to_pylist(), strict=True):
                     ids = enc.encode(text or "") + end
                     n_tokens += len(ids) // width
-                    done.append(frame(pack(doc_id, ids, width)))
-                    at.append(at[-1] + len(done[-1]))
-                out.write(b"".join(done))
+                    done = frame(pack(doc_id, ids, width))
+                    at.append(at[-1] + len(done))
+                    out.write(done)
         with files.open_output_stream(f"{folder}/{name}.idx") as out:
             out.write(np.array(at, "<u8").tobytes())
         yield pa.RecordBatch.from_pydict(
-            {"path": [f"{where}/{name}"], "n_records": [len(at) - 1], "n_tokens": [n_tokens], "first_id": [first.column(0)[0].as_py()]},
-            schema=pa.schema([("path", pa.string()), ("n_records", pa.int64()), ("n_tokens", pa.int64()), ("first_id", pa.int64())]),
+            {"path": [f"{where}/{name}"], "n_records": [len(at) - 1], "n_tokens": [n_tokens], "part": [TaskContext.get().partitionId()]},
+            schema=pa.schema([("path", pa.string()), ("n_records", pa.int64()), ("n_tokens", pa.int64()), ("part", pa.int64())]),
         )
 
-    dealt = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return stash(dealt.mapInArrow(write, "path string, n_records long, n_tokens long, first_id long"), label)
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("i"))
+    dealt = keyed.repartitionByRange("doc_id", "h", "i").sortWithinPartitions("doc_id", "h", "i").select("doc_id", "text")
+    with small_batches(spark):
+        return stash(dealt.mapInArrow(write, "path string, n_records long, n_tokens long, part long"), label)
 
 
 def read_frames(path: str, shuffle_seed: int | None = None) -> Iterator[tuple[int, int | None, np.ndarray]]:
@@ -137,7 +142,7 @@ def read_frames(path: str, shuffle_seed: int | None = None) -> Iterator[tuple[in
 def read_shards(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     """Read the shards back: ``(doc_id, start, n_tokens, ids_crc32)``, ``start`` counting the ids of all
     documents before."""
-    rows = sorted(manifest.collect(), key=lambda r: (r.first_id is not None, r.first_id or 0))
+    rows = manifest.orderBy("part").collect()
     base = itertools.accumulate((r.n_tokens for r in rows), initial=0)
     shards = spark.createDataFrame([(r.path, b) for r, b in zip(rows, base, strict=False)], "path string, base long")
 
