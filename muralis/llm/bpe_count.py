@@ -3,7 +3,7 @@
 The pre-tokens of a batch lie end to end in one ragged numpy array of symbol ids.  In each round every sequence
 finds the lowest rank among its adjacent pairs, and all sequences apply their own lowest-rank pair at once; a
 sequence without a known pair is finished, and its surviving symbols are counted.  A count depends on the
-pre-token alone, so each distinct one is merged once for a batch and remembered in a bounded memo.
+pre-token alone, so each distinct one is merged once for a block and remembered in a memo bounded in bytes.
 
 Defined cases: null and empty texts count 0 tokens and 0 bytes; special strings inside a text count as the library
 counts them, one token each; repeated rows are counted again; an empty table gives no rows; further columns are
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from muralis.llm.bpe_encode import PLAIN, SPLIT, byte_alphabet, cuttable
-from muralis.llm.common import text_buffer
+from muralis.llm.common import blocks, text_buffer
 
 _NONE = np.iinfo(np.int32).max
 
@@ -87,10 +87,15 @@ def merge_counts(raw: np.ndarray, offsets: np.ndarray, rules: MergeTable) -> np.
 
 
 class Counter:
-    def __init__(self, path: str, limit: int = 800_000):
+    """Counts with a memo of pieces and one of pre-tokens.  Between blocks, keys of more than ``LONGEST`` characters
+    go, and memos that have taken ``room`` bytes are emptied."""
+
+    LONGEST, ENTRY = 64, 200  # an entry's own bytes: two objects and a slot of the table
+
+    def __init__(self, path: str, room: int = 96 << 20):
         from tokenizers import Tokenizer
 
-        self.rules, self.limit = MergeTable(path), limit
+        self.rules, self.room, self.left = MergeTable(path), room, room
         self.pre = Tokenizer.from_file(path).pre_tokenizer
         self.special = re.compile("|".join(map(re.escape, self.rules.specials)) or r"(?!)")
         self.pieces: dict[str, int] = {}
@@ -108,10 +113,19 @@ class Counter:
             raw, at = text_buffer(pa.array(new, pa.large_string()))
             self.tokens.update(zip(new, merge_counts(raw, at, self.rules).tolist(), strict=True))
         self.pieces.update((p, sum(map(self.tokens.__getitem__, ts))) for p, ts in parts.items())
+        self.fresh = ((self.tokens, new), (self.pieces, pieces))
+
+    def _trim(self) -> None:
+        for memo, keys in self.fresh:
+            for key in keys:
+                if len(key) > self.LONGEST:
+                    del memo[key]
+                else:
+                    self.left -= self.ENTRY + 4 * len(key)
+        if self.left < 0:
+            self.pieces, self.tokens, self.left = {}, {}, self.room
 
     def count(self, texts: list[str | None]) -> list[int]:
-        if len(self.pieces) > self.limit or len(self.tokens) > self.limit:
-            self.pieces, self.tokens = {}, {}
         cut: list[list[str]] = []
         extra = []
         for text in texts:
@@ -130,14 +144,17 @@ class Counter:
             cut.append(out)
             extra.append(n)
         self._learn({p for p in set().union(*cut) if p not in self.pieces})
-        return [sum(map(self.pieces.__getitem__, ps)) + n for ps, n in zip(cut, extra, strict=True)]
+        counts = [sum(map(self.pieces.__getitem__, ps)) + n for ps, n in zip(cut, extra, strict=True)]
+        self._trim()
+        return counts
 
 
 _counters: dict[str, Counter] = {}
 
 
-def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, block: int = 400) -> DataFrame:
-    """``(doc_id, n_bytes, n_tokens, over_limit)`` for each row of ``docs(doc_id, text)``, ``block`` texts at a time."""
+def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, block_bytes: int = 1 << 20) -> DataFrame:
+    """``(doc_id, n_bytes, n_tokens, over_limit)`` for each row of ``docs(doc_id, text)``, in blocks of about
+    ``block_bytes`` of text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer not in _counters:
@@ -145,8 +162,8 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, block: int
         counter = _counters[tokenizer]
         for batch in batches:
             counts: list[int] = []
-            for k in range(0, batch.num_rows, block):
-                counts += counter.count(batch.column(1).slice(k, block).to_pylist())
+            for block in blocks(batch, 1, block_bytes):
+                counts += counter.count(block.column(1).to_pylist())
             _, at = text_buffer(batch.column(1))
             n = np.array(counts, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at)), pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
