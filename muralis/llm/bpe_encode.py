@@ -34,19 +34,23 @@ def cuttable(text: str) -> bool:
 
 
 class _Memo(dict):
-    """Text -> packed ids.  Keys of more than ``LONGEST`` characters aren't kept, and a memo that has taken ``room``
-    bytes is emptied, so memory stays bounded whatever the texts are."""
+    """Text -> packed ids.  Keys of more than ``LONGEST`` characters aren't kept.  A memo that has taken half of
+    ``room`` bytes becomes the old one, and what isn't asked for again goes with it; so memory stays bounded whatever
+    the texts are, and common pieces stay."""
 
-    LONGEST, ENTRY = 64, 250  # an entry's own bytes: two objects and a slot of the table
+    LONGEST, ENTRY = 64, 180  # an entry's own bytes: two objects and a slot of the table
 
     def __init__(self, find, room: int):
-        self.find, self.room, self.left = find, room, room
+        self.find, self.old, self.room, self.left = find, {}, room // 2, room // 2
 
     def __missing__(self, key: str) -> bytes:
-        out = self.find(key)
+        out = self.old.get(key)
+        if out is None:
+            out = self.find(key)
         if len(key) <= self.LONGEST:
-            self.left -= self.ENTRY + 4 * len(key) + len(out)
+            self.left -= self.ENTRY + 2 * len(key)
             if self.left < 0:
+                self.old = dict(self)
                 self.clear()
                 self.left = self.room
             self[key] = out
@@ -58,7 +62,7 @@ class Encoder:
 
     ``room`` bounds the bytes that all memos together hold."""
 
-    def __init__(self, path: str, room: int = 48 << 20):
+    def __init__(self, path: str, room: int = 224 << 20):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -74,8 +78,8 @@ class Encoder:
             return b"".join([packed[t.id] for t in model.tokenize(token.encode().decode("latin-1").translate(stand_in))])
 
         self.tokens = _Memo(by_model, room // 2)
-        self.first = _Memo(self.piece, room // 4)
-        self.later = _Memo(lambda piece: self.piece(" " + piece), room // 4)
+        self.first = _Memo(self.piece, room // 16)
+        self.later = _Memo(lambda piece: self.piece(" " + piece), room * 7 // 16)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
