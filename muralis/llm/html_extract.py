@@ -7,12 +7,13 @@ level for all pages of a block at once, and give every element's content margina
 gradient ascent on the exact conditional likelihood of labelled pages, which are generated from a fixed seed
 (``labelled_pages``; ``train_pages`` bounds their number) in many templates, so nothing is fitted to the input.
 
-The text of an element goes to its nearest block element; a block is kept if the text's element is content, or is
-inline markup inside content.  Character references are decoded, white space inside a block becomes one space,
+A piece of text is kept if its own element is content; pieces between two edges of block elements make a block.
+Character references are decoded, white space inside a block becomes one space,
 blocks are trimmed and joined in page order by one line break.
 
 Defined cases: null and empty pages, and pages without content, give the empty string; unclosed, stray and
-misnested tags are repaired as browsers do in simple cases; a repeated row is extracted again; an empty table gives
+misnested tags are repaired as browsers do in simple cases; an attribute's quote that is never closed ends with its
+tag; ``svg`` and ``math`` are elements like others, so formulas in an article are kept; a repeated row is extracted again; an empty table gives
 no rows; further columns are ignored.  Pages are independent: nothing is shuffled, memory holds one block of pages.
 """
 
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 #: HTML's element classes (fixed values).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg math".split())
+RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
 BLOCK = frozenset("html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul caption button label".split())
 #: An opening tag of the key closes an open element of the value (fixed values).
 CLOSES = {t: frozenset(["p"]) for t in "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split()}
@@ -38,7 +39,8 @@ CLOSES |= {"li": frozenset(["li", "p"]), "dt": frozenset(["dt", "dd", "p"]), "dd
 #: Beyond these no implied end tag reaches.
 SCOPE = frozenset("html body div section article aside main table ul ol dl td th form nav header footer blockquote figure".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+#: Comments, declarations and tags.  A quote that is never closed ends with its tag.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*+)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _SPACES = re.compile(r"\s+")
 _NAME = re.compile(r"[A-Za-z]+")
@@ -130,9 +132,10 @@ class Page:
 HINTS = ("nav", "menu", "head", "foot", "side", "ad", "ads", "advert", "banner", "promo", "sponsor", "cookie", "notice", "consent", "alert", "comment", "reply", "discuss", "share", "social", "related", "recommend", "breadcrumb", "pagination", "form", "login", "search", "subscribe", "newsletter", "widget", "popup", "modal", "legal", "copyright", "tag", "article", "content", "main", "post", "entry", "story", "body", "text", "page", "hidden")
 TAGS = ("html", "body", "head", "header", "footer", "nav", "aside", "article", "main", "section", "div", "form", "ul", "ol", "li", "p", "h1", "h2", "h3", "table", "tr", "td", "th", "a", "b", "strong", "em", "i", "span", "blockquote", "pre", "code", "figure", "figcaption", "button", "label", "select", "option", "input", "dl", "dt", "dd", "script", "style", "title")
 _HASHED = 64
-N_FEATURES = 1 + len(TAGS) + 1 + len(HINTS) + _HASHED + 8
+N_FEATURES = 1 + len(TAGS) + 1 + len(HINTS) + _HASHED + 8 + 3
 _TAG_AT = {t: 1 + i for i, t in enumerate(TAGS)}
 _HINT_AT = {h: 2 + len(TAGS) + i for i, h in enumerate(HINTS)}
+_MAIN = re.compile(r"\b(?:article|content|main|post|entry|story)")
 _PREFIXES = tuple(h for h in HINTS if len(h) > 3)
 
 
@@ -163,6 +166,7 @@ def features(page: Page) -> tuple[np.ndarray, np.ndarray]:
     rows: list[int] = []
     cols: list[int] = []
     base = 2 + len(TAGS) + len(HINTS) + _HASHED
+    framed = any(t in ("article", "main") for t in page.tag) or any(m and _MAIN.search(m) for m in page.names)
     for e in range(n):
         key = (page.tag[e], page.names[e])
         own = _fixed.get(key)
@@ -171,6 +175,10 @@ def features(page: Page) -> tuple[np.ndarray, np.ndarray]:
             if len(_fixed) < 100_000:
                 _fixed[key] = own
         own = [*own, base + min(3, int(chars[e] > 20) + int(chars[e] > 80) + int(chars[e] > 300))]
+        if page.tag[e] not in BLOCK:
+            own.append(base + 8)
+        if not framed:  # a page whose blocks stand in its body
+            own.append(base + 9 + (page.tag[page.parent[e]] in ("#root", "body")))
         own.append(base + 4 + (2 if linked[e] > 0.6 * chars[e] else 1 if linked[e] > 0.2 * chars[e] else 0) if chars[e] else base + 7)
         rows += [e] * len(own)
         cols += own
@@ -230,17 +238,18 @@ def labelled_pages(n: int, seed: int = 11) -> Iterator[tuple[Page, np.ndarray]]:
     def chrome() -> str:
         k = int(rng.integers(13))
         words = prose(int(rng.integers(2, 30)))
+        outer, each, title = pick("section", "div"), pick("div", "article", "li"), pick("h1", "div", "p")
         return [
             lambda: f"<nav{pick('', ' class=menu', ' id=topnav')}>{links(int(rng.integers(2, 9)))}</nav>",
-            lambda: f"<header{pick('', ' class=masthead')}><{pick('h1', 'div', 'p')}>{prose(3)}</{pick('h1', 'div', 'p')}>{links(3)}</header>",
+            lambda: f"<header{pick('', ' class=masthead')}><{title}>{prose(3)}</{title}>{links(3)}</header>",
             lambda: f"<footer{pick('', ' class=site-footer')}>&copy; {pick(words, f'<p>{words}</p>', links(4))}</footer>",
             lambda: f"<aside{pick('', ' class=sidebar', ' class=related')}><h3>{prose(2)}</h3>{pick(links(4), f'<p>{words}</p>')}</aside>",
             lambda: f"<div class=\"{pick('ad', 'ads', 'advert', 'ad-slot', 'banner', 'sponsored', 'promo')}\">{pick(words, f'<p>{words}</p>', f'<a href=x>{words}</a>')}</div>",
             lambda: f"<div class=\"{pick('cookie-notice', 'notice', 'consent-banner', 'alert', 'gdpr notice')}\"><p>{words}</p><button>{prose(1)}</button></div>",
             lambda: f"<form action=x{pick('', ' class=search', ' class=newsletter')}><label>{prose(2)}</label><input name=q>{pick('', f'<p>{words}</p>')}<button>{prose(1)}</button></form>",
-            lambda: f"<{pick('section', 'div')} class=\"{pick('comments', 'comment-list', 'discussion', 'replies')}\"><h2>{prose(1)}</h2>" + "".join(f"<{pick('div', 'article', 'li')} class=comment><p>{prose(int(rng.integers(4, 40)))}</p></div>" for _ in range(int(rng.integers(1, 5)))) + f"</{pick('section', 'div')}>",
+            lambda: f"<{outer} class=\"{pick('comments', 'comment-list', 'discussion', 'replies')}\"><h2>{prose(1)}</h2>" + "".join(f"<{each} class=comment><p>{prose(int(rng.integers(4, 40)))}</p></{each}>" for _ in range(int(rng.integers(1, 5)))) + f"</{outer}>",
             lambda: f"<div class=\"{pick('sidebar', 'side-col', 'widget', 'related-posts', 'share', 'social')}\">{pick(links(5), f'<p>{words}</p>')}</div>",
-            lambda: f"<div id=\"{pick('menu', 'nav', 'header', 'footer', 'breadcrumbs')}\">{pick(links(5), f'<p>{words}</p>', words)}</div>",
+            lambda: f"<div id=\"{pick('menu', 'nav', 'header', 'footer', 'breadcrumbs')}\">{pick(links(5), f'<p>{words}</p>', words, f'<h1>{prose(2)}</h1>')}</div>",
             lambda: f"<script>var x='<p>{words}</p>'</script><style>p{{margin:0}}</style>",
             lambda: f"<ul class=\"{pick('menu', 'nav', 'pagination', 'breadcrumb', 'tags')}\"><li><a href=x>{prose(1)}</a></li><li><a href=y>{prose(1)}</a></li></ul>",
             lambda: f"<noscript>{words}</noscript><div class=\"{pick('popup', 'modal', 'subscribe', 'login')}\"><p>{words}</p></div>",
@@ -248,31 +257,55 @@ def labelled_pages(n: int, seed: int = 11) -> Iterator[tuple[Page, np.ndarray]]:
 
     mark = "data-c"
 
-    def body_block() -> str:
-        k = int(rng.integers(12))
+    def inline() -> str:
+        """Running words with inline markup; now and then a distractor stands among them."""
         words = prose(int(rng.choice([1, 2, 5, 20, 60, 120])))
+        k = int(rng.integers(16))
+        tag = pick("a", "b", "em", "i", "strong", "span", "sup", "sub", "code", "kbd", "mark", "time", "cite", "abbr", "q", "small", "u", "var", "font", "math", "ins", "dfn")
+        if k < 6:
+            return words
+        if k < 11:
+            return f"{words} <{tag} {mark}>{prose(2)}</{tag}> {prose(3)}"
+        if k == 11:
+            return f"<{tag} {mark}>{words}</{tag}>"
+        if k == 12:
+            return f"{words} <math {mark}><mi {mark}>x</mi><mo {mark}>=</mo><mn {mark}>2</mn></math> {prose(4)}"
+        if k == 13:
+            return f"{words} <a {mark} href=x><em {mark}>{prose(1)}</em></a>"
+        if k == 14:
+            return f"{words} <span class=\"{pick('ad', 'ads', 'advert', 'sponsored', 'promo', 'share', 'social-count')}\">{prose(int(rng.integers(1, 9)))}</span> {prose(3)}"
+        return f"{words} <button{pick('', ' class=share')}>{prose(1)}</button>"
+
+    def body_block() -> str:
+        k = int(rng.integers(14))
+        words = inline()
         return [
-            lambda: f"<p {mark}>{words}</p>", lambda: f"<p {mark}>{words}", lambda: f"<p {mark}>{words} <a {mark} href=x>{prose(2)}</a> {prose(4)}</p>",
-            lambda: f"<h2 {mark}>{prose(3)}</h2>", lambda: f"<ul {mark}><li {mark}>{words}</li><li {mark}>{prose(4)}</li></ul>", lambda: f"<blockquote {mark}>{words}</blockquote>",
+            lambda: f"<p {mark}>{words}</p>", lambda: f"<p {mark}>{words}", lambda: f"<p {mark}>{words} <a {mark} href=x>{prose(2)}</a> {prose(4)}</p>", lambda: f"<p {mark}>{words}</p><p {mark}>{inline()}</p>",
+            lambda: f"<h2 {mark}>{prose(3)}</h2>", lambda: f"<ul {mark}><li {mark}>{words}</li><li {mark}>{prose(4)}</li></ul>", lambda: f"<blockquote {mark}>{pick(words, f'<p {mark}>{words}</p>')}</blockquote>",
             lambda: f"<table {mark}><tr {mark}><td {mark}>{prose(1)}</td><td {mark}>{prose(2)}</td></tr></table>", lambda: f"<p {mark}><b {mark}>{words}</b> <em {mark}>{prose(2)}</em></p>",
             lambda: f"<p {mark}><b {mark}>{words}<br><p {mark}>{prose(8)}</p>", lambda: f"<div {mark}>{words}</div>", lambda: f"<h3 {mark}>{prose(2)}</h3><p {mark}>{words}</p>",
-            lambda: f"<pre {mark}><code {mark}>{words}</code></pre><figure {mark}><figcaption {mark}>{prose(4)}</figcaption></figure>",
+            lambda: f"<pre {mark}><code {mark}>{prose(9)}</code></pre><figure {mark}><img src=i><figcaption {mark}>{prose(4)}</figcaption></figure>",
+            lambda: f"<{pick('ol', 'dl')} {mark}><{pick('li', 'dd')} {mark}><a {mark} href=x>{prose(2)}</a>, {prose(6)}",
         ][k]()
 
     for _ in range(n):
-        blocks = [body_block() for _ in range(int(rng.choice([1, 2, 4, 8, 16])))]
-        if rng.random() < 0.35:  # an advert or a form inside the article
+        blocks = [body_block() for _ in range(int(rng.choice([1, 1, 2, 3, 4, 8, 16])))]
+        for _ in range(int(rng.choice([0, 0, 0, 1, 1, 2]))):  # adverts, forms or comments inside the article
             blocks.insert(int(rng.integers(len(blocks) + 1)), chrome())
-        inner = (f"<h1 {mark}>{prose(4)}</h1>" if rng.random() < 0.8 else "") + "".join(blocks)
-        if rng.random() < 0.25:
-            inner = f"<header {mark}><h1 {mark}>{prose(5)}</h1></header>" + "".join(blocks) if rng.random() < 0.3 else inner
-        wrap = pick("<article {m}>{x}</article>", "<article {m}>{x}</article>", "<main {m}><article {m}>{x}</article></main>", "<main {m}>{x}</main>", '<div {m} class="content">{x}</div>', '<div {m} id="main">{x}</div>', '<div {m} class="post-body">{x}</div>', "<div {m} class='entry-content'>{x}</div>", "<section {m} class=story>{x}</section>", '<div {m} class="article-text"><div {m}>{x}</div></div>')
+        inner = (f"<h1 {mark}>{prose(4)}</h1>" if rng.random() < 0.6 else "") + "".join(blocks)
+        if rng.random() < 0.08:
+            inner = f"<header {mark}><h1 {mark}>{prose(5)}</h1></header>" + "".join(blocks)
+        wrap = pick("<article {m}>{x}</article>", "<article {m}>{x}</article>", "<article {m} class=post>{x}</article>", "<main {m}><article {m}>{x}</article></main>", "<main {m}>{x}</main>", '<div {m} class="content">{x}</div>', '<div {m} id="main">{x}</div>', '<div {m} class="post-body">{x}</div>', "<div {m} class='entry-content'>{x}</div>", "<section {m} class=story>{x}</section>", '<div {m} class="article-text"><div {m}>{x}</div></div>', "{x}")
         main = wrap.format(m=mark, x=inner)
         before, after = "".join(chrome() for _ in range(int(rng.integers(0, 4)))), "".join(chrome() for _ in range(int(rng.integers(0, 4))))
         middle = before + main + after
         if rng.random() < 0.3:
             middle = f"<div class=\"{pick('wrapper', 'container', 'row', 'page', '')}\">{middle}</div>"
-        source = f"<!DOCTYPE html><html><head><title>{prose(3)}</title><style>p{{}}</style></head><body>{middle}</body></html>"
+        frame = float(rng.random())
+        if frame < 0.7:
+            source = f"<!DOCTYPE html><html><head><title>{prose(3)}</title><style>p{{}}</style></head><body>{middle}</body></html>"
+        else:  # fragments without a document around them
+            source = middle if frame < 0.9 else f"<body>{middle}"
         page = Page(source)
         page_marks = _marks(source, mark)
         yield page, page_marks
@@ -293,7 +326,7 @@ def _marks(source: str, mark: str) -> np.ndarray:
     return np.array(out)
 
 
-def train(train_pages: int = 300, steps: int = 150, rate: float = 0.3, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+def train(train_pages: int = 600, steps: int = 150, rate: float = 0.3, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
     """Weights of features and edges by Adam on the exact log-likelihood of ``train_pages`` generated pages."""
     pages, labels = zip(*labelled_pages(train_pages), strict=True)
     forest, y = Forest(list(pages)), np.concatenate(labels).astype(float)
@@ -315,13 +348,10 @@ def extract(pages: list[str | None], weights: np.ndarray, edge: np.ndarray) -> l
     trees = [Page(p or "") for p in pages]
     forest = Forest(trees)
     content = forest.marginals(weights, edge)[0] > 0.5
-    inline = np.flatnonzero([tag not in BLOCK for t in trees for tag in t.tag])
-    for e in inline.tolist():  # parents come first
-        content[e] |= forest.parent[e] >= 0 and content[forest.parent[e]]
     return [t.text(content[a:b]) for t, a, b in zip(trees, forest.first, forest.first[1:], strict=False)]
 
 
-def main_text(pages: DataFrame, train_pages: int = 300, block: int = 64) -> DataFrame:
+def main_text(pages: DataFrame, train_pages: int = 600, block: int = 64) -> DataFrame:
     """``(page_id, url, text, n_chars)`` for each row of ``pages(page_id, url, html)``."""
     weights, edge = train(train_pages)
 
