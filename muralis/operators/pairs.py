@@ -30,7 +30,7 @@ def geo_pairs(new: DataFrame, old: DataFrame, rules: Rules = RULES, metres: floa
     """Pairs of ``new(i, lat, lon, ...)`` and ``old(j, jlat, jlon, ...)`` inside the candidate box of ``metres``
     (a semantic predicate of its own) with ``i > j``, and their distance.  The probe side stands in nine cells, the
     other in one; dense cells are skewed keys that adaptive execution splits."""
-    metres = rules.scene_elsewhere_m if metres is None else metres
+    metres = rules.limits("SCENE_ELSEWHERE")[1] if metres is None else metres
     probe = new.withColumn("_c", F.explode(_cells(F.col("lat"), F.col("lon"), metres, 1)))
     build = old.withColumn("_d", _cells(F.col("jlat"), F.col("jlon"), metres, 0))
     dlat, dlon = geo.box_half(F.col("lat"), metres)
@@ -57,18 +57,19 @@ def hamming_pairs(fps: DataFrame, within: int = 8) -> DataFrame:
 
 
 def radius(accuracy: Column, rules: Rules = RULES) -> Column:
-    return F.least(F.lit(rules.max_radius_m), F.greatest(F.lit(rules.site_radius_m), accuracy))
+    return F.least(F.lit(rules.links["scene"].metres), F.greatest(F.lit(rules.least_m), accuracy))
 
 
 def reused_far(reports: DataFrame, rules: Rules = RULES) -> DataFrame:
-    """``(i, n_far)``: earlier reports of nearly the same photo farther than ``reuse_far_m``.  Fingerprints are
+    """``(i, n_far)``: earlier reports of nearly the same photo farther away than the rule's limit.  Fingerprints are
     joined once each; equal fingerprints pair without bands."""
+    bits, least_m = rules.limits("PHOTO_REUSED_ELSEWHERE")
     distinct = reports.select("fp").distinct()
-    near = hamming_pairs(distinct, rules.duplicate_hamming).select("a", "b")
+    near = hamming_pairs(distinct, bits).select("a", "b")
     both = near.union(near.select("b", "a")).union(distinct.select("fp", "fp")).toDF("fp", "other")
     new = reports.select(F.col("id").alias("i"), "lat", "lon", "fp")
     old = reports.select(F.col("id").alias("j"), F.col("lat").alias("jlat"), F.col("lon").alias("jlon"), F.col("fp").alias("other"))
-    hits = new.join(both, "fp").join(old, "other").filter((F.col("i") > F.col("j")) & (geo.haversine_m(F.col("lat"), F.col("lon"), F.col("jlat"), F.col("jlon")) > rules.reuse_far_m))
+    hits = new.join(both, "fp").join(old, "other").filter((F.col("i") > F.col("j")) & (geo.haversine_m(F.col("lat"), F.col("lon"), F.col("jlat"), F.col("jlon")) > least_m))
     return hits.groupBy("i").agg(F.count("*").alias("n_far"))
 
 

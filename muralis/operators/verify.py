@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from muralis.config import DELTAS, RULES, TRANSITIONS, Rules
+from muralis.config import RULES, TRANSITIONS, Rules
 from muralis.functions import hashing
 from muralis.operators import pairs
 from muralis.operators.components import components
@@ -43,18 +43,14 @@ def device_history(reports: DataFrame, actions: DataFrame) -> DataFrame:
     moves = moves.join(reports.select(F.col("id").alias("report_id"), "device"), "report_id")
     events = moves.select("device", F.col("at_us").alias("us"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("id"), (seen(F.col("s")) - seen(F.col("old"))).alias("dr"), (bad(F.col("s")) - bad(F.col("old"))).alias("db"))
     events = events.unionByName(reports.select("device", F.col("received_us").alias("us"), F.lit(1).alias("kind"), "id", F.lit(0).alias("dr"), F.lit(0).alias("db")))
-    run = Window.partitionBy("device").orderBy("us", "kind", "id").rowsBetween(Window.unboundedPreceding, 0)
-    return events.withColumns({"reviewed": F.sum("dr").over(run), "rejected": F.sum("db").over(run)}).filter("kind = 1").select("id", "reviewed", "rejected")
-
-
-def own_deltas(r: Rules = RULES) -> dict[str, Column]:
-    """Rules 4 to 10, which look at the report alone: name to condition, in order."""
-    late = F.col("captured_us") - F.col("received_us")
-    return {
-        "CALIBRATION_MISSING": ~F.col("patch_found"), "CALIBRATION_POOR": F.col("patch_found") & (F.col("quality") == "poor"), "GPS_IMPRECISE": F.col("accuracy_m") > r.gps_imprecise_m,
-        "IMAGE_BLURRY": F.col("blur_score") > r.blur_max, "NO_DETECTION": F.col("n_cracks") == 0, "IMPLAUSIBLE_WIDTH": F.coalesce(F.col("width") > r.max_plausible_width_mm, F.lit(False)),
-        "FUTURE_TIMESTAMP": late / F.lit(6e7) > r.future_skew_min, "STALE_PHOTO": -late / F.lit(8.64e10) > r.stale_days,
-    }
+    # sums within a device's day, and of its days before: a device with a third of all rows is many windows
+    events = events.withColumn("day", F.expr(f"us div {24 * HOUR}"))
+    days = events.groupBy(F.col("device").alias("d"), F.col("day").alias("on")).agg(F.sum("dr").alias("sr"), F.sum("db").alias("sb"))
+    past = Window.partitionBy("d").orderBy("on").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.select("d", "on", F.coalesce(F.sum("sr").over(past), F.lit(0)).alias("r0"), F.coalesce(F.sum("sb").over(past), F.lit(0)).alias("b0"))
+    run = Window.partitionBy("device", "day").orderBy("us", "kind", "id").rowsBetween(Window.unboundedPreceding, 0)
+    events = events.withColumns({"dr": F.sum("dr").over(run), "db": F.sum("db").over(run)}).filter("kind = 1")
+    return events.join(days, F.col("device").eqNullSafe(F.col("d")) & (F.col("day") == F.col("on"))).select("id", (F.col("dr") + F.col("r0")).alias("reviewed"), (F.col("db") + F.col("b0")).alias("rejected"))
 
 
 def fold_score(deltas: Column) -> Column:
@@ -67,34 +63,48 @@ def with_codes(reports: DataFrame, r: Rules = RULES) -> DataFrame:
     """``reports`` with ``codes``: the fired state-free rules in order (reuse, the report's own, flooding)."""
     far = pairs.reused_far(reports, r).select(F.col("i").alias("id"), "n_far")
     rows = reports.join(far, "id", "left").join(flood_counts(reports), "id")
-    fired = {"PHOTO_REUSED_ELSEWHERE": F.col("n_far").isNotNull(), **own_deltas(r), "FLOODING": F.col("prior") >= r.flood_per_hour}
+    fired = {"PHOTO_REUSED_ELSEWHERE": F.col("n_far").isNotNull(), **r.own(), "FLOODING": F.col("prior") >= r.limits("FLOODING")[0]}
     return rows.withColumn("codes", F.filter(F.array(*[F.when(c, name) for name, c in fired.items()]), lambda x: x.isNotNull()))
 
 
-def delta_of(code: Column) -> Column:
-    return F.element_at(F.create_map(*[F.lit(x) for kv in DELTAS.items() for x in kv]), code)
+def delta_of(code: Column, r: Rules = RULES) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for c in r.checks for x in (c.code, c.delta)]), code)
 
 
 def verify_static(reports: DataFrame, r: Rules = RULES) -> DataFrame:
     """``(id, codes, score, state)`` by the state-free rules: reuse, the report's own, flooding."""
-    rows = with_codes(reports, r).withColumn("score", fold_score(F.transform("codes", delta_of)))
+    rows = with_codes(reports, r).withColumn("score", fold_score(F.transform("codes", lambda c: delta_of(c, r))))
     return rows.select("id", "codes", "score", F.when(F.col("score") < r.hold_below, "held").otherwise("pending").alias("state"))
 
 
+def next_flood(rows: DataFrame) -> DataFrame:
+    """``(id, flood)``: when the next flooding row of the device after ``rows(id, device, received_us, codes)``
+    arrives, if within an hour.  Windows run over a device's hour and the floods of the hour after it, so a device with
+    a third of all rows is many windows."""
+    flood = F.array_contains("codes", "FLOODING")
+    each = rows.select("id", "device", "received_us", flood.alias("flood"), F.explode(F.when(flood, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("_back"))
+    each = each.withColumn("_h", F.expr(f"received_us div {HOUR}") - F.col("_back"))
+    ahead = Window.partitionBy("device", "_h").orderBy("received_us", "id").rowsBetween(1, Window.unboundedFollowing)
+    each = each.withColumn("flood", F.min(F.when(F.col("flood"), F.col("received_us"))).over(ahead))
+    return each.filter((F.col("_back") == 0) & (F.col("flood") <= F.col("received_us") + HOUR)).select("id", "flood")
+
+
 def retro_hold(states: DataFrame) -> DataFrame:
     """``states(id, device, received_us, codes, state)`` with pending rows held, and FLOODING_RETRO appended, that a
     later flooding row of the device within an hour reaches."""
-    ahead = Window.partitionBy("device").orderBy("received_us", "id").rowsBetween(1, Window.unboundedFollowing)
-    next_flood = F.min(F.when(F.array_contains("codes", "FLOODING"), F.col("received_us"))).over(ahead)
-    hit = (F.col("state") == "pending") & (next_flood <= F.col("received_us") + HOUR)
-    rows = states.withColumn("_hit", F.coalesce(hit, F.lit(False)))
-    return rows.withColumns({"codes": F.when(F.col("_hit"), F.array_append("codes", F.lit("FLOODING_RETRO"))).otherwise(F.col("codes")), "state": F.when(F.col("_hit"), "held").otherwise(F.col("state"))}).drop("_hit")
+    rows = states.join(next_flood(states).select(F.col("id").alias("_hit")), F.col("id") == F.col("_hit"), "left")
+    hit = (F.col("state") == "pending") & F.col("_hit").isNotNull()
+    return rows.withColumns({"codes": F.when(hit, F.array_append("codes", F.lit("FLOODING_RETRO"))).otherwise(F.col("codes")), "state": F.when(hit, "held").otherwise(F.col("state"))}).drop("_hit")
 
 
 _OUT = "id long, state string, score double, site_key long, duplicate_of long, codes array<string>"
 
 
 def _replay(r: Rules):
+    deltas = {c.code: c.delta for c in r.checks}
+    least_reviewed, most_rejected = r.limits("DEVICE_HISTORY")
+    hold_below = r.hold_below
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = {x.id: x for x in pdf.itertuples(index=False)}
         events = [(x.received_us, 1, x.id, None) for x in rows.values()]
@@ -135,15 +145,15 @@ def _replay(r: Rules):
             elif not scene and any(state.get(j, "held") not in ("held", "rejected") for j in (x.ring if x.ring is not None else ())):
                 codes.append("SCENE_ELSEWHERE")
             codes += static
-            if x.reviewed >= r.device_min_reviewed and x.rejected / x.reviewed >= r.device_reject_rate:
+            if x.reviewed >= least_reviewed and x.rejected / x.reviewed >= most_rejected:
                 codes.append("DEVICE_HISTORY")
             if own_site is not None and parent is None and {c["device"] for c in scene if state[c["j"]] == "accepted"} - {x.device}:
                 codes.append("CORROBORATED")
             score = 1.0
             for c in codes:
-                score += DELTAS.get(c, 0.0)
+                score += deltas.get(c, 0.0)
             score = max(0.0, min(1.0, score))
-            state[key] = "merged" if parent else "held" if score < r.hold_below else "pending"
+            state[key] = "merged" if parent else "held" if score < hold_below else "pending"
             if own_site is None and state[key] == "pending":
                 own_site = key
             site[key], dup[key] = own_site, parent
@@ -163,21 +173,19 @@ def evaluate(reports: DataFrame, actions: DataFrame | None = None, r: Rules = RU
     old = reports.select(F.col("id").alias("j"), F.col("lat").alias("jlat"), F.col("lon").alias("jlon"), F.col("fp").alias("jfp"), F.col("device").alias("jdevice"), F.col("captured_us").alias("jus"))
     new = reports.select(F.col("id").alias("i"), "lat", "lon", "accuracy_m", "fp", "device", "captured_us")
     p = pairs.geo_pairs(new, old, r).withColumns({"h": hashing.hamming(F.col("fp"), F.col("jfp")), "hours": F.abs(F.col("captured_us") - F.col("jus")) / F.lit(3.6e9)})
-    near = F.col("metres") <= r.max_radius_m
-    same = near & (F.col("device") == F.col("jdevice")) & (F.col("h") <= r.same_scene_hamming) & (F.col("hours") <= r.duplicate_same_device_hours)
-    photo = near & (F.col("h") <= r.duplicate_hamming) & (F.col("hours") <= r.duplicate_any_device_hours)
-    p = p.select("i", "j", "h", "metres", "jdevice", ((F.col("metres") <= pairs.radius(F.col("accuracy_m"), r)) & (F.col("h") <= r.same_scene_hamming)).alias("scene"), same.alias("same"), (same | photo).alias("dup"),
-                 (~near & (F.col("metres") <= r.scene_elsewhere_m) & (F.col("h") <= r.scene_elsewhere_hamming)).alias("ring"))
+    linked = {name: (F.col("metres") <= x.metres) & (F.col("h") <= x.bits) & (F.col("hours") <= x.hours) for name, x in r.links.items()}
+    same = linked["device"] & (F.col("device") == F.col("jdevice"))
+    bits, farthest = r.limits("SCENE_ELSEWHERE")
+    ring = (F.col("metres") > r.links["scene"].metres) & (F.col("metres") <= farthest) & (F.col("h") <= bits)
+    p = p.select("i", "j", "h", "metres", "jdevice", (linked["scene"] & (F.col("metres") <= pairs.radius(F.col("accuracy_m"), r))).alias("scene"), same.alias("same"), (same | linked["photo"]).alias("dup"), ring.alias("ring"))
     p = written(p.filter("scene or dup or ring"), "pairs")
     item = F.struct("h", "metres", "j", F.col("jdevice").alias("device"), "same")
     lists = p.groupBy("i").agg(
         F.sort_array(F.collect_list(F.when(F.col("scene"), item))).alias("scene"), F.sort_array(F.collect_list(F.when(F.col("dup"), item))).alias("dups"), F.collect_list(F.when(F.col("ring"), F.col("j"))).alias("ring"))
     comp = components(p.select(F.col("i").alias("a"), F.col("j").alias("b")))
 
-    ahead = Window.partitionBy("device").orderBy("received_us", "id").rowsBetween(1, Window.unboundedFollowing)
     flood = F.array_contains("codes", "FLOODING")
-    rows = coded.withColumn("_next", F.min(F.when(flood, F.col("received_us"))).over(ahead))
-    rows = rows.withColumn("retro", F.when(F.col("_next") <= F.col("received_us") + HOUR, F.array("_next"))).join(lists, rows["id"] == lists["i"], "left").join(comp, rows["id"] == comp["v"], "left")
+    rows = coded.join(next_flood(coded).select(F.col("id").alias("k"), F.array("flood").alias("retro")), F.col("id") == F.col("k"), "left").join(lists, F.col("id") == F.col("i"), "left").join(comp, F.col("id") == F.col("v"), "left")
     if actions is None:
         rows = rows.withColumns({"actions": F.lit(None).cast("array<struct<at_us:long,action_id:long,action:string>>"), "reviewed": F.lit(0), "rejected": F.lit(0)})
     else:

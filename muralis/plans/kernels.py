@@ -27,8 +27,15 @@ def _lut(g):
     return table[np.round(g * 255).astype(int)]
 
 
-def _normal_profile(g, m):
-    return profile.across(g, g.shape[1] / 2, g.shape[0] / 2, np.array([0.0, 1.0]), 12)
+_UP = np.array([[0.0, 1.0]])
+
+
+def _middle(g):
+    return np.array([[g.shape[1] / 2, g.shape[0] / 2]])
+
+
+def _section(g):
+    return profile.sections(g, _middle(g), _UP, 12)
 
 
 def _points(m):
@@ -45,9 +52,8 @@ KERNELS = {
     "normalize_tensor": lambda g, m: filters.normalize_tensor(_rgb(g) * 255), "resize_bilinear": lambda g, m: filters.resize_bilinear(g, 50, 70), "pad32": lambda g, m: filters.pad32(g[:50, :70]),
     "blur_score": lambda g, m: np.array([filters.blur_score(g)]), "apply_correction_image": lambda g, m: _lut(g), "convex_hull": lambda g, m: geometry.convex_hull(_points(m)), "min_area_rect": lambda g, m: np.array(geometry.min_area_rect(_points(m))),
     "trace_polyline": lambda g, m: np.array(geometry.trace_polyline(_points(filters.thin(m)), m.shape)), "erase_card": lambda g, m: geometry.erase_card(m, np.array([[0.5, 0, 5], [0, -0.5, 60], [0, 0, 1.0]])),
-    "profile_sample": lambda g, m: _normal_profile(g, m)[1], "fwhm_area": lambda g, m: np.array(profile.valley(*_normal_profile(g, m), 6.0)), "smooth1d": lambda g, m: profile.smooth(g[0], 2.0),
-    "chord": lambda g, m: np.array([profile.chord(m, g.shape[1] / 2, g.shape[0] / 2, np.array([0.0, 1.0]))]),
-    "direction_pca": lambda g, m: np.abs(d) if (d := profile.direction(filters.thin(m), m.shape[1] // 2, m.shape[0] // 2)) is not None else np.zeros(2),
+    "profile_sample": lambda g, m: _section(g)[1], "fwhm_area": lambda g, m: np.array(profile.valleys(*_section(g), np.array([6.0]))), "smooth1d": lambda g, m: profile.smooth(g, 2.0),
+    "chord": lambda g, m: profile.chords(m, _middle(m), _UP), "direction_pca": lambda g, m: np.abs(profile.directions(filters.thin(m), _middle(m).astype(int))[0]),
 }
 
 

@@ -141,7 +141,7 @@ def width_bins(spark, d):
 @query("exists_any", sql("SELECT id, coalesce(width * 12 > 50, false) AS implausible FROM reports"))
 def exists_any(spark, d):
     cracks = F.filter(F.array(F.col("width"), F.col("width") * 12), lambda x: x.isNotNull())
-    return carrier.reports(spark, d).select("id", F.exists(cracks, lambda x: x > config.RULES.max_plausible_width_mm).alias("implausible"))
+    return carrier.reports(spark, d).select("id", F.exists(cracks, lambda x: x > config.RULES.limits("IMPLAUSIBLE_WIDTH")[0]).alias("implausible"))
 
 
 @query("finite_filter", sql("SELECT id, CASE WHEN width IS NULL THEN 0 ELSE 2 END AS n FROM reports"))

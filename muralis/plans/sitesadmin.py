@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from muralis.config import RULES
 from muralis.operators import admin, ordering, sitelog
 from muralis.plans.registry import query
 from muralis.sources import carrier
@@ -123,11 +124,13 @@ def site_merge(spark, d):
     return after.filter("site_id is not null").groupBy("site_id").agg(F.count("*").alias("n"))
 
 
-@query("audit_append", sql("SELECT action, count(*) AS n FROM (SELECT action FROM actions UNION ALL SELECT 'merge_site' FROM reviewed WHERE site_id = 2) GROUP BY action"))
+@query("audit_append", sql("SELECT action_id, report_id, action FROM (SELECT action_id, report_id, action FROM actions UNION ALL SELECT (SELECT max(action_id) FROM actions) + row_number() OVER (ORDER BY id), id, 'merge_site' FROM reviewed WHERE site_id = 2)"))
 def audit_append(spark, d):
     _, _, moved = admin.merge_sites(carrier.reviewed(spark, d), carrier.sites(spark, d), 1, 2)
     log = carrier.actions(spark, d)
-    return admin.audit(log, moved.withColumn("at_us", F.lit(0).cast("long"))).groupBy("action").agg(F.count("*").alias("n"))
+    # another actor's columns ride along with what is numbered
+    entries = moved.withColumns({"at_us": F.lit(0).cast("long"), "actor": F.concat(F.lit("reviewer "), F.col("report_id"))})
+    return admin.audit(log, entries).select("action_id", "report_id", "action")
 
 
 @query("agg_count_by_state", sql("SELECT state, count(*) AS n FROM reviewed GROUP BY state"))
@@ -137,19 +140,17 @@ def agg_count_by_state(spark, d):
 
 @query("agg_reason_counts", sql("SELECT code, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN NOT patch_found THEN 'CALIBRATION_MISSING' END, CASE WHEN patch_found AND quality = 'poor' THEN 'CALIBRATION_POOR' END, CASE WHEN accuracy_m > 50 THEN 'GPS_IMPRECISE' END, CASE WHEN blur_score > 0.6e0 THEN 'IMAGE_BLURRY' END], lambda x: x IS NOT NULL)) AS code FROM reports) GROUP BY code"))
 def agg_reason_counts(spark, d):
-    from muralis.operators.verify import own_deltas
-
-    rules = list(own_deltas().items())[:4]
+    rules = list(RULES.own().items())[:4]
     codes = F.filter(F.array(*[F.when(c, n) for n, c in rules]), lambda x: x.isNotNull())
     return carrier.reports(spark, d).select(F.explode(codes).alias("code")).groupBy("code").agg(F.count("*").alias("n"))
 
 
-@query("stats_full", sql("""WITH x AS (SELECT r.*, id IN (SELECT report_id FROM actions WHERE report_id % 2 = 0) AS seen, score < 0.5e0 AND duplicate_of IS NULL AS low, score >= 0.5e0 AND duplicate_of IS NULL AS high FROM reviewed r)
+@query("stats_full", sql("""WITH x AS (SELECT r.*, id IN (SELECT report_id FROM actions) AS seen, score < 0.5e0 AND duplicate_of IS NULL AS low, score >= 0.5e0 AND duplicate_of IS NULL AS high FROM reviewed r)
 SELECT count(*) AS total, count(*) FILTER (low)/count(*)::DOUBLE AS auto_held_rate, count(duplicate_of)/count(*)::DOUBLE AS duplicate_rate, count(*) FILTER (seen) AS reviewed,
 count(*) FILTER (seen AND state='rejected')/nullif(count(*) FILTER (seen),0)::DOUBLE AS false_report_rate, count(*) FILTER (seen AND low AND state='rejected')/nullif(count(*) FILTER (seen AND low),0)::DOUBLE AS held_precision,
 count(*) FILTER (seen AND high AND state='rejected')/nullif(count(*) FILTER (seen AND high),0)::DOUBLE AS pending_leak FROM x"""))
 def stats_full(spark, d):
-    return admin.stats(carrier.reviewed(spark, d), carrier.actions(spark, d).filter("report_id % 2 = 0"))
+    return admin.stats(carrier.reviewed(spark, d), carrier.actions(spark, d))
 
 
 @query("agg_distinct_devices", sql("SELECT wall, count(DISTINCT device) AS devices FROM reports GROUP BY wall"))

@@ -35,7 +35,7 @@ def stream_flood(spark, d):
 
 @query("stream_late_data", carrier.sql("SELECT id, (captured_us - received_us)/60000000e0 > 10 AS future, (received_us - captured_us)/86400000000e0 > 30 AS stale FROM reports"))
 def stream_late_data(spark, d):
-    from muralis.operators.verify import own_deltas
+    from muralis.config import RULES
 
-    rules = own_deltas()
+    rules = RULES.own()
     return carrier.reports(spark, d).select("id", rules["FUTURE_TIMESTAMP"].alias("future"), rules["STALE_PHOTO"].alias("stale"))

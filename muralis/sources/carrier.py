@@ -61,9 +61,10 @@ def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Review actions carried on ``orders``: ``(action_id, report_id, action, at_us)``, in ``action_id`` order."""
+    """Review actions carried on ``orders``: ``(action_id, report_id, action, at_us)``, in ``action_id`` order; they
+    spread over all reports."""
     o = table(spark, sf_dir, "orders")
-    n = 10_000
+    n = table(spark, sf_dir, "events").count()
     names = F.array(*map(F.lit, ("accept", "reject", "close", "hold", "reopen")))
     return o.select(
         F.col("o_orderkey").alias("action_id"), (F.col("o_orderkey") * 7 % n + 1).alias("report_id"),
@@ -91,7 +92,7 @@ states AS (SELECT *, CASE WHEN id % 17 = 0 THEN 'merged' WHEN id % 11 = 0 THEN '
 reviewed AS (SELECT *, CASE WHEN state IN ('held','rejected') THEN NULL ELSE wall + 1 END AS site_id, CASE WHEN state = 'merged' THEN id - 1 END AS duplicate_of,
   CASE WHEN state IN ('held','rejected') THEN 0.3e0 ELSE 0.9e0 END AS score FROM states),
 sites AS (SELECT site_id, arg_min(lat, id) AS lat, arg_min(lon, id) AS lon, arg_min(captured_us, id) AS first_seen_us FROM reviewed WHERE site_id IS NOT NULL GROUP BY site_id),
-actions AS (SELECT o_orderkey AS action_id, o_orderkey * 7 % 10000 + 1 AS report_id, list_extract(['accept','reject','close','hold','reopen'], (o_orderkey % 5 + 1)::INT) AS action, epoch_us(o_orderdate) AS at_us FROM orders)
+actions AS (SELECT o_orderkey AS action_id, o_orderkey * 7 % (SELECT count(*) FROM events) + 1 AS report_id, list_extract(['accept','reject','close','hold','reopen'], (o_orderkey % 5 + 1)::INT) AS action, epoch_us(o_orderdate) AS at_us FROM orders)
 """
 HAVERSINE_SQL = "(2*6371000e0*asin(sqrt(pow(sin((radians({b}.lat)-radians({a}.lat))/2),2) + cos(radians({a}.lat))*cos(radians({b}.lat))*pow(sin(radians({b}.lon-{a}.lon)/2),2))))"
 
