@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LEGIT, BAD, DUPLICATES = ("first", "followup", "corroborate"), ("prank_junk", "prank_reused", "wrong_building", "flood"), ("first", "double_tap", "viral")
+CONVINCING = "prank_convincing"
 
 
 def main_sites(rows: DataFrame) -> DataFrame:
@@ -21,8 +22,9 @@ def mixed_sites(rows: DataFrame) -> DataFrame:
 
 
 def rates(rows: DataFrame) -> DataFrame:
-    """One row: shares of bad rows held, duplicates merged, legitimate rows held or merged wrongly, and follow-ups
-    linked to their wall's main site."""
+    """One row: shares of bad rows held, and held or merged, of convincing pranks held, duplicates merged, legitimate
+    rows held or merged wrongly, follow-ups linked to their wall's main site; and the number of mixed sites."""
+    mixed = mixed_sites(rows).count()
     parent = rows.select(F.col("id").alias("duplicate_of"), F.col("wall").alias("pwall"), F.col("kind").alias("pkind"))
     x = rows.join(parent, "duplicate_of", "left").join(main_sites(rows), "wall", "left")
     kind, state = F.col("kind"), F.col("state")
@@ -31,5 +33,6 @@ def rates(rows: DataFrame) -> DataFrame:
     legit, later = kind.isin(*LEGIT), kind.isin("followup", "corroborate") & (state == "pending")
     share = lambda a, b: F.try_divide(F.count_if(a).cast("double"), F.count_if(b))
     return x.agg(
-        share(kind.isin(*BAD) & (state == "held"), kind.isin(*BAD)).alias("bad_held"), share(caught, kind.isin("double_tap", "viral")).alias("dup_merged"), share(legit & (state == "held"), legit).alias("wrongly_held"),
+        share(kind.isin(*BAD) & (state == "held"), kind.isin(*BAD)).alias("bad_held"), share(kind.isin(*BAD) & state.isin("held", "merged"), kind.isin(*BAD)).alias("bad_filtered"),
+        share((kind == CONVINCING) & (state == "held"), kind == CONVINCING).alias("convincing_held"), F.lit(mixed).cast("long").alias("mixed"), share(caught, kind.isin("double_tap", "viral")).alias("dup_merged"), share(legit & (state == "held"), legit).alias("wrongly_held"),
         share(legit & (state == "merged") & ~caught, legit).alias("wrongly_merged"), share(later & (F.col("site_id") == F.col("main_site")), later).alias("link_rate"))

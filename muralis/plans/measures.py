@@ -160,12 +160,14 @@ def agg_grid_search(spark, d):
     return metrics.grid_search(scores, [0.1, 0.3, 1.0]).select("limit", F.col("config").cast("long").alias("config"), F.round("f1", 9).alias("f1"))
 
 
-SIM = "WITH k AS (SELECT *, CASE event_type WHEN 'click' THEN 'first' WHEN 'error' THEN 'prank_junk' WHEN 'purchase' THEN 'followup' WHEN 'signup' THEN 'double_tap' ELSE 'corroborate' END AS kind FROM reviewed) "
+SIM = "WITH k AS (SELECT *, CASE WHEN id % 19 = 0 THEN 'prank_convincing' WHEN id % 23 = 0 THEN 'flood' WHEN id % 29 = 0 THEN 'viral' ELSE CASE event_type WHEN 'click' THEN 'first' WHEN 'error' THEN 'prank_junk' WHEN 'purchase' THEN 'followup' WHEN 'signup' THEN 'double_tap' ELSE 'corroborate' END END AS kind FROM reviewed) "
 
 
 def sim_rows(spark, d):
     kinds = {"click": "first", "error": "prank_junk", "purchase": "followup", "signup": "double_tap", "view": "corroborate"}
-    return carrier.reviewed(spark, d).withColumn("kind", F.element_at(F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv]), F.col("event_type")))
+    by_type = F.element_at(F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv]), F.col("event_type"))
+    k = F.col("id")
+    return carrier.reviewed(spark, d).withColumn("kind", F.when(k % 19 == 0, "prank_convincing").when(k % 23 == 0, "flood").when(k % 29 == 0, "viral").otherwise(by_type))
 
 
 @query("agg_sim_by_kind", sql(SIM + "SELECT kind, " + ", ".join(f"count(*) FILTER (state = '{s}') AS {s}" for s in ("accepted", "closed", "held", "merged", "pending", "rejected")) + " FROM k GROUP BY kind"))
@@ -186,7 +188,10 @@ def agg_mode(spark, d):
 
 @query("agg_sim_rates", sql(SIM + f""", {MODE}, j AS (SELECT k.*, p.wall = k.wall AND p.kind IN ('first','double_tap','viral') AND k.kind IN ('first','double_tap','viral') AS same FROM k LEFT JOIN k p ON p.id = k.duplicate_of),
 x AS (SELECT j.*, main_site, kind IN ('first','followup','corroborate') AS legit, coalesce(same, false) AND state = 'merged' AS caught FROM j LEFT JOIN m USING (wall))
-SELECT count(*) FILTER (kind = 'prank_junk' AND state = 'held')/nullif(count(*) FILTER (kind = 'prank_junk'), 0)::DOUBLE AS bad_held,
+SELECT count(*) FILTER (kind IN ('prank_junk','flood') AND state = 'held')/nullif(count(*) FILTER (kind IN ('prank_junk','flood')), 0)::DOUBLE AS bad_held,
+count(*) FILTER (kind IN ('prank_junk','flood') AND state IN ('held','merged'))/nullif(count(*) FILTER (kind IN ('prank_junk','flood')), 0)::DOUBLE AS bad_filtered,
+count(*) FILTER (kind = 'prank_convincing' AND state = 'held')/nullif(count(*) FILTER (kind = 'prank_convincing'), 0)::DOUBLE AS convincing_held,
+(SELECT count(*) FROM (SELECT site_id FROM k WHERE kind IN ('first','followup','corroborate') AND site_id IS NOT NULL GROUP BY site_id HAVING count(DISTINCT wall) > 1)) AS mixed,
 count(*) FILTER (caught)/nullif(count(*) FILTER (kind IN ('double_tap','viral')), 0)::DOUBLE AS dup_merged, count(*) FILTER (legit AND state = 'held')/nullif(count(*) FILTER (legit), 0)::DOUBLE AS wrongly_held,
 count(*) FILTER (legit AND state = 'merged' AND NOT caught)/nullif(count(*) FILTER (legit), 0)::DOUBLE AS wrongly_merged,
 count(*) FILTER (kind IN ('followup','corroborate') AND state = 'pending' AND site_id = main_site)/nullif(count(*) FILTER (kind IN ('followup','corroborate') AND state = 'pending'), 0)::DOUBLE AS link_rate FROM x"""))
