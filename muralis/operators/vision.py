@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from muralis import config
-from muralis.kernels import filters, geometry, profile
+from muralis.kernels import filters, geometry, profile, retake
 
 #: Detectors by name: image in 0..1 to mask.
 DETECTORS: dict[str, Callable[[np.ndarray], np.ndarray]] = {"classic": filters.detect_classic}
@@ -107,6 +107,18 @@ def analyze(images: DataFrame, detector: str = "classic", fallback: str = "class
     return images.mapInPandas(run, f"item_id long, engine string, cracks {crack}, phash string, blur_score double, warnings array<string>")
 
 
+def retakes(images: DataFrame, variants: int = 5, seed: int = 7) -> DataFrame:
+    """``(item_id, has_crack, kind, phash)``: fingerprints of the middle of each photo (``base``), of ``variants`` other
+    shots of its scene (``same_scene``) and of the photo sent again (``same_photo``)."""
+
+    def one(r):
+        rng, gray = np.random.default_rng([seed, r.item_id]), gray_of(r.gray, r.size)
+        shots = [("base", gray), *(("same_scene", retake.reshoot(gray, rng)) for _ in range(variants)), ("same_photo", retake.reshoot(gray, rng, geometric=False))]
+        return [(r.item_id, bool(r.has_crack), kind, filters.phash64(retake.centre_crop(x))) for kind, x in shots]
+
+    return per_image(images, one, "item_id long, has_crack boolean, kind string, phash string")
+
+
 def model_masks(images: DataFrame, model_path: str, threshold: float = 0.6) -> DataFrame:
     """Masks of an ONNX model, one session for each Python worker; RGB tensors, padded to multiples of 32."""
     sessions: dict = {}

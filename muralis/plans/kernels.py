@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from muralis.kernels import filters, geometry, profile
+from muralis.kernels import filters, geometry, profile, retake
 from muralis.operators import vision
 from muralis.plans.registry import query
 from muralis.scratch import fresh_dir
@@ -52,6 +52,7 @@ KERNELS = {
     "normalize_tensor": lambda g, m: filters.normalize_tensor(_rgb(g) * 255), "resize_bilinear": lambda g, m: filters.resize_bilinear(g, 50, 70), "pad32": lambda g, m: filters.pad32(g[:50, :70]),
     "blur_score": lambda g, m: np.array([filters.blur_score(g)]), "apply_correction_image": lambda g, m: _lut(g), "convex_hull": lambda g, m: geometry.convex_hull(_points(m)), "min_area_rect": lambda g, m: np.array(geometry.min_area_rect(_points(m))),
     "trace_polyline": lambda g, m: np.array(geometry.trace_polyline(_points(filters.thin(m)), m.shape)), "erase_card": lambda g, m: geometry.erase_card(m, np.array([[0.5, 0, 5], [0, -0.5, 60], [0, 0, 1.0]])),
+    "reshoot": lambda g, m: retake.reshoot(g, np.random.default_rng(3)), "centre_crop": lambda g, m: retake.centre_crop(g),
     "profile_sample": lambda g, m: _section(g)[1], "fwhm_area": lambda g, m: np.array(profile.valleys(*_section(g), np.array([6.0]))), "smooth1d": lambda g, m: profile.smooth(g, 2.0),
     "chord": lambda g, m: profile.chords(m, _middle(m), _UP), "direction_pca": lambda g, m: np.abs(profile.directions(filters.thin(m), _middle(m).astype(int))[0]),
 }

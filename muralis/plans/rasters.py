@@ -67,6 +67,10 @@ def analyze_photo(spark, d):
 
 @query("hash_study")
 def hash_study(spark, d):
-    """Distances between the fingerprints of generated walls."""
-    fp = vision.fingerprints(walls(spark)).select("item_id", F.lit(0).alias("g"), hashing.fingerprint(F.col("phash")).alias("fp"))
-    return metrics.threshold_curve(pairs.same_group_pairs(fp, "g", "item_id", "fp"), ["g"])
+    """Share of pairs within each number of bits, by kind of wall: shots of one scene, one photo sent twice, and
+    different walls."""
+    shots = vision.retakes(synthetic.walls(spark, 64, size=96).repartition(8, "item_id")).select("item_id", F.col("has_crack").alias("g"), "kind", hashing.fingerprint(F.col("phash")).alias("fp"))
+    base = shots.filter("kind = 'base'").select("item_id", "g", "fp")
+    again = shots.filter("kind <> 'base'").join(base.select("item_id", F.col("fp").alias("own")), "item_id").select("g", "kind", hashing.hamming(F.col("fp"), F.col("own")).alias("distance"))
+    other = pairs.same_group_pairs(base, "g", "item_id", "fp").select("g", F.lit("different").alias("kind"), "distance")
+    return metrics.threshold_curve(again.unionByName(other), ["g", "kind"])

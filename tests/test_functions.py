@@ -140,3 +140,17 @@ def test_hash_and_widths():
 @pytest.mark.parametrize("sigma", [1.0, 2.5])
 def test_blur_keeps_constants(sigma):
     assert np.allclose(filters.blur(np.full((30, 40), 0.3), sigma), 0.3)
+
+
+def test_retakes_of_a_wall():
+    from muralis.kernels import retake
+
+    gray, _ = synthetic.wall(3, 1, 128, 5.0)
+    assert np.allclose(retake.moved(gray, 0.0, 1.0, (0, 0)), gray)
+    assert np.allclose(retake.moved(gray, 0.0, 1.0, (5, -3))[:-3, 5:], gray[3:, :-5])
+    turned = retake.moved(retake.moved(gray, 4.0, 1.05, (0, 0)), -4.0, 1 / 1.05, (0, 0))
+    assert np.abs(turned - gray)[20:-20, 20:-20].mean() < 0.02
+    assert retake.centre_crop(gray).shape == (110, 110)
+    bits = lambda x: bin(int(filters.phash64(retake.centre_crop(x)), 16) ^ int(filters.phash64(retake.centre_crop(gray)), 16)).count("1")
+    rng = np.random.default_rng(2)
+    assert max(bits(retake.reshoot(gray, rng, geometric=False)) for _ in range(10)) <= 8
