@@ -140,8 +140,8 @@ def src_text_table(spark, d):
 
 @query("src_synth_sets")
 def src_synth_sets(spark, d):
-    """The development and test sets: seeds 1000 and 2000."""
-    dev, test = (synthetic.walls(spark, 8, seed, 64).select(F.lit(name).alias("part"), "item_id", "width_px", "has_crack") for name, seed in (("dev", 1000), ("test", 2000)))
+    """The development and test sets, 50 walls with a crack and 15 without: seeds 1000 and 2000."""
+    dev, test = (synthetic.walls(spark, 65, seed, 64, cracked=50).repartition(8, "item_id").select(F.lit(name).alias("part"), "item_id", "width_px", "has_crack") for name, seed in (("dev", 1000), ("test", 2000)))
     return dev.unionByName(test)
 
 

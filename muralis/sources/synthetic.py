@@ -34,8 +34,9 @@ def wall(seed: int, i: int, size: int = 128, width_px: float = 3.0, crack: bool
     return np.clip(img + rng.normal(0, 0.005, img.shape), 0, 1), mask
 
 
-def walls(spark: SparkSession, n: int, seed: int = 1000, size: int = 128) -> DataFrame:
-    """``(item_id, size, width_px, has_crack, gray, mask)``: log-uniform widths, every fourth wall without a crack;
+def walls(spark: SparkSession, n: int, seed: int = 1000, size: int = 128, cracked: int | None = None) -> DataFrame:
+    """``(item_id, size, width_px, has_crack, gray, mask)``: log-uniform widths; the first ``cracked`` walls have a
+    crack, or else all but every fourth;
     ``gray`` float32 and ``mask`` uint8, row by row."""
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -43,8 +44,9 @@ def walls(spark: SparkSession, n: int, seed: int = 1000, size: int = 128) -> Dat
             rows = []
             for i in b["id"]:
                 px = float(np.exp(np.random.default_rng([seed, int(i), 1]).uniform(np.log(1.5), np.log(8))))
-                gray, mask = wall(seed, int(i), size, px, i % 4 != 0)
-                rows.append((i, size, px, i % 4 != 0, gray.astype("<f4").tobytes(), mask.astype(np.uint8).tobytes()))
+                has = bool(i % 4 != 0 if cracked is None else i < cracked)
+                gray, mask = wall(seed, int(i), size, px, has)
+                rows.append((i, size, px, has, gray.astype("<f4").tobytes(), mask.astype(np.uint8).tobytes()))
             yield pd.DataFrame(rows, columns=["item_id", "size", "width_px", "has_crack", "gray", "mask"])
 
     return spark.range(n).mapInPandas(make, "item_id long, size int, width_px double, has_crack boolean, gray binary, mask binary")
