@@ -29,8 +29,7 @@ that repeat an id are rows of their own; an empty table gives no rows; further c
 compares 64-bit digests of (shingle, occurrence).
 
 Scale: nothing but emptiness of a step comes to the driver.  What a bucket must know of itself - its size, its leader,
-whether it's mixed - is counted with partial sums and written, then joined to its members, so that a bucket of very
-many members is a skewed join key that adaptive execution splits.
+whether it's mixed - is counted with partial sums, then joined to its members.
 """
 
 from __future__ import annotations
@@ -222,7 +221,7 @@ def _classes(docs: DataFrame, shingle: int, similarity: float, bands: int, rows:
     # a struct's minimum puts null ids first; the class is then named null
     reps = reps.select("fp", F.col("r.doc_id").alias("least"), F.col("r.rk").alias("rep"), "n", "bands")
     buckets = reps.select("fp", "n", F.posexplode("bands").alias("band", "key"))
-    sizes = stash(buckets.groupBy("band", "key").agg(F.count("*").alias("k")).filter("k > 1"), "sizes")
+    sizes = buckets.groupBy("band", "key").agg(F.count("*").alias("k")).filter("k > 1")
     members = stash(buckets.join(sizes, ["band", "key"]), "buckets")
     known = reps.join(members.select("fp").distinct(), "fp", "left_semi").select("fp", "rep")
     items = stash(multisets(docs, known, shingle), "multisets")
@@ -240,6 +239,7 @@ def _classes(docs: DataFrame, shingle: int, similarity: float, bands: int, rows:
     first, members = members, stash(members.join(central, "fp"), "central")
     release(first)
     scratch: list[DataFrame] = []
+    passing: list[DataFrame] = []  # read in its own round only
     links, tried, comp, step = None, None, None, 0
     while True:
         if comp is None:
@@ -247,9 +247,9 @@ def _classes(docs: DataFrame, shingle: int, similarity: float, bands: int, rows:
         else:
             now = members.join(comp, members["fp"] == comp["v"], "left").select(members["*"], F.coalesce("label", "fp").alias("comp"))
             mixed = now.groupBy("band", "key").agg((F.min("comp") != F.max("comp")).alias("mixed")).filter("mixed").select("band", "key")
-            mixed = stash(mixed, "mixed")
             now = stash(now.join(mixed, ["band", "key"]), "unresolved")
-            scratch += [mixed, now]
+            release(*passing)
+            passing = [now]
             if now.isEmpty():
                 break
         other = now.select("band", "key", F.col("fp").alias("q"), F.col("n").alias("m"), F.col("comp").alias("other"))
@@ -264,8 +264,6 @@ def _classes(docs: DataFrame, shingle: int, similarity: float, bands: int, rows:
         else:
             rank = F.struct(-F.col("central"), "fp") if step == 0 else F.struct(F.xxhash64("fp", "band", F.lit(step)), "fp")
             leader = now.groupBy("band", "key").agg(F.min_by(F.struct("fp", "n", "comp"), rank).alias("l")).select("band", "key", F.col("l.fp").alias("p"), F.col("l.n").alias("n"), F.col("l.comp").alias("comp"))
-            leader = stash(leader, "leaders")
-            scratch.append(leader)
             pairs = leader.join(other, ["band", "key"]).filter((F.col("comp") != F.col("other")) & _fits("n", "m", similarity))
         pairs = ordered(pairs)
         if tried is not None:
@@ -282,7 +280,7 @@ def _classes(docs: DataFrame, shingle: int, similarity: float, bands: int, rows:
             break
         step = -1 if nothing or step + 1 >= leader_rounds else step + 1
 
-    release(items, members, sizes, *scratch)
+    release(items, members, *scratch, *passing)
     home = reps.join(comp, reps["fp"] == comp["v"], "left").select("fp", "least", "rep", F.coalesce("label", "fp").alias("label"))
     named = home.groupBy("label").agg(F.min(F.struct("least", "rep")).alias("first"))
     classes = home.join(named, "label").select("fp", "first")
