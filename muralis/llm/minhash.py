@@ -14,7 +14,7 @@ Steps:
 3. proposals are verified on the whole shingle multisets, and links make components (min-label propagation with
    pointer jumping, each round written out);
 4. buckets that still hold several components propose again, to leaders drawn anew for each band and round, until
-   a round finds no link.  These rounds only save work: what they leave is settled by step 5;
+   a round finds links for hardly a hundredth of its pairs.  These rounds only save work: what they leave is settled by step 5;
 5. buckets of at most ``small`` members compare all pairs across components; the members of larger ones go through
    an exact prefix join (``prefix_pairs``), which misses no pair of the wanted similarity.
 
@@ -28,7 +28,7 @@ Defined cases: null and empty texts, and those without words, are a class each;
 that repeat an id are rows of their own; an empty table gives no rows; further columns are ignored.  Verification
 compares 64-bit digests of (shingle, occurrence).
 
-Scale: nothing but emptiness of a step comes to the driver.  What a bucket must know of itself - its size, its leader,
+Scale: nothing but the number of rows of a step comes to the driver.  What a bucket must know of itself - its size, its leader,
 whether it's mixed - is counted with partial sums, then joined to its members.
 """
 
@@ -151,22 +151,21 @@ def multisets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """``(v, label)`` of the nodes of ``links(a, b)``: the least node of each component."""
-    both = stash(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
+    """``(v, label)`` of the nodes of the distinct ``links(a, b)``: the least node of each component.
+
+    In each round a node takes the least label among its own, its neighbours' and its label's; the last is an edge
+    like any other, so a round is one join and one grouping, written once."""
+    both = links.select("a", "b").union(links.select("b", "a"))
     labels = stash(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")).select(F.col("a").alias("v"), "label"), "labels")
     while True:
-        near = both.join(labels, both["b"] == labels["v"]).groupBy("a").agg(F.min("label").alias("near"))
-        best = labels.join(near, labels["v"] == near["a"]).select("v", "label", F.least("label", "near").alias("new"))
-        best = stash(best, "best")
-        old = labels
-        root = best.select(F.col("v").alias("r"), F.col("new").alias("root"))
-        jumped = stash(best.join(root, best["new"] == root["r"]).select("v", "label", F.least("new", "root").alias("new")), "labels")
-        labels = jumped.select("v", F.col("new").alias("label"))
-        settled = jumped.filter("label != new").isEmpty()
-        release(best, old)
-        labels.stashed_at = jumped.stashed_at
-        if settled:
-            release(both)
+        ends = labels.select(F.col("v").alias("b"), F.col("label").alias("seen"))
+        seen = both.union(labels.filter("v != label")).join(ends, "b").select("a", "seen", F.lit(None).cast("binary").alias("own"))
+        least = seen.union(labels.select("v", "label", "label")).groupBy("a").agg(F.min("seen").alias("label"), F.max("own").alias("before"))
+        old, new = labels, stash(least.select(F.col("a").alias("v"), "label", (F.col("label") != F.col("before")).alias("moved")), "labels")
+        release(old)
+        labels = new.select("v", "label")
+        labels.stashed_at = new.stashed_at
+        if new.filter("moved").isEmpty():
             return labels
 
 
@@ -223,7 +222,10 @@ def _classes(docs: DataFrame, shingle: int, similarity: float, bands: int, rows:
     buckets = reps.select("fp", "n", F.posexplode("bands").alias("band", "key"))
     sizes = buckets.groupBy("band", "key").agg(F.count("*").alias("k")).filter("k > 1")
     members = stash(buckets.join(sizes, ["band", "key"]), "buckets")
-    known = reps.join(members.select("fp").distinct(), "fp", "left_semi").select("fp", "rep")
+    # how large the buckets of a text are: copies near the middle of their group have the most common bands
+    central = members.groupBy("fp").agg(F.sum("k").alias("central"))
+    # written, so that Spark knows its size when it chooses between sending it out and shuffling the texts
+    known = stash(reps.select("fp", "rep").join(central, "fp"), "known")
     items = stash(multisets(docs, known, shingle), "multisets")
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -234,10 +236,6 @@ def _classes(docs: DataFrame, shingle: int, similarity: float, bands: int, rows:
     def ordered(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
 
-    # how large the buckets of a text are: copies near the middle of their group have the most common bands
-    central = members.groupBy("fp").agg(F.sum("k").alias("central"))
-    first, members = members, stash(members.join(central, "fp"), "central")
-    release(first)
     scratch: list[DataFrame] = []
     passing: list[DataFrame] = []  # read in its own round only
     links, tried, comp, step = None, None, None, 0
@@ -263,7 +261,8 @@ def _classes(docs: DataFrame, shingle: int, similarity: float, bands: int, rows:
                 pairs = pairs.union(prefix_pairs(many, items, similarity))
         else:
             rank = F.struct(-F.col("central"), "fp") if step == 0 else F.struct(F.xxhash64("fp", "band", F.lit(step)), "fp")
-            leader = now.groupBy("band", "key").agg(F.min_by(F.struct("fp", "n", "comp"), rank).alias("l")).select("band", "key", F.col("l.fp").alias("p"), F.col("l.n").alias("n"), F.col("l.comp").alias("comp"))
+            could_lead = now.join(known.select("fp", "central"), "fp") if step == 0 else now
+            leader = could_lead.groupBy("band", "key").agg(F.min_by(F.struct("fp", "n", "comp"), rank).alias("l")).select("band", "key", F.col("l.fp").alias("p"), F.col("l.n").alias("n"), F.col("l.comp").alias("comp"))
             pairs = leader.join(other, ["band", "key"]).filter((F.col("comp") != F.col("other")) & _fits("n", "m", similarity))
         pairs = ordered(pairs)
         if tried is not None:
@@ -272,15 +271,16 @@ def _classes(docs: DataFrame, shingle: int, similarity: float, bands: int, rows:
         tried = pairs if tried is None else tried.union(pairs)
         found = stash(verify(pairs), "verified")
         scratch += [pairs, found]
-        nothing = found.isEmpty()
-        if not nothing or comp is None:
+        n_found = found.count()
+        if n_found or comp is None:
             links = found if links is None else links.union(found)
             comp = components(links)
         if last:
             break
-        step = -1 if nothing or step + 1 >= leader_rounds else step + 1
+        spent = n_found * 100 <= pairs.count()  # leaders hardly find anything any more
+        step = -1 if spent or step + 1 >= leader_rounds else step + 1
 
-    release(items, members, *scratch, *passing)
+    release(items, known, members, *scratch, *passing)
     home = reps.join(comp, reps["fp"] == comp["v"], "left").select("fp", "least", "rep", F.coalesce("label", "fp").alias("label"))
     named = home.groupBy("label").agg(F.min(F.struct("least", "rep")).alias("first"))
     classes = home.join(named, "label").select("fp", "first")
