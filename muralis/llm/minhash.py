@@ -132,7 +132,9 @@ def signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFram
 
 
 def multisets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """``(fp, items)``: the 64-bit digests of (shingle, occurrence) of one text for each wanted ``fp``."""
+    """``(fp, items)``: the 64-bit digests of (shingle, occurrence) of one text for each wanted ``fp``.
+
+    The wanted keys grow with the input, so they are never sent out: the texts are shuffled once, at every size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,7 +148,7 @@ def multisets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([block.column(0), pa.ListArray.from_arrays(pa.array(offs), pa.array(item))], ["fp", "items"])
 
     texts = docs.select(row_key("doc_id", "text").alias("rep"), F.col("text").cast("string"))
-    one = wanted.select("fp", "rep").join(texts, "rep").dropDuplicates(["fp"])
+    one = wanted.select("fp", "rep").join(texts.hint("merge"), "rep").dropDuplicates(["fp"])
     return one.select("fp", "text").mapInArrow(run, "fp binary, items array<long>")
 
 
@@ -224,7 +226,7 @@ def _classes(docs: DataFrame, shingle: int, similarity: float, bands: int, rows:
     members = stash(buckets.join(sizes, ["band", "key"]), "buckets")
     # how large the buckets of a text are: copies near the middle of their group have the most common bands
     central = members.groupBy("fp").agg(F.sum("k").alias("central"))
-    # written, so that Spark knows its size when it chooses between sending it out and shuffling the texts
+    # written, since the multisets and the first leaders both read it
     known = stash(reps.select("fp", "rep").join(central, "fp"), "known")
     items = stash(multisets(docs, known, shingle), "multisets")
 
