@@ -78,6 +78,24 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op11_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from muralis.llm.packing import pack_sequences
+
+    return pack_sequences(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from muralis.llm.runs import digest, periodic_runs, with_planted_periods
+
+    return digest(periodic_runs(with_planted_periods(table(spark, sf_dir, "documents"))))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from muralis.llm.spelling import spelling_variants
+
+    return spelling_variants(table(spark, sf_dir, "documents"), typo=97)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_records": op1_token_records,
     "op2_near_duplicates": op2_near_duplicates,
@@ -89,6 +107,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_repeated_passages": op9_repeated_passages,
     "op10_source_mix": op10_source_mix,
+    "op11_sequence_packing": op11_sequence_packing,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLE_SQL: dict[str, str] = dict(SQL)
