@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from muralis.config import DEGREE_M, RULES, Rules
+from muralis.config import DEGREE_M, EARTH_M, RULES, Rules
 from muralis.functions import geo, hashing
+from muralis.scratch import written
 
 
 def _cells(lat: Column, lon: Column, metres: float, reach: int) -> Column:
@@ -60,17 +63,101 @@ def radius(accuracy: Column, rules: Rules = RULES) -> Column:
     return F.least(F.lit(rules.links["scene"].metres), F.greatest(F.lit(rules.least_m), accuracy))
 
 
-def reused_far(reports: DataFrame, rules: Rules = RULES) -> DataFrame:
-    """``(i, n_far)``: earlier reports of nearly the same photo farther away than the rule's limit.  Fingerprints are
-    joined once each; equal fingerprints pair without bands."""
+def reused_far(reports: DataFrame, rules: Rules = RULES, known: DataFrame | None = None) -> DataFrame:
+    """``(i, n_far)``: for each report how many earlier ones, of these or of ``known``, show nearly the same photo farther
+    away than the rule's limit.
+
+    No pairs of far reports are made.  Those with the same or a similar fingerprint are counted by running counts over
+    fingerprints; the ones of them that are near, in the cells around, are counted by a spatial join and taken off.  The
+    near ones are few even for a photo that was sent a million times from everywhere, and those of one place are counted
+    by distinct positions."""
     bits, least_m = rules.limits("PHOTO_REUSED_ELSEWHERE")
-    distinct = reports.select("fp").distinct()
+    known = reports if known is None else known
+    distinct = known.select("fp").distinct()
     near = hamming_pairs(distinct, bits).select("a", "b")
     both = near.union(near.select("b", "a")).union(distinct.select("fp", "fp")).toDF("fp", "other")
-    new = reports.select(F.col("id").alias("i"), "lat", "lon", "fp")
-    old = reports.select(F.col("id").alias("j"), F.col("lat").alias("jlat"), F.col("lon").alias("jlon"), F.col("fp").alias("other"))
-    hits = new.join(both, "fp").join(old, "other").filter((F.col("i") > F.col("j")) & (geo.haversine_m(F.col("lat"), F.col("lon"), F.col("jlat"), F.col("jlon")) > least_m))
-    return hits.groupBy("i").agg(F.count("*").alias("n_far"))
+    new = reports.select(F.col("id").alias("i"), "lat", "lon", F.col("fp").alias("a"))
+    old = known.select(F.col("id").alias("j"), F.col("lat").alias("jlat"), F.col("lon").alias("jlon"), F.col("fp").alias("b"))
+    similar = written(both.toDF("a", "b"), "similar")
+    total = earlier_counts(new, old, similar)
+    beside = _near_counts(new, old, similar, least_m)
+    found = total.join(beside.withColumnRenamed("n", "near"), "i", "left")
+    return found.select("i", (F.col("n") - F.coalesce("near", F.lit(0))).alias("n_far")).filter("n_far > 0")
+
+
+def earlier_counts(new: DataFrame, old: DataFrame, links: DataFrame, chunk: int = 1 << 16) -> DataFrame:
+    """``(i, n)``, n above zero: for each row of ``new(i, a)`` the rows of ``old(j, b)`` with ``j < i`` whose ``b`` its
+    ``a`` is linked to by ``links(a, b)``, distinct pairs of keys.  Rows of a link are counted in windows of ``chunk``
+    ids, on top of the sums of the windows before; so a key of a third of all rows is many windows, and no pairs are made."""
+    place = lambda c: F.floor(F.col(c) / chunk).alias("chunk")
+    asks = new.select("a", "i").join(links, "a").select("a", "b", F.col("i").alias("id"), place("i"), F.lit(0).alias("one"))
+    have = old.select("b", "j").join(links, "b").select("a", "b", F.col("j").alias("id"), place("j"), F.lit(1).alias("one"))
+    inside = Window.partitionBy("a", "b", "chunk").orderBy("id", "one").rowsBetween(Window.unboundedPreceding, 0)
+    own = asks.unionByName(have).withColumn("n", F.sum("one").over(inside)).filter("one = 0")
+    sizes = old.groupBy(F.col("b").alias("kb"), place("j").alias("kc")).agg(F.count("*").alias("size"))
+    # each window that asks needs the sum of all before it: of its key's sizes and questions, in order
+    wanted = own.select(F.col("b").alias("kb"), F.col("chunk").alias("kc")).distinct().withColumn("size", F.lit(None).cast("long"))
+    before = Window.partitionBy("kb").orderBy("kc").rangeBetween(Window.unboundedPreceding, -1)
+    base = sizes.unionByName(wanted).withColumn("base", F.sum("size").over(before)).groupBy("kb", "kc").agg(F.max("base").alias("base"))
+    return own.join(base, (F.col("b") == F.col("kb")) & (F.col("chunk") == F.col("kc"))).groupBy(F.col("id").alias("i")).agg(F.sum(F.col("n") + F.coalesce("base", F.lit(0))).alias("n")).filter("n > 0")
+
+
+#: Metres of a degree on the sphere that ``haversine_m`` measures, and the slack of bounds on cells.
+_METRES, _SLACK = EARTH_M * math.pi / 180, 0.005
+
+
+def _near_counts(new: DataFrame, old: DataFrame, similar: DataFrame, within: float, parts: int = 8) -> DataFrame:
+    """``(i, n)``: rows of ``old`` with a similar fingerprint and ``j < i`` that lie ``within`` metres.
+
+    The plane is cut into tiles, ``parts`` in a length of ``within``.  Occupied tiles of similar fingerprints are joined
+    over coarse cells.  Where any two points of two tiles are near, their rows are counted, not paired; where all
+    are far they are left; only rows of tiles that straddle the distance are paired.  Covers latitudes up to 89.9."""
+    size = within / _METRES  # a cell, in degrees of latitude
+    tiles = size / parts
+
+    def laid(rows: DataFrame, lat: str, lon: str, key: str) -> DataFrame:
+        row = F.floor(F.col(lat) / size)
+        wide = size / F.greatest(F.lit(1e-3), F.cos(F.radians(F.greatest(F.abs(row), F.abs(row + 1)) * size)))
+        spot = F.struct(F.floor(F.col(lat) / tiles).alias("y"), F.floor(F.col(lon) * parts / wide).alias("x"), row.alias("row"), wide.alias("wide"))
+        return rows.withColumn("tile", spot).withColumn("key", F.struct(F.col(key).alias("print"), F.col("tile.y"), F.col("tile.x")))
+
+    n, o = laid(new, "lat", "lon", "a"), laid(old, "jlat", "jlon", "b")
+    # the same longitude has two names at the date line
+    wrapped = laid(old.filter(F.abs("jlon") > 179).withColumn("jlon", F.col("jlon") - 360 * F.signum("jlon")), "jlat", "jlon", "b")
+    o = o.unionByName(wrapped)
+    left = n.select("a", F.col("key").alias("ka"), F.col("tile").alias("ta")).distinct()
+    right = o.select("b", F.col("key").alias("kb"), F.col("tile").alias("tb")).distinct()
+
+    def columns(tile: Column, row: Column, reach: int) -> Column:
+        """The coarse columns, in the widths of ``row``, that a tile may meet."""
+        wide = size / F.greatest(F.lit(1e-3), F.cos(F.radians(F.greatest(F.abs(row), F.abs(row + 1)) * size)))
+        west, east = tile["x"] * tile["wide"] / parts, (tile["x"] + 1) * tile["wide"] / parts
+        return F.sequence(F.floor(west / wide) - reach, F.floor(east / wide) + reach)
+
+    cell = lambda row, col: F.struct(row.alias("row"), col.alias("col"))
+    rows_around = F.sequence(F.col("ta.row") - 1, F.col("ta.row") + 1)
+    left = left.withColumn("cell", F.explode(F.flatten(F.transform(rows_around, lambda r: F.transform(columns(F.col("ta"), r, 1), lambda c: cell(r, c))))))
+    right = right.withColumn("cell", cell(F.col("tb.row"), F.floor(F.col("tb.x") / parts)))
+    met = left.join(similar, "a").join(right, ["b", "cell"])
+
+    def side(t: str, axis: str, far: int) -> Column:
+        return (F.col(f"{t}.{axis}") + far) * (F.lit(tiles) if axis == "y" else F.col(f"{t}.wide") / parts)
+
+    def bounds(axis: str) -> tuple[Column, Column]:
+        apart = F.greatest(side("ta", axis, 0) - side("tb", axis, 1), side("tb", axis, 0) - side("ta", axis, 1), F.lit(0.0))
+        return apart, F.greatest(side("ta", axis, 1) - side("tb", axis, 0), side("tb", axis, 1) - side("ta", axis, 0))
+
+    (y0, y1), (x0, x1) = bounds("y"), bounds("x")
+    steep = [F.abs(side(t, "y", k)) for t in ("ta", "tb") for k in (0, 1)]
+    widest = F.when(F.greatest(*steep) < 1, 1.0).otherwise(F.cos(F.radians(F.least(*steep))))
+    narrow = F.cos(F.radians(F.least(F.greatest(*steep), F.lit(90.0))))
+    least, most = (_METRES * F.sqrt(y * y + x * x * c * c) for y, x, c in ((y0, x0, narrow), (y1, x1, widest)))
+    met = met.select("ka", "kb", (most * (1 + _SLACK) <= within).alias("inside"), (least * (1 - _SLACK) <= within).alias("reach")).filter("reach").distinct()
+    met = written(met, "tiles")
+    sure = earlier_counts(n.select(F.col("key").alias("a"), "i"), o.select(F.col("key").alias("b"), "j"), met.filter("inside").select(F.col("ka").alias("a"), F.col("kb").alias("b")))
+    edge = n.select("i", "lat", "lon", F.col("key").alias("ka")).join(met.filter(~F.col("inside")), "ka").join(o.select("j", "jlat", "jlon", F.col("key").alias("kb")), "kb")
+    edge = edge.filter((F.col("i") > F.col("j")) & (geo.haversine_m(F.col("lat"), F.col("lon"), F.col("jlat"), F.col("jlon")) <= within))
+    return sure.unionByName(edge.groupBy("i").agg(F.count("*").alias("n"))).groupBy("i").agg(F.sum("n").alias("n"))
 
 
 def nearest_point(samples: DataFrame, truth: DataFrame, by: str, within: float) -> DataFrame:

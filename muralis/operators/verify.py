@@ -34,13 +34,17 @@ def flood_counts(reports: DataFrame) -> DataFrame:
     return rows.withColumn("prior", F.count("*").over(span) - later - 1).filter("_own").select("id", "prior")
 
 
-def device_history(reports: DataFrame, actions: DataFrame) -> DataFrame:
-    """``(id, reviewed, rejected)``: of the device's reports, how many stood reviewed and rejected on arrival."""
+def device_history(reports: DataFrame, actions: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """``(id, reviewed, rejected)``: of the device's reports, how many stood reviewed and rejected on arrival.  With
+    ``stored(id, device, state)``, reports that came before and the states in which ``actions`` find them."""
     state = F.element_at(F.create_map(*[F.lit(x) for kv in TRANSITIONS.items() for x in kv]), F.col("action"))
     order = Window.partitionBy("report_id").orderBy("at_us", "action_id")
     seen, bad = lambda c: c.isin("accepted", "rejected", "closed").cast("int"), lambda c: (c == "rejected").cast("int")
-    moves = actions.select("report_id", "at_us", "action_id", state.alias("s")).withColumn("old", F.coalesce(F.lag("s").over(order), F.lit("pending")))
-    moves = moves.join(reports.select(F.col("id").alias("report_id"), "device"), "report_id")
+    moves = actions.select("report_id", "at_us", "action_id", state.alias("s"))
+    owners = reports.select(F.col("id").alias("report_id"), "device", F.lit("pending").alias("found"))
+    if stored is not None:
+        owners = owners.unionByName(stored.select(F.col("id").alias("report_id"), "device", F.col("state").alias("found")))
+    moves = moves.join(owners, "report_id").withColumn("old", F.coalesce(F.lag("s").over(order), "found"))
     events = moves.select("device", F.col("at_us").alias("us"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("id"), (seen(F.col("s")) - seen(F.col("old"))).alias("dr"), (bad(F.col("s")) - bad(F.col("old"))).alias("db"))
     events = events.unionByName(reports.select("device", F.col("received_us").alias("us"), F.lit(1).alias("kind"), "id", F.lit(0).alias("dr"), F.lit(0).alias("db")))
     # sums within a device's day, and of its days before: a device with a third of all rows is many windows
@@ -50,7 +54,12 @@ def device_history(reports: DataFrame, actions: DataFrame) -> DataFrame:
     days = days.select("d", "on", F.coalesce(F.sum("sr").over(past), F.lit(0)).alias("r0"), F.coalesce(F.sum("sb").over(past), F.lit(0)).alias("b0"))
     run = Window.partitionBy("device", "day").orderBy("us", "kind", "id").rowsBetween(Window.unboundedPreceding, 0)
     events = events.withColumns({"dr": F.sum("dr").over(run), "db": F.sum("db").over(run)}).filter("kind = 1")
-    return events.join(days, F.col("device").eqNullSafe(F.col("d")) & (F.col("day") == F.col("on"))).select("id", (F.col("dr") + F.col("r0")).alias("reviewed"), (F.col("db") + F.col("b0")).alias("rejected"))
+    out = events.join(days, F.col("device").eqNullSafe(F.col("d")) & (F.col("day") == F.col("on"))).select("id", "device", (F.col("dr") + F.col("r0")).alias("reviewed"), (F.col("db") + F.col("b0")).alias("rejected"))
+    if stored is None:
+        return out.drop("device")
+    base = stored.groupBy(F.col("device").alias("d")).agg(F.count_if(F.col("state").isin("accepted", "rejected", "closed")).alias("r0"), F.count_if(F.col("state") == "rejected").alias("b0"))
+    sums = [(F.col(c) + F.coalesce(base0, F.lit(0))).alias(c) for c, base0 in (("reviewed", F.col("r0")), ("rejected", F.col("b0")))]
+    return out.join(base, F.col("device").eqNullSafe(F.col("d")), "left").select("id", *sums)
 
 
 def fold_score(deltas: Column) -> Column:
@@ -59,10 +68,11 @@ def fold_score(deltas: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), total))
 
 
-def with_codes(reports: DataFrame, r: Rules = RULES) -> DataFrame:
-    """``reports`` with ``codes``: the fired state-free rules in order (reuse, the report's own, flooding)."""
-    far = pairs.reused_far(reports, r).select(F.col("i").alias("id"), "n_far")
-    rows = reports.join(far, "id", "left").join(flood_counts(reports), "id")
+def with_codes(reports: DataFrame, r: Rules = RULES, known: DataFrame | None = None, recent: DataFrame | None = None) -> DataFrame:
+    """``reports`` with ``codes``: the fired state-free rules in order (reuse, the report's own, flooding).  ``known``
+    are all reports, these and earlier ones, if there are any; ``recent`` those of the hour before these as well."""
+    far = pairs.reused_far(reports, r, known).select(F.col("i").alias("id"), "n_far")
+    rows = reports.join(far, "id", "left").join(flood_counts(reports if recent is None else recent), "id")
     fired = {"PHOTO_REUSED_ELSEWHERE": F.col("n_far").isNotNull(), **r.own(), "FLOODING": F.col("prior") >= r.limits("FLOODING")[0]}
     return rows.withColumn("codes", F.filter(F.array(*[F.when(c, name) for name, c in fired.items()]), lambda x: x.isNotNull()))
 
@@ -107,7 +117,7 @@ def _replay(r: Rules):
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = {x.id: x for x in pdf.itertuples(index=False)}
-        events = [(x.received_us, 1, x.id, None) for x in rows.values()]
+        events = [(x.received_us, 1, x.id, None) for x in rows.values() if x.was is None]
         for x in rows.values():
             events += [(a["at_us"], 0, a["action_id"], (x.id, a["action"])) for a in (x.actions if x.actions is not None else ())]
             events += [(us, 2, x.id, None) for us in (x.retro if x.retro is not None else ())]
@@ -115,6 +125,9 @@ def _replay(r: Rules):
         site: dict[int, int | None] = {}
         dup: dict[int, int | None] = {}
         out: dict[int, list] = {}
+        for x in rows.values():
+            if x.was is not None:
+                state[x.id], site[x.id], dup[x.id], out[x.id] = x.was["state"], x.was["site_key"], x.was["duplicate_of"], [x.was["score"], list(x.was["codes"])]
         for us, kind, key, more in sorted(events, key=lambda e: e[:3]):
             if kind == 0:  # a review action
                 i, action = more
@@ -158,21 +171,53 @@ def _replay(r: Rules):
                 own_site = key
             site[key], dup[key] = own_site, parent
             out[key] = [score, codes]
-        ids = list(out)
+        ids = [i for i in out if rows[i].told]
         site_keys, parents = (pd.array([m[i] for i in ids], dtype="Int64") for m in (site, dup))
         return pd.DataFrame({"id": ids, "state": [state[i] for i in ids], "score": [out[i][0] for i in ids], "site_key": site_keys, "duplicate_of": parents, "codes": [out[i][1] for i in ids]})
 
     return run
 
 
-def evaluate(reports: DataFrame, actions: DataFrame | None = None, r: Rules = RULES, group_rows: int = 5_000) -> DataFrame:
-    """Replay all reports, and review actions if given, in order of ``(received_us, id)``: ``(id, state, score,
-    site_id, duplicate_of, codes)``.  Ids must grow with arrival.  Sites are numbered by their creators' order."""
-    reports = written(reports, "reports")
-    coded = written(with_codes(reports, r), "coded")
-    old = reports.select(F.col("id").alias("j"), F.col("lat").alias("jlat"), F.col("lon").alias("jlon"), F.col("fp").alias("jfp"), F.col("device").alias("jdevice"), F.col("captured_us").alias("jus"))
-    new = reports.select(F.col("id").alias("i"), "lat", "lon", "accuracy_m", "fp", "device", "captured_us")
-    p = pairs.geo_pairs(new, old, r).withColumns({"h": hashing.hamming(F.col("fp"), F.col("jfp")), "hours": F.abs(F.col("captured_us") - F.col("jus")) / F.lit(3.6e9)})
+#: What a decision needs to know of an earlier report.
+KNOWN = ("id", "device", "received_us", "captured_us", "lat", "lon", "fp")
+DECISION = ("state", "score", "site_key", "duplicate_of", "codes")
+
+
+def _floods_after(rows: DataFrame, coded: DataFrame, actions: DataFrame | None) -> DataFrame:
+    """``(id, retro)``: the moments at which a flooding row of ``coded`` may hold a pending report of ``rows(id, device,
+    received_us)``: the first one after its arrival, and after each action that reopens it, within an hour of its arrival.
+    Windows run over a device's hour and the floods of the hour after it."""
+    floods = coded.filter(F.array_contains("codes", "FLOODING")).select(F.lit(None).cast("long").alias("id"), "device", F.col("received_us").alias("us"), F.col("id").alias("nth"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("base"))
+    asks = rows.select("id", "device", F.col("received_us").alias("us"), F.col("id").alias("nth"), F.lit(1).alias("kind"), F.col("received_us").alias("base"))
+    if actions is not None:
+        again = actions.filter("action = 'reopen'").select(F.col("report_id").alias("id"), F.col("at_us").alias("us"))
+        asks = asks.unionByName(again.join(rows, "id").select("id", "device", "us", F.lit(-1).cast("long").alias("nth"), F.lit(1).alias("kind"), F.col("received_us").alias("base")))
+    both = asks.withColumn("back", F.lit(0)).unionByName(floods.withColumn("back", F.explode(F.array(F.lit(0), F.lit(1)))))
+    both = both.withColumn("hour", F.expr(f"us div {HOUR}") - F.col("back"))
+    ahead = Window.partitionBy("device", "hour").orderBy("us", "nth", "kind").rowsBetween(1, Window.unboundedFollowing)
+    found = both.withColumn("flood", F.min(F.when(F.col("kind") == 0, F.col("us"))).over(ahead)).filter((F.col("kind") == 1) & (F.col("flood") <= F.col("base") + HOUR))
+    return found.groupBy("id").agg(F.collect_set("flood").alias("retro"))
+
+
+def decide(new: DataFrame, stored: DataFrame | None = None, actions: DataFrame | None = None, r: Rules = RULES, group_rows: int = 5_000) -> DataFrame:
+    """``(id, state, score, site_key, duplicate_of, codes)`` of ``new`` reports, and of those ``stored`` ones that
+    ``actions`` or flooding changes.  ``stored`` has the columns ``KNOWN`` and ``DECISION`` of all reports before the new
+    ones, as they stand; ``actions`` are those since.  Ids grow with arrival.
+
+    Nothing stored is replayed: a new report needs the states of the stored ones that it's linked to, and how these
+    change from then on, which depends on actions and on floods, never on other decisions.  So a component is one of
+    links among new reports, with the stored ones at its border beside it."""
+    new = written(new, "reports")
+    known = new.select(*KNOWN)
+    recent = None
+    first = new.agg(F.min("received_us").alias("us"), F.min("id").alias("id"), F.count("*").alias("n")).first()
+    if stored is not None:
+        known = known.unionByName(stored.select(*KNOWN))
+        recent = known.filter(F.col("received_us") >= (first.us or 0) - HOUR)
+    coded = written(with_codes(new, r, known, recent), "coded")
+    old = known.select(F.col("id").alias("j"), F.col("lat").alias("jlat"), F.col("lon").alias("jlon"), F.col("fp").alias("jfp"), F.col("device").alias("jdevice"), F.col("captured_us").alias("jus"))
+    mine = new.select(F.col("id").alias("i"), "lat", "lon", "accuracy_m", "fp", "device", "captured_us")
+    p = pairs.geo_pairs(mine, old, r).withColumns({"h": hashing.hamming(F.col("fp"), F.col("jfp")), "hours": F.abs(F.col("captured_us") - F.col("jus")) / F.lit(3.6e9)})
     linked = {name: (F.col("metres") <= x.metres) & (F.col("h") <= x.bits) & (F.col("hours") <= x.hours) for name, x in r.links.items()}
     same = linked["device"] & (F.col("device") == F.col("jdevice"))
     bits, farthest = r.limits("SCENE_ELSEWHERE")
@@ -182,20 +227,46 @@ def evaluate(reports: DataFrame, actions: DataFrame | None = None, r: Rules = RU
     item = F.struct("h", "metres", "j", F.col("jdevice").alias("device"), "same")
     lists = p.groupBy("i").agg(
         F.sort_array(F.collect_list(F.when(F.col("scene"), item))).alias("scene"), F.sort_array(F.collect_list(F.when(F.col("dup"), item))).alias("dups"), F.collect_list(F.when(F.col("ring"), F.col("j"))).alias("ring"))
-    comp = components(p.select(F.col("i").alias("a"), F.col("j").alias("b")))
+    inner = p if stored is None else p.filter(F.col("j") >= first.id)
+    n_groups = F.lit(max(1, -(-first.n // group_rows)))
+    group = lambda key: F.pmod(F.xxhash64(key), n_groups)
+    groups = new.select("id").join(components(inner.select(F.col("i").alias("a"), F.col("j").alias("b"))), F.col("id") == F.col("v"), "left").select("id", group(F.coalesce("label", "id")).alias("_g"))
 
-    flood = F.array_contains("codes", "FLOODING")
-    rows = coded.join(next_flood(coded).select(F.col("id").alias("k"), F.array("flood").alias("retro")), F.col("id") == F.col("k"), "left").join(lists, F.col("id") == F.col("i"), "left").join(comp, F.col("id") == F.col("v"), "left")
+    since = coded.select("id", "device", "received_us") if recent is None else recent.select("id", "device", "received_us")
+    retro = _floods_after(since, coded, actions)
     if actions is None:
-        rows = rows.withColumns({"actions": F.lit(None).cast("array<struct<at_us:long,action_id:long,action:string>>"), "reviewed": F.lit(0), "rejected": F.lit(0)})
+        listed = new.select(F.col("id").alias("aid"), F.lit(None).cast("array<struct<at_us:long,action_id:long,action:string>>").alias("actions")).limit(0)
+        past = new.select("id", F.lit(0).alias("reviewed"), F.lit(0).alias("rejected")) if stored is None else device_history(new, _no_actions(new), stored)
     else:
-        mine = actions.groupBy(F.col("report_id").alias("id")).agg(F.collect_list(F.struct("at_us", "action_id", "action")).alias("actions"))
-        # a reopened report can be held again: it needs every later flooding row, not only the first
-        floods = coded.filter(flood).select("device", F.col("received_us").alias("f"), F.col("id").alias("fid"))
-        again = coded.join(mine.select("id"), "id", "left_semi").join(floods, "device").filter((F.col("fid") > F.col("id")) & F.col("f").between(F.col("received_us"), F.col("received_us") + HOUR)).groupBy("id").agg(F.sort_array(F.collect_list("f")).alias("all_retro"))
-        rows = rows.join(mine, "id", "left").join(again, "id", "left").join(device_history(reports, actions), "id").withColumn("retro", F.coalesce("all_retro", "retro"))
-    groups = F.pmod(F.xxhash64(F.coalesce("label", "id")), F.lit(max(1, -(-reports.count() // group_rows))))
-    compact = rows.select("id", "device", "received_us", "codes", "retro", "scene", "dups", "ring", "actions", "reviewed", "rejected", groups.alias("_g"))
-    done = written(compact.groupBy("_g").applyInPandas(_replay(r), _OUT), "decisions")
-    creators = global_rank(done.filter("site_key = id").select("id"), ["id"], "site_id").select(F.col("id").alias("site_key"), "site_id")
-    return done.join(creators, "site_key", "left").select("id", "state", "score", "site_id", "duplicate_of", "codes")
+        listed = actions.groupBy(F.col("report_id").alias("aid")).agg(F.collect_list(F.struct("at_us", "action_id", "action")).alias("actions"))
+        past = device_history(new, actions, stored)
+    events = written(retro.join(listed, F.col("id") == F.col("aid"), "full").select(F.coalesce("id", "aid").alias("eid"), "retro", "actions"), "events")
+
+    was = f"struct<{', '.join(f'{c}:{t}' for c, t in zip(DECISION, ('string', 'double', 'long', 'long', 'array<string>'), strict=True))}>"
+    rows = coded.join(groups, "id").join(lists, F.col("id") == F.col("i"), "left").join(events, F.col("id") == F.col("eid"), "left").join(past, "id")
+    rows = rows.select("id", "device", "received_us", "codes", "retro", "scene", "dups", "ring", "actions", "reviewed", "rejected", "_g", F.lit(None).cast(was).alias("was"), F.lit(True).alias("told"))
+    if stored is not None:
+        border = p.filter(F.col("j") < first.id).join(groups, F.col("i") == F.col("id")).select(F.col("j").alias("k"), "_g", F.lit(False).alias("told"))
+        moved = stored.join(events, F.col("id") == F.col("eid"), "left_semi").select(F.col("id").alias("k"), group(F.col("id")).alias("_g"), F.lit(True).alias("told"))
+        held = border.unionByName(moved).groupBy("k", "_g").agg(F.max("told").alias("told"))
+        blank = {name: F.lit(None).cast(rows.schema[name].dataType) for name in ("scene", "dups", "ring")}
+        stands = held.join(stored.select(*KNOWN[:3], F.struct(*DECISION).alias("was")), F.col("k") == F.col("id")).join(events, F.col("id") == F.col("eid"), "left")
+        stands = stands.withColumns({**blank, "codes": F.col("was.codes"), "reviewed": F.lit(0), "rejected": F.lit(0)})
+        rows = rows.unionByName(stands.select(*rows.columns))
+    return written(rows.groupBy("_g").applyInPandas(_replay(r), _OUT), "decisions")
+
+
+def _no_actions(reports: DataFrame) -> DataFrame:
+    return reports.select(F.col("id").alias("report_id"), F.lit(0).cast("long").alias("at_us"), F.lit(0).cast("long").alias("action_id"), F.lit("hold").alias("action")).limit(0)
+
+
+def numbered(decisions: DataFrame) -> DataFrame:
+    """Decisions with ``site_id`` for ``site_key``: sites are numbered by the order of the reports that made them."""
+    made = global_rank(decisions.filter("site_key = id").select("id"), ["id"], "site_id").select(F.col("id").alias("site_key"), "site_id")
+    return decisions.join(made, "site_key", "left").select("id", "state", "score", "site_id", "duplicate_of", "codes")
+
+
+def evaluate(reports: DataFrame, actions: DataFrame | None = None, r: Rules = RULES, group_rows: int = 5_000) -> DataFrame:
+    """Replay all reports, and review actions if given, in order of ``(received_us, id)``: ``(id, state, score,
+    site_id, duplicate_of, codes)``.  Ids must grow with arrival.  Sites are numbered by their creators' order."""
+    return numbered(decide(reports, None, actions, r, group_rows))

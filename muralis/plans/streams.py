@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from muralis.plans.registry import query
 from muralis.scratch import fresh_dir
 from muralis.sources import carrier
+from muralis.sources.carrier import sql
+from muralis.streaming import queue
 from muralis.streaming import reports as streaming
 
 
@@ -39,3 +41,43 @@ def stream_late_data(spark, d):
 
     rules = RULES.own()
     return carrier.reports(spark, d).select("id", rules["FUTURE_TIMESTAMP"].alias("future"), rules["STALE_PHOTO"].alias("stale"))
+
+
+def queued(spark, d):
+    """Reports with ``link``: an error event is a report put while the service can't be reached; each report of a third
+    stands under the id of the two before it; one in 29 will be refused."""
+    r = carrier.reports(spark, d)
+    uuid = F.concat(F.lit("u"), F.expr("id div 3").cast("string"))
+    return r.select("device", F.timestamp_micros("received_us").alias("at"), "id", uuid.alias("client_uuid"), (F.col("event_type") != "error").alias("link"), (F.col("id") % 29 != 0).alias("valid"), "received_us")
+
+
+#: A report waits from its first attempt until the device's link works, or until it is put again; in between the queue is
+#: tried 1, 3, 7, ... times ten minutes after the outage began.  Only what the last watermark has passed is reported.
+QUEUE_SQL = """WITH last AS (SELECT max(received_us) // 1000 * 1000 - 3600000000 AS w FROM reports),
+puts AS (SELECT device, id, 'u' || (id // 3) AS uuid, received_us AS us, event_type <> 'error' AS link, id % 29 <> 0 AS valid FROM reports, last WHERE received_us <= w),
+eras AS (SELECT *, sum(link::INT) OVER (PARTITION BY device ORDER BY us, id) - link::INT AS era,
+  min(CASE WHEN link THEN us END) OVER (PARTITION BY device ORDER BY us, id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS sent_us,
+  lead(us) OVER (PARTITION BY device, uuid ORDER BY us, id) AS again_us, lead(id) OVER (PARTITION BY device, uuid ORDER BY us, id) AS again_id FROM puts),
+ends AS (SELECT e.*, min(CASE WHEN link THEN NULL ELSE us END) OVER (PARTITION BY device, era) AS since,
+  (SELECT min(o.id) FROM puts o WHERE o.device = e.device AND o.us = e.sent_us AND o.link) AS sent_id FROM eras e),
+waits AS (SELECT *, again_us IS NOT NULL AND (again_us, again_id) <= (coalesce(sent_us, 9223372036854775807), coalesce(sent_id, 0)) AND NOT link AS replaced FROM ends),
+tries AS (SELECT device, uuid, us AS put_us, id, us AS at_us, 'failed' AS state, 0 AS k FROM waits WHERE NOT link
+  UNION ALL SELECT device, uuid, us, id, since + 600000000 * ((1::BIGINT << k) - 1), 'failed', k FROM waits, last, generate_series(1, 12) AS s(k)
+    WHERE NOT link AND since + 600000000 * ((1::BIGINT << k) - 1) > us AND (since + 600000000 * ((1::BIGINT << k) - 1) + 999) // 1000 * 1000 <= w AND since + 600000000 * ((1::BIGINT << k) - 1) <= CASE WHEN replaced THEN again_us ELSE coalesce(sent_us, 9223372036854775807) END
+  UNION ALL SELECT device, uuid, us, id, sent_us, CASE WHEN valid THEN 'sent' ELSE 'refused' END, 99 FROM waits WHERE sent_us IS NOT NULL AND NOT replaced)
+SELECT device, uuid AS client_uuid, put_us, row_number() OVER (PARTITION BY device, id ORDER BY k)::INT AS attempt, at_us, state FROM tries"""
+
+
+@query("stream_offline_queue", sql(QUEUE_SQL))
+def stream_offline_queue(spark, d):
+    path = fresh_dir(spark, "queue")
+    rows = queued(spark, d)
+    cut = rows.approxQuantile("received_us", [0.25, 0.5, 0.75], 0.01)
+    for low, high in zip([None, *cut], [*cut, None], strict=True):  # files in the order of arrival
+        part = rows if low is None else rows.filter(F.col("received_us") > low)
+        (part if high is None else part.filter(F.col("received_us") <= high)).drop("received_us").write.mode("append").parquet(f"{path}/in")
+    queue.use_rocksdb(spark)
+    stream = spark.readStream.schema(rows.drop("received_us").schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    log = queue.offline_queue(stream, "1 hour")
+    log.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/out")
