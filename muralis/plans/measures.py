@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from muralis.functions import width
-from muralis.operators import metrics
+from muralis.operators import metrics, selection
 from muralis.plans.joins import SIGNS, signs
 from muralis.plans.registry import query
 from muralis.sources import carrier
@@ -40,7 +42,7 @@ def percentile_arr(spark, d):
 
 @query("agg_percentile_linear", "SELECT l_suppkey, round(quantile_cont(l_quantity, 0.9), 9) AS p90 FROM lineitem GROUP BY l_suppkey")
 def agg_percentile_linear(spark, d):
-    return carrier.table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.round(F.percentile("l_quantity", 0.9), 9).alias("p90"))
+    return selection.exact_quantiles(carrier.table(spark, d, "lineitem"), ["l_suppkey"], "l_quantity", 0.9).select("l_suppkey", F.round("quantile", 9).alias("p90"))
 
 
 @query("scale_from_card", "SELECT p_partkey, abs((p_partkey%13 - 6)/100e0)/4 + abs((p_partkey%7 - 3)/50e0)/2 AS rel FROM part")
@@ -101,7 +103,7 @@ def agg_by_source(spark, d):
 
 @query("agg_median_time", "SELECT l_returnflag, median(l_extendedprice) AS ms FROM lineitem GROUP BY l_returnflag")
 def agg_median_time(spark, d):
-    return carrier.table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.median("l_extendedprice").alias("ms"))
+    return selection.exact_quantiles(carrier.table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", 0.5).select("l_returnflag", F.col("quantile").alias("ms"))
 
 
 ERR = "SELECT *, l_quantity/25 AS truth, CASE WHEN l_quantity/25 <= 0.3e0 THEN 'thin' WHEN l_quantity/25 <= 1 THEN 'medium' ELSE 'wide' END AS bin FROM lineitem"
@@ -115,36 +117,42 @@ def agg_error_stats(spark, d):
     return out.select("bin", "method", "n", *[F.round(c, 9).alias(c) for c in ("mae", "bias", "p90", "relative")])
 
 
-@query("eval_width", f"WITH e AS ({ERR}) SELECT bin, count(*) AS n, round(avg(truth*l_tax), 9) AS mae FROM e WHERE l_discount <= 0.05e0 GROUP BY bin")
+@query("eval_width", f"WITH e AS ({ERR}) SELECT bin, count(*) AS n, round(avg(truth*l_tax), 9) AS mae FROM e GROUP BY bin")
 def eval_width(spark, d):
     t = F.col("l_quantity") / 25
-    rows = carrier.table(spark, d, "lineitem").filter("l_discount <= 0.05D").select(t.alias("truth"), (t + t * F.col("l_tax")).alias("estimate"), metrics.width_bin(t).alias("bin"))
+    rows = carrier.table(spark, d, "lineitem").select(t.alias("truth"), (t + t * F.col("l_tax")).alias("estimate"), metrics.width_bin(t).alias("bin"))
     return metrics.error_stats(rows, ["bin"], "truth", "estimate").select("bin", "n", F.round("mae", 9).alias("mae"))
 
 
 PAIRS = f"WITH v AS ({SIGNS}), p AS (SELECT a.label, a.vec_id AS i, b.vec_id AS j, bit_count(xor(a.fp, b.fp))::INT AS distance FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id) "
 
 
-def hash_pairs(spark, d):
-    from muralis.operators.pairs import same_group_pairs
-
-    return same_group_pairs(signs(spark, d), "label", "vec_id", "fp")
+def histogram(spark, d):
+    return selection.distance_histogram(signs(spark, d), "label", "fp")
 
 
 @query("agg_threshold_curve", PAIRS + "SELECT label, t::INT AS threshold, avg((distance <= t)::INT) AS share FROM p, (SELECT unnest(range(4, 25, 2)) AS t) GROUP BY label, t")
 def agg_threshold_curve(spark, d):
-    return metrics.threshold_curve(hash_pairs(spark, d), ["label"])
+    return selection.shares_within(histogram(spark, d), "label", list(range(4, 25, 2)))
 
 
 @query("agg_histogram65", PAIRS + ", g AS (SELECT DISTINCT label FROM p), h AS (SELECT unnest(range(65)) AS k), c AS (SELECT label, distance, count(*) AS n FROM p GROUP BY label, distance) SELECT g.label, k::INT AS distance, coalesce(n, 0) AS n FROM g CROSS JOIN h LEFT JOIN c ON c.label = g.label AND c.distance = k")
 def agg_histogram65(spark, d):
-    return metrics.histogram65(hash_pairs(spark, d), ["label"])
+    found = histogram(spark, d).groupBy("label").agg(F.map_from_entries(F.collect_list(F.struct("distance", "n"))).alias("m"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(64)), lambda k: F.struct(k.alias("distance"), F.coalesce(F.try_element_at("m", k), F.lit(0)).alias("n")))
+    return found.select("label", F.inline(dense))
 
 
 @query("eval_phash", PAIRS + "SELECT label, count(*) AS n, quantile_cont(distance, 0.5) AS p50, quantile_cont(distance, 0.9) AS p90, quantile_cont(distance, 0.01) AS p1 FROM p GROUP BY label")
 def eval_phash(spark, d):
-    q = lambda x: F.percentile("distance", x)
-    return hash_pairs(spark, d).groupBy("label").agg(F.count("*").alias("n"), q(0.5).alias("p50"), q(0.9).alias("p90"), q(0.01).alias("p1"))
+    return selection.histogram_quantiles(histogram(spark, d), "label", {"p50": 0.5, "p90": 0.9, "p1": 0.01})
+
+
+@query("agg_threshold_sweep", """WITH t AS (SELECT unnest(range(2000)) * 250e0 AS threshold)
+SELECT threshold, count(o_orderkey) AS n, count(o_orderkey) FILTER (o_orderstatus = 'F')::DOUBLE AS alarms FROM t LEFT JOIN orders ON o_totalprice >= threshold GROUP BY threshold""")
+def agg_threshold_sweep(spark, d):
+    rows = carrier.table(spark, d, "orders").select("o_totalprice", (F.col("o_orderstatus") == "F").cast("int").alias("alarms"))
+    return selection.threshold_sweep(rows, "o_totalprice", ["alarms"], [250.0 * i for i in range(2000)])
 
 
 @query("agg_grid_search", """WITH g AS (SELECT lo, hi, row_number() OVER (ORDER BY lo, hi) AS config FROM (SELECT unnest([1e0,2e0,3e0]) AS lo), (SELECT unnest([2e0,3e0,4e0]) AS hi) WHERE lo < hi),
@@ -153,10 +161,15 @@ m AS (SELECT *, CASE WHEN fa <= 0.1e0 THEN 0.1e0 WHEN fa <= 0.3e0 THEN 0.3e0 WHE
 SELECT lim AS "limit", arg_max(config, (f1, -config)) AS config, round(max(f1), 9) AS f1 FROM m WHERE lim = (SELECT min(lim) FROM m) GROUP BY lim""")
 def agg_grid_search(spark, d):
     grid = [(a, b) for a in (1.0, 2.0, 3.0) for b in (2.0, 3.0, 4.0) if a < b]
-    x = F.col("o_totalprice") / 100000
-    # one pass over the images; each configuration is a column, then a row
-    cells = [F.struct(F.lit(i + 1).alias("config"), F.avg(x.between(lo, hi).cast("double")).alias("f1"), F.avg(((F.col("o_orderstatus") == "F") & (x > lo)).cast("double")).alias("false_alarm")) for i, (lo, hi) in enumerate(grid)]
-    scores = carrier.table(spark, d, "orders").agg(F.array(*cells).alias("c")).select(F.inline("c"))
+    rows = carrier.table(spark, d, "orders").select((F.col("o_totalprice") / 100000).alias("x"), (F.col("o_orderstatus") == "F").cast("int").alias("negative"))
+    # one sweep gives all thresholds, from which each configuration is put together; above a value is from the next one on
+    above = {t: math.nextafter(t, math.inf) for ab in grid for t in ab}
+    sweep = selection.threshold_sweep(rows, "x", ["negative"], [-math.inf, *above, *above.values()])
+    at = lambda t, c: F.element_at(F.col("m"), F.lit(float(t)))[c]
+    one = sweep.agg(F.map_from_entries(F.collect_list(F.struct("threshold", F.struct("n", "negative")))).alias("m"))
+    whole = at(-math.inf, "n")
+    cells = [F.struct(F.lit(i + 1).alias("config"), ((at(lo, "n") - at(above[hi], "n")) / whole).alias("f1"), (at(above[lo], "negative") / whole).alias("false_alarm")) for i, (lo, hi) in enumerate(grid)]
+    scores = one.select(F.inline(F.array(*cells)))
     return metrics.grid_search(scores, [0.1, 0.3, 1.0]).select("limit", F.col("config").cast("long").alias("config"), F.round("f1", 9).alias("f1"))
 
 
@@ -214,3 +227,14 @@ def local_scale(spark, d):
     h = [2 + (k % 10) / F.lit(10.0), F.lit(0.0), F.lit(5.0), F.lit(0.0), 2.5 + (k % 7) / F.lit(10.0), F.lit(7.0), F.lit(0.0), F.lit(0.0), F.lit(1.0)]
     px, an = scale(h, F.lit(100.0), F.lit(80.0))
     return carrier.table(spark, d, "part").select("p_partkey", F.round(px, 9).alias("px_per_mm"), F.round(an, 9).alias("anisotropy"))
+
+
+@query("sink_json_results", CONF + f", s AS (SELECT source, {SUMS} FROM c GROUP BY source), q AS ({RATIOS}) SELECT source, tp, fp, fn, round(iou, 9) AS iou FROM q")
+def sink_json_results(spark, d):
+    """Results as JSON lines in the shared folder, read back under their schema."""
+    from muralis.scratch import fresh_dir
+
+    out = metrics.ratios(metrics.confusion(confusion_rows(spark, d), ["source"])).select("source", "tp", "fp", "fn", F.round("iou", 9).alias("iou"))
+    path = fresh_dir(spark, "results")
+    out.write.json(path)
+    return spark.read.schema(out.schema).json(path)

@@ -170,9 +170,9 @@ def topk_reasons(spark, d):
     return carrier.reports(spark, d).groupBy(F.col("event_type").alias("code")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "code").limit(8)
 
 
-@query("topk_cracks", "SELECT l_orderkey, array_to_string(list_slice(list_sort(list(l_quantity::INT), 'DESC'), 1, 4), ',') AS top FROM lineitem GROUP BY l_orderkey")
+@query("topk_cracks", "SELECT l_orderkey, array_to_string(list_slice(list_sort(list(l_quantity::INT), 'DESC'), 1, 16), ',') AS top FROM lineitem GROUP BY l_orderkey")
 def topk_cracks(spark, d):
-    return carrier.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.slice(F.sort_array(F.collect_list(F.col("l_quantity").cast("int")), asc=False), 1, 4), ",").alias("top"))
+    return carrier.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.slice(F.sort_array(F.collect_list(F.col("l_quantity").cast("int")), asc=False), 1, 16), ",").alias("top"))
 
 
 @query("sort_events", sql("SELECT id, received_us, row_number() OVER (ORDER BY received_us, id) AS place FROM reports"))

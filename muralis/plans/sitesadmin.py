@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from muralis.config import RULES
-from muralis.operators import admin, ordering, sitelog
+from muralis.operators import admin, ordering, sitelog, verify
 from muralis.plans.registry import query
+from muralis.plans.verification import STATIC
 from muralis.sources import carrier
 from muralis.sources.carrier import sql
 
@@ -97,9 +97,9 @@ def max_width(spark, d):
     return carrier.reports(spark, d).select("id", F.array_max(cracks).alias("max_width_mm"))
 
 
-@query("site_create", sql("SELECT id AS created_by, lat, lon, row_number() OVER (ORDER BY id) AS site_id FROM reviewed WHERE state = 'pending' AND id % 4 = 0"))
+@query("site_create", sql("SELECT id AS created_by, lat, lon, row_number() OVER (ORDER BY id) AS site_id FROM reviewed WHERE state = 'pending'"))
 def site_create(spark, d):
-    r = carrier.reviewed(spark, d).withColumn("site_id", F.when(F.col("id") % 4 != 0, F.col("site_id")))
+    r = carrier.reviewed(spark, d).withColumn("site_id", F.lit(None).cast("long"))
     return ordering.global_rank(admin.new_sites(r).select("created_by", "lat", "lon"), ["created_by"], "site_id")
 
 
@@ -124,13 +124,12 @@ def site_merge(spark, d):
     return after.filter("site_id is not null").groupBy("site_id").agg(F.count("*").alias("n"))
 
 
-@query("audit_append", sql("SELECT action_id, report_id, action FROM (SELECT action_id, report_id, action FROM actions UNION ALL SELECT (SELECT max(action_id) FROM actions) + row_number() OVER (ORDER BY id), id, 'merge_site' FROM reviewed WHERE site_id = 2)"))
+@query("audit_append", sql("SELECT * FROM (SELECT action_id, report_id, action, NULL AS reason, 'reviewer ' || report_id AS actor FROM actions UNION ALL SELECT (SELECT max(action_id) FROM actions) + row_number() OVER (ORDER BY id), id, 'merge_site', '지점 2 → 1', 'reviewer ' || id FROM reviewed WHERE site_id = 2)"))
 def audit_append(spark, d):
     _, _, moved = admin.merge_sites(carrier.reviewed(spark, d), carrier.sites(spark, d), 1, 2)
-    log = carrier.actions(spark, d)
-    # another actor's columns ride along with what is numbered
+    log = carrier.actions(spark, d).withColumns({"reason": F.lit(None).cast("string"), "actor": F.concat(F.lit("reviewer "), F.col("report_id"))})
     entries = moved.withColumns({"at_us": F.lit(0).cast("long"), "actor": F.concat(F.lit("reviewer "), F.col("report_id"))})
-    return admin.audit(log, entries).select("action_id", "report_id", "action")
+    return admin.audit(log, entries).select("action_id", "report_id", "action", "reason", "actor")
 
 
 @query("agg_count_by_state", sql("SELECT state, count(*) AS n FROM reviewed GROUP BY state"))
@@ -138,11 +137,10 @@ def agg_count_by_state(spark, d):
     return admin.counts_map(carrier.reviewed(spark, d), "state").select(F.explode("counts").alias("state", "n"))
 
 
-@query("agg_reason_counts", sql("SELECT code, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN NOT patch_found THEN 'CALIBRATION_MISSING' END, CASE WHEN patch_found AND quality = 'poor' THEN 'CALIBRATION_POOR' END, CASE WHEN accuracy_m > 50 THEN 'GPS_IMPRECISE' END, CASE WHEN blur_score > 0.6e0 THEN 'IMAGE_BLURRY' END], lambda x: x IS NOT NULL)) AS code FROM reports) GROUP BY code"))
+@query("agg_reason_counts", sql(STATIC + "SELECT code, count(*) AS n FROM (SELECT unnest(codes) AS code FROM decided) GROUP BY code"))
 def agg_reason_counts(spark, d):
-    rules = list(RULES.own().items())[:4]
-    codes = F.filter(F.array(*[F.when(c, n) for n, c in rules]), lambda x: x.isNotNull())
-    return carrier.reports(spark, d).select(F.explode(codes).alias("code")).groupBy("code").agg(F.count("*").alias("n"))
+    codes = verify.with_codes(carrier.reports(spark, d))
+    return codes.select(F.explode("codes").alias("code")).groupBy("code").agg(F.count("*").alias("n"))
 
 
 @query("stats_full", sql("""WITH x AS (SELECT r.*, id IN (SELECT report_id FROM actions) AS seen, score < 0.5e0 AND duplicate_of IS NULL AS low, score >= 0.5e0 AND duplicate_of IS NULL AS high FROM reviewed r)

@@ -8,7 +8,7 @@ from muralis.plans.registry import query
 from muralis.scratch import fresh_dir
 from muralis.sources import carrier
 from muralis.sources.carrier import sql
-from muralis.streaming import queue
+from muralis.streaming import durable, queue
 from muralis.streaming import reports as streaming
 
 
@@ -20,13 +20,58 @@ def stream_of(spark, d):
     return spark.readStream.schema(r.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in"), path
 
 
-@query("stream_ingest")
+def arrive(rows, order, path, read, parts):
+    """``rows`` come to the folder ``path`` in ``parts``, by ``order``; after each part the stream that ``read`` starts
+    runs to the end of what is there, so that each part is a batch, and the stream goes on from its checkpoint."""
+    cut = rows.approxQuantile(order, [i / parts for i in range(1, parts)], 0.01)
+    for low, high in zip([None, *cut], [*cut, None], strict=True):
+        part = rows if low is None else rows.filter(F.col(order) > low)
+        (part if high is None else part.filter(F.col(order) <= high)).write.mode("append").parquet(path)
+        read(rows.sparkSession.readStream.schema(rows.schema).parquet(path)).awaitTermination()
+
+
+def appended(out, path):
+    return out.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").outputMode("append").trigger(availableNow=True).start()
+
+
+def resent(spark, d):
+    """Reports of which some are sent again under the id of one that came before."""
+    return carrier.reports(spark, d).withColumn("client_uuid", F.concat(F.lit("u"), (F.col("id") % 6000).cast("string")))
+
+
+RESENT = "SELECT 'u' || (id % 6000) AS client_uuid, arg_min(id, (received_us, id)) AS id FROM reports GROUP BY 1"
+
+
+@query("stream_ingest", sql(RESENT))
 def stream_ingest(spark, d):
-    stream, path = stream_of(spark, d)
-    streaming.ingest(stream, f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    """Resent reports as a stream into a durable store, with their decisions."""
+    path = fresh_dir(spark, "stream")
+    rows = resent(spark, d)
+    store = durable.Store(spark, f"{path}/store")
+    arrive(rows, "received_us", f"{path}/in", lambda stream: durable.ingest(stream, store, f"{path}/checkpoint"), 2)
+    return store.table("reports").join(store.decisions().select("id"), "id").select("client_uuid", "id")
+
+
+@query("stream_dedupe", sql(RESENT))
+def stream_dedupe(spark, d):
+    path = fresh_dir(spark, "dedupe")
+    rows = resent(spark, d).select("client_uuid", "id", "received_us")
+    arrive(rows, "received_us", f"{path}/in", lambda stream: appended(durable.first_reports(stream), path), 3)
     return spark.read.parquet(f"{path}/out").select("client_uuid", "id")
 
 
+@query("ingest")
+def ingest(spark, d):
+    """All reports in three batches, each decided on against what is stored; the second one comes twice."""
+    rows = carrier.reports(spark, d)
+    a, b = rows.approxQuantile("received_us", [0.4, 0.8], 0.01)
+    store = durable.Store(spark, fresh_dir(spark, "store"))
+    us = F.col("received_us")
+    for number, part in ((0, us <= a), (1, (us > a) & (us <= b)), (1, us > a), (2, us > b)):
+        store.commit(number, rows.filter(part))
+    return store.decisions().withColumn("codes", F.array_join("codes", ","))
+
+
 @query("stream_flood")
 def stream_flood(spark, d):
     stream, path = stream_of(spark, d)
@@ -72,12 +117,6 @@ SELECT device, uuid AS client_uuid, put_us, row_number() OVER (PARTITION BY devi
 def stream_offline_queue(spark, d):
     path = fresh_dir(spark, "queue")
     rows = queued(spark, d)
-    cut = rows.approxQuantile("received_us", [0.25, 0.5, 0.75], 0.01)
-    for low, high in zip([None, *cut], [*cut, None], strict=True):  # files in the order of arrival
-        part = rows if low is None else rows.filter(F.col("received_us") > low)
-        (part if high is None else part.filter(F.col("received_us") <= high)).drop("received_us").write.mode("append").parquet(f"{path}/in")
     queue.use_rocksdb(spark)
-    stream = spark.readStream.schema(rows.drop("received_us").schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
-    log = queue.offline_queue(stream, "1 hour")
-    log.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    arrive(rows, "received_us", f"{path}/in", lambda stream: appended(queue.offline_queue(stream, "1 hour"), path), 3)
     return spark.read.parquet(f"{path}/out")
