@@ -36,6 +36,9 @@ BLOCK = frozenset("html body address article aside blockquote center dd details
 #: An opening tag of the key closes an open element of the value (fixed values).
 CLOSES = {t: frozenset(["p"]) for t in "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split()}
 CLOSES |= {"li": frozenset(["li", "p"]), "dt": frozenset(["dt", "dd", "p"]), "dd": frozenset(["dt", "dd", "p"]), "tr": frozenset(["tr", "td", "th", "p"]), "td": frozenset(["td", "th", "p"]), "th": frozenset(["td", "th", "p"]), "option": frozenset(["option"]), "body": frozenset(["head"])}
+#: Elements that say nothing of what stands around them, as they hold no text or never the main one: no edge leads
+#: to them, nor to any element without text.
+SILENT = VOID | RAW | frozenset(["button", "select", "option", "datalist", "object", "audio", "video", "canvas", "form", "nav", "aside"])
 #: Beyond these no implied end tag reaches.
 SCOPE = frozenset("html body div section article aside main table ul ol dl td th form nav header footer blockquote figure".split())
 
@@ -132,17 +135,30 @@ class Page:
 HINTS = ("nav", "menu", "head", "foot", "side", "ad", "ads", "advert", "banner", "promo", "sponsor", "cookie", "notice", "consent", "alert", "comment", "reply", "discuss", "share", "social", "related", "recommend", "breadcrumb", "pagination", "form", "login", "search", "subscribe", "newsletter", "widget", "popup", "modal", "legal", "copyright", "tag", "article", "content", "main", "post", "entry", "story", "body", "text", "page", "hidden")
 TAGS = ("html", "body", "head", "header", "footer", "nav", "aside", "article", "main", "section", "div", "form", "ul", "ol", "li", "p", "h1", "h2", "h3", "table", "tr", "td", "th", "a", "b", "strong", "em", "i", "span", "blockquote", "pre", "code", "figure", "figcaption", "button", "label", "select", "option", "input", "dl", "dt", "dd", "script", "style", "title")
 _HASHED = 64
-N_FEATURES = 1 + len(TAGS) + 1 + len(HINTS) + _HASHED + 8 + 3
+N_FEATURES = 1 + len(TAGS) + 1 + len(HINTS) + _HASHED + 8 + 3 + 4
 _TAG_AT = {t: 1 + i for i, t in enumerate(TAGS)}
 _HINT_AT = {h: 2 + len(TAGS) + i for i, h in enumerate(HINTS)}
 _MAIN = re.compile(r"\b(?:article|content|main|post|entry|story)")
-_PREFIXES = tuple(h for h in HINTS if len(h) > 3)
+#: What a hint's word may be compounded with, before and after (fixed values).
+BEFORE = frozenset("site page top main sub left right post entry blog user story inner global primary secondary mast nav".split())
+AFTER = frozenset("s er ers bar box list area wrap wrapper container block section item items form thread links link row col panel group feed".split())
+
+
+def _hint(word: str) -> str | None:
+    """The hint that ``word`` is, alone or compounded with a word of the lists."""
+    if word in _HINT_AT:
+        return word
+    for k in range(2, len(word) - 1 + 1):
+        a, b = word[:k], word[k:]
+        if a in _HINT_AT and b in AFTER or b in _HINT_AT and a in BEFORE:
+            return a if a in _HINT_AT and b in AFTER else b
+    return None
 
 
 def _name_features(names: str) -> list[int]:
     out = set()
     for w in _NAME.findall(names):
-        hit = w if w in _HINT_AT else next((h for h in _PREFIXES if w.startswith(h) or w.endswith(h)), None)
+        hit = _hint(w)
         out.add(_HINT_AT[hit] if hit else 2 + len(TAGS) + len(HINTS) + zlib.crc32(w.encode()) % _HASHED)
     return sorted(out)
 
@@ -150,8 +166,8 @@ def _name_features(names: str) -> list[int]:
 _fixed: dict[tuple[str, str], list[int]] = {}
 
 
-def features(page: Page) -> tuple[np.ndarray, np.ndarray]:
-    """Sparse binary features of all elements as (element, feature) pairs."""
+def features(page: Page) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sparse binary features of all elements as (element, feature) pairs, and which elements hold any text."""
     n = len(page.tag)
     chars, linked = np.zeros(n), np.zeros(n)
     for e, t in page.flow:
@@ -160,6 +176,7 @@ def features(page: Page) -> tuple[np.ndarray, np.ndarray]:
     for e in range(n):
         if page.tag[e] == "a":
             linked[e] = chars[e]
+    alone = chars.copy()
     for e in range(n - 1, 0, -1):  # children stand after their parents
         chars[page.parent[e]] += chars[e]
         linked[page.parent[e]] += linked[e]
@@ -180,9 +197,13 @@ def features(page: Page) -> tuple[np.ndarray, np.ndarray]:
         if not framed:  # a page whose blocks stand in its body
             own.append(base + 9 + (page.tag[page.parent[e]] in ("#root", "body")))
         own.append(base + 4 + (2 if linked[e] > 0.6 * chars[e] else 1 if linked[e] > 0.2 * chars[e] else 0) if chars[e] else base + 7)
+        if alone[e]:
+            own.append(base + 11 + min(2, int(alone[e] > 20) + int(alone[e] > 80)))
+            if not framed and page.tag[e] in ("#root", "body"):
+                own.append(base + 14)
         rows += [e] * len(own)
         cols += own
-    return np.array(rows), np.array(cols)
+    return np.array(rows), np.array(cols), chars > 0
 
 
 class Forest:
@@ -191,10 +212,11 @@ class Forest:
     def __init__(self, pages: list[Page]):
         sizes = [len(p.tag) for p in pages]
         self.first = np.append(0, np.cumsum(sizes)).astype(int)
-        self.parent = np.concatenate([np.where(np.array(p.parent) >= 0, np.array(p.parent) + o, -1) for p, o in zip(pages, self.first, strict=False)]) if pages else np.zeros(0, int)
         pairs = [features(p) for p in pages]
-        self.rows = np.concatenate([r + o for (r, _), o in zip(pairs, self.first, strict=False)]) if pages else np.zeros(0, int)
-        self.cols = np.concatenate([c for _, c in pairs]) if pages else np.zeros(0, int)
+        joined = [[x + o if x >= 0 and held[e] and p.tag[e] not in SILENT else -1 for e, x in enumerate(p.parent)] for p, o, (_, _, held) in zip(pages, self.first, pairs, strict=False)]
+        self.parent = np.array([x for own in joined for x in own], int)
+        self.rows = np.concatenate([r + o for (r, _, _), o in zip(pairs, self.first, strict=False)]) if pages else np.zeros(0, int)
+        self.cols = np.concatenate([c for _, c, _ in pairs]) if pages else np.zeros(0, int)
         depth = np.zeros(len(self.parent), int)
         for e, p in enumerate(self.parent.tolist()):
             if p >= 0:
@@ -256,11 +278,15 @@ def labelled_pages(n: int, seed: int = 11) -> Iterator[tuple[Page, np.ndarray]]:
         ][k]()
 
     mark = "data-c"
+    odd = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(3, 11)))
+
+    def raw() -> str:
+        return pick("<script>var x = '<p>no</p>'</script>", "<style>p{}</style>", "<textarea>note</textarea>", "<noscript>turn it on</noscript>", "<template><p>later</p></template>", "<iframe src=x></iframe>", "<img src=i>", "<select><option>one</select>", "<svg width=1 />")
 
     def inline() -> str:
         """Running words with inline markup; now and then a distractor stands among them."""
         words = prose(int(rng.choice([1, 2, 5, 20, 60, 120])))
-        k = int(rng.integers(16))
+        k = int(rng.integers(19))
         tag = pick("a", "b", "em", "i", "strong", "span", "sup", "sub", "code", "kbd", "mark", "time", "cite", "abbr", "q", "small", "u", "var", "font", "math", "ins", "dfn")
         if k < 6:
             return words
@@ -274,10 +300,16 @@ def labelled_pages(n: int, seed: int = 11) -> Iterator[tuple[Page, np.ndarray]]:
             return f"{words} <a {mark} href=x><em {mark}>{prose(1)}</em></a>"
         if k == 14:
             return f"{words} <span class=\"{pick('ad', 'ads', 'advert', 'sponsored', 'promo', 'share', 'social-count')}\">{prose(int(rng.integers(1, 9)))}</span> {prose(3)}"
-        return f"{words} <button{pick('', ' class=share')}>{prose(1)}</button>"
+        if k == 15:
+            return f"{words} <button{pick('', ' class=share')}>{prose(1)}</button>"
+        if k == 16:  # mostly or only a link
+            return f"{pick('', prose(1))} <a {mark} href=x>{prose(int(rng.integers(1, 9)))}</a> {pick('', prose(1))}"
+        if k == 17:
+            return f"{words} {raw()} {prose(int(rng.integers(1, 9)))}"
+        return f"{prose(1)} <a {mark} href=x>{prose(3)}</a>, <a {mark} href=y>{prose(2)}</a> {pick('', prose(2))}"
 
     def body_block() -> str:
-        k = int(rng.integers(14))
+        k = int(rng.integers(19))
         words = inline()
         return [
             lambda: f"<p {mark}>{words}</p>", lambda: f"<p {mark}>{words}", lambda: f"<p {mark}>{words} <a {mark} href=x>{prose(2)}</a> {prose(4)}</p>", lambda: f"<p {mark}>{words}</p><p {mark}>{inline()}</p>",
@@ -286,6 +318,9 @@ def labelled_pages(n: int, seed: int = 11) -> Iterator[tuple[Page, np.ndarray]]:
             lambda: f"<p {mark}><b {mark}>{words}<br><p {mark}>{prose(8)}</p>", lambda: f"<div {mark}>{words}</div>", lambda: f"<h3 {mark}>{prose(2)}</h3><p {mark}>{words}</p>",
             lambda: f"<pre {mark}><code {mark}>{prose(9)}</code></pre><figure {mark}><img src=i><figcaption {mark}>{prose(4)}</figcaption></figure>",
             lambda: f"<{pick('ol', 'dl')} {mark}><{pick('li', 'dd')} {mark}><a {mark} href=x>{prose(2)}</a>, {prose(6)}",
+            lambda: f"<{(t := pick('ul', 'ol'))} {mark}>" + "".join(f"<li {mark}><a {mark} href=x>{prose(int(rng.integers(1, 6)))}</a></li>" for _ in range(int(rng.integers(1, 6)))) + f"</{t}>",
+            lambda: f"{raw()}<p {mark}>{words}</p>{raw()}", lambda: f"<{(t := pick('div', 'section', 'p', 'p'))} {mark} class='{odd()}'>{words}</{t}>", lambda: f"<p {mark}>{prose(int(rng.integers(1, 4)))}</p>",
+            lambda: f"<div {mark}>" * (depth := int(rng.integers(1, 5))) + f"<p {mark}>{words}</p>" + "</div>" * depth,
         ][k]()
 
     for _ in range(n):
@@ -295,14 +330,17 @@ def labelled_pages(n: int, seed: int = 11) -> Iterator[tuple[Page, np.ndarray]]:
         inner = (f"<h1 {mark}>{prose(4)}</h1>" if rng.random() < 0.6 else "") + "".join(blocks)
         if rng.random() < 0.08:
             inner = f"<header {mark}><h1 {mark}>{prose(5)}</h1></header>" + "".join(blocks)
-        wrap = pick("<article {m}>{x}</article>", "<article {m}>{x}</article>", "<article {m} class=post>{x}</article>", "<main {m}><article {m}>{x}</article></main>", "<main {m}>{x}</main>", '<div {m} class="content">{x}</div>', '<div {m} id="main">{x}</div>', '<div {m} class="post-body">{x}</div>', "<div {m} class='entry-content'>{x}</div>", "<section {m} class=story>{x}</section>", '<div {m} class="article-text"><div {m}>{x}</div></div>', "{x}")
+        wrap = pick("<article {m}>{x}</article>", "<article {m} class='" + odd() + "'>{x}</article>", "<article {m} id='" + odd() + " " + odd() + "'>{x}</article>", "<article {m}>{x}</article>", "<article {m} class=post>{x}</article>", "<main {m}><article {m}>{x}</article></main>", "<main {m}>{x}</main>", '<div {m} class="content">{x}</div>', '<div {m} id="main">{x}</div>', '<div {m} class="post-body">{x}</div>', "<div {m} class='entry-content'>{x}</div>", "<section {m} class=story>{x}</section>", '<div {m} class="article-text"><div {m}>{x}</div></div>', "{x}")
         main = wrap.format(m=mark, x=inner)
         before, after = "".join(chrome() for _ in range(int(rng.integers(0, 4)))), "".join(chrome() for _ in range(int(rng.integers(0, 4))))
         middle = before + main + after
         if rng.random() < 0.3:
             middle = f"<div class=\"{pick('wrapper', 'container', 'row', 'page', '')}\">{middle}</div>"
         frame = float(rng.random())
-        if frame < 0.7:
+        if rng.random() < 0.05:  # words that stand in the body itself
+            loose = pick("{p}", "{p}<p {m}>{p}</p>", "{p}<br>{p}", "<h1 {m}>{p}</h1>{p}").format(p=prose(int(rng.integers(1, 40))), m=mark)
+            source = pick(f"<html><body {mark}>{loose}{chrome()}</body></html>", f"<body {mark}>{loose}</body>", f"<html><head><title>{prose(2)}</title></head><body {mark}>{chrome()}{loose}")
+        elif frame < 0.7:
             source = f"<!DOCTYPE html><html><head><title>{prose(3)}</title><style>p{{}}</style></head><body>{middle}</body></html>"
         else:  # fragments without a document around them
             source = middle if frame < 0.9 else f"<body>{middle}"
@@ -326,7 +364,7 @@ def _marks(source: str, mark: str) -> np.ndarray:
     return np.array(out)
 
 
-def train(train_pages: int = 600, steps: int = 150, rate: float = 0.3, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+def train(train_pages: int = 1200, steps: int = 250, rate: float = 0.3, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
     """Weights of features and edges by Adam on the exact log-likelihood of ``train_pages`` generated pages."""
     pages, labels = zip(*labelled_pages(train_pages), strict=True)
     forest, y = Forest(list(pages)), np.concatenate(labels).astype(float)
@@ -340,7 +378,7 @@ def train(train_pages: int = 600, steps: int = 150, rate: float = 0.3, decay: fl
         g = np.append(np.bincount(forest.cols, weights=(y - p)[forest.rows], minlength=N_FEATURES), (seen - joint[inner].sum(axis=0)).ravel())
         g = g / train_pages - decay * theta
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        theta += rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+        theta += rate * (1 - 0.95 * t / steps) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
     return theta[:N_FEATURES], theta[N_FEATURES:].reshape(2, 2)
 
 
@@ -351,7 +389,7 @@ def extract(pages: list[str | None], weights: np.ndarray, edge: np.ndarray) -> l
     return [t.text(content[a:b]) for t, a, b in zip(trees, forest.first, forest.first[1:], strict=False)]
 
 
-def main_text(pages: DataFrame, train_pages: int = 600, block: int = 64) -> DataFrame:
+def main_text(pages: DataFrame, train_pages: int = 1200, block: int = 64) -> DataFrame:
     """``(page_id, url, text, n_chars)`` for each row of ``pages(page_id, url, html)``."""
     weights, edge = train(train_pages)
 

@@ -25,6 +25,54 @@ HAND = [
     ("<html><body><article><h1>A</h1><p>b<sup>2</sup> c</p><aside>Related: <a href=x>more</a></aside><p>d</p></article></body></html>","A\nb2 c\nd"),
 ]
 
+#: Short articles, links in prose and in lists, raw elements inside blocks, odd names, loose text.
+MORE = [
+    ("<article><p>One.</p><p>Two <a href=x>link text only here</a></p></article>", "One.\nTwo link text only here"),
+    ("<article><h1>Sources</h1><p>These were read.</p><ul><li><a href=1>First source</a></li><li><a href=2>Second source</a></li></ul></article>", "Sources\nThese were read.\nFirst source\nSecond source"),
+    ("<article><h1>T</h1><p>Words<script>x</script> more</p><textarea>note</textarea></article>", "T\nWords more"),
+    ("<article class='commentary'><p>My view of things.</p></article>", "My view of things."),
+    ("<body>Loose body text</body>", "Loose body text"),
+    ("<article><p><a href=x>All of this is a link</a></p></article>", "All of this is a link"),
+    ("<main><p>Yes.</p></main>", "Yes."),
+    ("<article><p>a</p></article>", "a"),
+    ("<html><body><nav><a href=1>Home</a> <a href=2>News</a></nav><main><p>Short.</p></main></body></html>", "Short."),
+    ("<article class='headline'><h2>Heads up</h2><p>The rest of it.</p></article>", "Heads up\nThe rest of it."),
+    ("<article><p>See <a href=a>this</a>, <a href=b>that</a> and <a href=c>those</a>.</p></article>", "See this, that and those."),
+    ("<div class=content><p>One <b>bold</b> word.</p><script>var a;</script><p>Two.</p></div>", "One bold word.\nTwo."),
+    ("<body><div id=menu><a href=x>Home</a></div><article><p>Text.</p><ol><li>one<li>two</ol></article><div id=footer>Imprint</div></body>", "Text.\none\ntwo"),
+    ("<article><h1>Only</h1><img src=a><img src=b><img src=c><p>Pictures</p></article>", "Only\nPictures"),
+    ("<article><p>Before</p><style>.a{}</style><style>.b{}</style><script>1</script><script>2</script><p>After</p></article>", "Before\nAfter"),
+    ("<article><p>Ask <em>us</em></p><form action=s><input name=q><button>Go</button></form></article>", "Ask us"),
+    ("<html><head><title>No</title></head><body>Words that stand alone in the body of a page.<br>And more.</body></html>", "Words that stand alone in the body of a page. And more."),
+    ("<article><table><tr><td>1</td><td>2</td></tr><tr><td>3</td><td>4</td></tr></table></article>", "1\n2\n3\n4"),
+    ("<article><blockquote>To be or not</blockquote><p>He said.</p></article>", "To be or not\nHe said."),
+    ("<article><pre>x = 1\ny = 2</pre></article>", "x = 1 y = 2"),
+    ("<main><article><p>Inner words here.</p></article></main><aside class=sidebar><p>More to read</p></aside>", "Inner words here."),
+    ("<article><p>News.</p><div class=comments><p>First!</p><p>Second!</p></div></article>", "News."),
+    ("<article><p>News.</p><div class='comment-list'><div class=comment><p>First!</p></div></div></article>", "News."),
+    ("<body><header class=masthead><h1>The Daily</h1></header><article><h1>Storm</h1><p>It rained.</p></article><footer><p>(c) Daily</p></footer></body>", "Storm\nIt rained."),
+    ("<div class='post'><h1>A day</h1><p>It was fine.</p></div><div class='related-posts'><ul><li><a href=x>Another day</a></li></ul></div>", "A day\nIt was fine."),
+    ("<article id=textual><p>Named oddly.</p></article>", "Named oddly."),
+    ("<article class='sidewalk'><p>On the street.</p></article>", "On the street."),
+    ("<article><p>x &lt;b&gt; y</p></article>", "x <b> y"),
+    ("<article><dl><dt>Term</dt><dd>Meaning</dd></dl></article>", "Term\nMeaning"),
+    ("<article><figure><img src=x><figcaption>A cat</figcaption></figure><p>Cats sleep.</p></article>", "A cat\nCats sleep."),
+    ("<article><p>Buy <span class=price>5</span> eggs</p></article>", "Buy 5 eggs"),
+    ("<article><section><h2>Part</h2><p>One</p></section><section><h2>Next</h2><p>Two</p></section></article>", "Part\nOne\nNext\nTwo"),
+    ("<article><p>Up</p><div class=ad>Buy cheap things</div><p>Down</p></article>", "Up\nDown"),
+    ("<article><p>Up</p><div class=advert><a href=x>Buy cheap things</a></div><p>Down</p></article>", "Up\nDown"),
+    ("<body><div class=notice><p>We use cookies.</p></div><div class=content><p>Hi.</p></div></body>", "Hi."),
+    ("<body><article><h1>Long</h1>" + "<p>Some words in a row.</p>" * 60 + "</article><ul class=menu><li><a href=x>Home</a></ul></body>", "\n".join(["Long"] + ["Some words in a row."] * 60)),
+    ("<article><p>A<br>B</p><hr><p>C</p></article>", "A B\nC"),
+    ("<article><h1><a href=x>Linked title</a></h1><p>Body.</p></article>", "Linked title\nBody."),
+    ("<article><div><div><p>Deep.</p></div></div></article>", "Deep."),
+    ("<article>Bare words in an article</article>", "Bare words in an article"),
+    ("<article>Bare words <p>and a paragraph</p> and a tail</article>", "Bare words\nand a paragraph\nand a tail"),
+    ("<main><h1>Recipe</h1><ul><li>2 eggs</li><li><a href=f>flour</a></li></ul><ol><li>Mix.</li><li>Bake.</li></ol></main>", "Recipe\n2 eggs\nflour\nMix.\nBake."),
+    ("<article><p>Sum <math><mi>a</mi><mo>+</mo><mi>b</mi></math>.</p><iframe src=v></iframe></article>", "Sum a+b."),
+    ("<article><noscript>Enable scripts</noscript><p>Words.</p></article>", "Words."),
+]
+
 
 @pytest.fixture(scope="module")
 def model():
@@ -36,6 +84,11 @@ def test_hand_made_pages(model):
     assert [g for g, (_, want) in zip(got, HAND, strict=True) if g != want] == []
 
 
+def test_more_pages(model):
+    got = html_extract.extract([source for source, _ in MORE], *model)
+    assert [g for g, (_, want) in zip(got, MORE, strict=True) if g != want] == []
+
+
 def test_pages_table(spark):
     """Its pages have one article element, with headings, paragraphs, bold words and line breaks."""
 
