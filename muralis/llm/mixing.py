@@ -139,7 +139,7 @@ def landing(p: np.ndarray, size: np.ndarray, rng: np.random.Generator, longest:
 
 def _fly(seed: int, level: int, near: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "h", "doc_id"], ascending=[False, True, True], kind="stable", ignore_index=True)
+        pdf = pdf.sort_values(["size", "h", "salt"], ascending=[False, True, True], kind="stable", ignore_index=True)
         rng = np.random.default_rng([seed, level, int(pdf["sid"].iloc[0]), int(pdf["block"].iloc[0])])
         size = pdf["size"].to_numpy(float)
         p = pdf["p"].to_numpy(float)
@@ -168,18 +168,21 @@ def mix(docs: DataFrame, weights: Iterable[float] = (5.0, 2.0, 1.0), share: floa
     repeat over the sources in code point order, null last.  ``key`` adds the row's key, ``rk``."""
     sized = stash(
         docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), row_key("doc_id", "text", "source").alias("rk"), word_count(F.col("text").cast("string")).alias("size"))
-        .withColumn("h", F.xxhash64(F.lit(seed), "rk")), "mix")
+        .withColumns({"h": F.xxhash64(F.lit(seed), "rk"), "place": F.monotonically_increasing_id()}), "mix")
+    # equal rows can't part by their hash: those that would fill a block part by their place in the table
+    many = sized.groupBy(F.col("rk").alias("mk")).agg(F.count("*").alias("alike")).filter(F.col("alike") > block // 8).select("mk")
+    sized = sized.join(many, F.col("rk") == F.col("mk"), "left").withColumn("salt", F.when(F.col("mk").isNotNull(), F.col("place")).otherwise(0)).drop("mk", "place")
     sources = stash(with_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), weights, share, cap), "targets")
     ratio = F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))
     plan = sources.select("sid", F.col("source").alias("of"), "source_size", "target", F.floor(ratio).cast("long").alias("copies"), (ratio - F.floor(ratio)).alias("p"), F.ceil(F.col("n") / block).cast("long").alias("blocks"))
-    rows = sized.join(plan, sized["source"].eqNullSafe(plan["of"])).select("doc_id", "rk", "size", "h", "sid", "source_size", "target", "copies", "p", "blocks")
-    schema = "doc_id long, rk long, size long, h long, sid long, source_size long, target double, copies long, p double, blocks long"
+    rows = sized.join(plan, sized["source"].eqNullSafe(plan["of"])).select("doc_id", "rk", "size", "h", "salt", "sid", "source_size", "target", "copies", "p", "blocks")
+    schema = "doc_id long, rk long, size long, h long, salt long, sid long, source_size long, target double, copies long, p double, blocks long"
     certain, level = (F.col("p") == 0) | (F.col("size") == 0), 0
     done = [rows.filter(certain).withColumn("p", F.lit(0.0))]
     rows = rows.filter(~certain)
     most = plan.agg(F.max("blocks").alias("b")).first().b or 0
     while most:
-        spread = F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("h", "doc_id", F.lit(level)), F.col("blocks"))).otherwise(F.lit(0))
+        spread = F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("h", "salt", F.lit(level)), F.col("blocks"))).otherwise(F.lit(0))
         flown = stash(rows.withColumn("block", spread).groupBy("sid", "block").applyInPandas(_fly(seed, level, near), schema), f"flight{level}")
         open_ = (F.col("p") > 0) & (F.col("p") < 1)
         done.append(flown.filter(~open_))

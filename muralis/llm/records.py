@@ -78,10 +78,14 @@ def _fs(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def write_shards(docs: DataFrame, tokenizer: str, end_id: int, label: str = "records") -> DataFrame:
+def write_shards(docs: DataFrame, tokenizer: str, end_id: int, label: str = "records", path: str | None = None) -> DataFrame:
     """Encode ``docs(doc_id, text)`` and write its shards; returns the manifest ``(path, n_records, n_tokens, part)``,
-    one row a shard, already computed; shards follow one another by ``part``."""
-    spark, where = docs.sparkSession, fresh_dir(docs.sparkSession, label)
+    one row a shard, already computed; shards follow one another by ``part``.
+
+    With ``path``, a folder that doesn't hold records yet, shards and manifest stay there, for ``open_shards``; the manifest
+    is written last and whole, and names shards within the folder, which may be moved.  Without it they are scratch."""
+    spark = docs.sparkSession
+    where = fresh_dir(spark, label) if path is None else (path if "://" in path or path.startswith("file:") else f"file://{path}").rstrip("/")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from muralis.llm.bpe_encode import encoder
@@ -106,14 +110,25 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, label: str = "rec
         with files.open_output_stream(f"{folder}/{name}.idx") as out:
             out.write(np.array(at, "<u8").tobytes())
         yield pa.RecordBatch.from_pydict(
-            {"path": [f"{where}/{name}"], "n_records": [len(at) - 1], "n_tokens": [n_tokens], "part": [TaskContext.get().partitionId()]},
+            {"path": [f"{where}/{name}" if path is None else name], "n_records": [len(at) - 1], "n_tokens": [n_tokens], "part": [TaskContext.get().partitionId()]},
             schema=pa.schema([("path", pa.string()), ("n_records", pa.int64()), ("n_tokens", pa.int64()), ("part", pa.int64())]),
         )
 
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("i"))
     dealt = keyed.repartitionByRange("doc_id", "h", "i").sortWithinPartitions("doc_id", "h", "i").select("doc_id", "text")
+    made = dealt.mapInArrow(write, "path string, n_records long, n_tokens long, part long")
     with small_batches(spark):
-        return stash(dealt.mapInArrow(write, "path string, n_records long, n_tokens long, part long"), label)
+        if path is None:
+            return stash(made, label)
+        made.write.mode("errorifexists").parquet(f"{where}/manifest")
+    return open_shards(spark, where)
+
+
+def open_shards(spark: SparkSession, path: str) -> DataFrame:
+    """The manifest of the records that ``write_shards`` left at ``path``; fails if they were never completed."""
+    where = (path if "://" in path or path.startswith("file:") else f"file://{path}").rstrip("/")
+    rows = spark.read.parquet(f"{where}/manifest")
+    return rows.withColumn("path", F.concat(F.lit(f"{where}/"), "path"))
 
 
 def read_frames(path: str, shuffle_seed: int | None = None) -> Iterator[tuple[int, int | None, np.ndarray]]:
@@ -165,6 +180,7 @@ def read_shards(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     return shards.repartition(max(1, len(rows))).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def token_records(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
-    """Write ``docs`` as token records and return what the files hold, a row for each record."""
-    return read_shards(docs.sparkSession, write_shards(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), tokenizer, end_id))
+def token_records(docs: DataFrame, tokenizer: str, end_id: int = 0, path: str | None = None) -> DataFrame:
+    """Write ``docs`` as token records, to ``path`` if they are to stay, and return what the files hold, a row for each
+    record."""
+    return read_shards(docs.sparkSession, write_shards(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), tokenizer, end_id, path=path))

@@ -62,6 +62,21 @@ def test_records_round_trip(spark, docs, texts, empty):
     assert [(r.doc_id, r.start) for r in sorted(records.token_records(nobody, path).collect(), key=lambda r: r.start)] == [(None, 0), (-3, 2)]
 
 
+def test_records_stay_where_they_are_put(spark, docs, tmp_path):
+    path = queries.vocabulary()
+    want = sorted(map(tuple, records.token_records(docs, path).collect()), key=repr)
+    assert sorted(map(tuple, records.token_records(docs, path, path=f"{tmp_path}/out").collect()), key=repr) == want
+    (tmp_path / "out").rename(tmp_path / "moved")
+    other = spark.newSession()
+    manifest = records.open_shards(other, f"file://{tmp_path}/moved")
+    assert sorted(map(tuple, records.read_shards(other, manifest).collect()), key=repr) == want
+    with pytest.raises(Exception, match="(?i)exists"):
+        records.token_records(docs, path, path=f"{tmp_path}/moved")
+    (tmp_path / "half").mkdir()
+    with pytest.raises(Exception, match="(?i)not_found|does not exist"):
+        records.open_shards(spark, f"{tmp_path}/half")
+
+
 def test_frames_tell_damage():
     data = records.frame(records.pack(7, b"\1\2", 2)) + records.frame(b"")
     payload, after = records.unframe(data, 0)
@@ -354,3 +369,15 @@ def test_held_out_accuracy():
         found = html_extract.Forest([page]).marginals(weights, edge)[0] > 0.5
         right, total = right + int((found == label).sum()), total + len(label)
     assert right >= 0.99 * total
+
+
+def test_many_equal_rows_part_over_blocks(spark):
+    """Two thirds of a source are one row; its copies fill many blocks, and totals stay."""
+    same = [(1, "a b c d e", "s")] * 6000
+    rows = spark.createDataFrame(same + [(i, "w " * (i % 40), "s") for i in range(2, 3000)] + [(-1, "x y", "t")] * 20, "doc_id long, text string, source string")
+    got = mixing.mix(rows, block=256).collect()
+    assert len(got) == 6000 + 2998 + 20
+    for other in (False, True):
+        own = [r for r in got if (r.doc_id == -1) == other]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 80
+    assert all(r.taken % r.size == 0 and r.taken <= 2 * r.size for r in got if r.size)
