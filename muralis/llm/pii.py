@@ -38,21 +38,62 @@ KINDS = ("email", "ip", "card", "phone")
 _MARK, _OTHER = "\ue000", "\ue001"
 
 
+#: Pieces that are folded at a time, an even number; a fold copies what it has gathered, so its length is bounded.
+FOLD = 256
+#: Code points to the left of a match in which its context lies.
+LEFT = 48
+_HIT = "struct<s:int,e:int,m:string,left:string>"
+
+
 def matches(text: Column, pattern: str) -> Column:
-    """Leftmost non-overlapping matches as an array of ``(s, e, m)``: code points, end exclusive.  ``text`` must not
-    hold the mark; matches are wrapped in marks, and the pieces' lengths give the positions."""
+    """Leftmost non-overlapping matches as an array of ``(s, e, m, left)``: code points, end exclusive, and the ``LEFT``
+    code points before ``s``.  ``text`` must not hold the mark; matches are wrapped in marks, and the pieces' lengths give
+    the positions.  Folds run over ``FOLD`` pieces each, from sums of those before, so that a text of very many matches
+    takes hardly more than its share."""
     pieces = F.split(F.regexp_replace(text, F.lit(pattern), F.lit(f"{_MARK}$0{_MARK}")), _MARK, -1)
-    zero = F.struct(F.lit(0).alias("pos"), F.lit(False).alias("inside"), F.array().cast("array<struct<s:int,e:int,m:string>>").alias("out"))
 
-    def step(a: Column, p: Column) -> Column:
-        end = a["pos"] + F.length(p)
-        hit = F.struct(a["pos"].alias("s"), end.alias("e"), p.alias("m"))
-        return F.struct(end.alias("pos"), (~a["inside"]).alias("inside"), F.when(a["inside"], F.array_append(a["out"], hit)).otherwise(a["out"]).alias("out"))
+    def part(p: Column, c: Column) -> Column:
+        return F.slice(p, c * FOLD + 1, F.lit(FOLD))
+
+    def fold(p: Column, c: Column, offset: Column) -> Column:
+        # matches are never empty, so the 2 * LEFT pieces before hold LEFT code points
+        before = F.array_join(F.slice(p, F.greatest(c * FOLD + 1 - 2 * LEFT, F.lit(1)), F.least(c * FOLD, F.lit(2 * LEFT))), "")
+        zero = F.struct(offset.alias("pos"), F.right(before, F.lit(LEFT)).alias("tail"), F.lit(False).alias("inside"), F.array().cast(f"array<{_HIT}>").alias("out"))
+
+        def step(a: Column, x: Column) -> Column:
+            end = a["pos"] + F.length(x)
+            hit = F.struct(a["pos"].alias("s"), end.alias("e"), x.alias("m"), a["tail"].alias("left"))
+            tail = F.right(F.concat(a["tail"], F.right(x, F.lit(LEFT))), F.lit(LEFT))
+            return F.struct(end.alias("pos"), tail.alias("tail"), (~a["inside"]).alias("inside"), F.when(a["inside"], F.array_append(a["out"], hit)).otherwise(a["out"]).alias("out"))
+
+        return F.aggregate(part(p, c), zero, step, lambda a: a["out"])
+
+    def folded(p: Column) -> Column:
+        chunks = F.sequence(F.lit(0), F.floor((F.size(p) - 1) / FOLD).cast("int"))
+        sizes = F.transform(chunks, lambda c: F.aggregate(part(p, c), F.lit(0), lambda a, x: a + F.length(x)))
+        start = F.aggregate(sizes, F.array(F.lit(0)), lambda a, n: F.array_append(a, F.element_at(a, -1) + n))
+        return let(start, lambda at: F.flatten(F.transform(chunks, lambda c: fold(p, c, F.get(at, c)))))
+
+    return let(pieces, folded)
 
-    return F.aggregate(pieces, zero, step, lambda a: a["out"])
 
+def _meets(sorted_spans: Column, y: Column) -> Column:
+    """Whether a token overlaps one of the spans of a kind, which stand in order and apart: a binary search for the first
+    that ends behind the token's start."""
+    n = F.size(sorted_spans)
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(n, F.lit(1)).cast("double"))).cast("int"))
 
-_NO_MATCH = "array<struct<s:int,e:int,m:string>>"
+    def halve(r: Column, _: Column) -> Column:
+        mid = F.floor((r["lo"] + r["hi"]) / 2).cast("int")
+        behind = F.get(sorted_spans, mid)["e"] > y["s"]
+        open_ = r["lo"] < r["hi"]
+        return F.struct(F.when(open_ & ~behind, mid + 1).otherwise(r["lo"]).alias("lo"), F.when(open_ & behind, mid).otherwise(r["hi"]).alias("hi"))
+
+    first = F.aggregate(steps, F.struct(F.lit(0).alias("lo"), n.alias("hi")), halve, lambda r: r["lo"])
+    return (n > 0) & F.coalesce(F.get(sorted_spans, first)["s"] < y["e"], F.lit(False))
+
+
+_NO_MATCH = f"array<{_HIT}>"
 
 
 def _when(condition: Column, found: Column) -> Column:
@@ -77,6 +118,11 @@ def _luhn(d: Column) -> Column:
     return F.aggregate(F.transform(F.sequence(F.lit(0), F.length(d) - 1), worth), F.lit(0), lambda a, x: a + x) % 10 == 0
 
 
+def _apart(tokens: Column, spans: Column) -> Column:
+    """The tokens that overlap none of a kind's spans."""
+    return F.filter(tokens, lambda y: ~_meets(spans, y))
+
+
 def base_spans(text: Column) -> Column:
     """Struct of the four arrays of base matches of a text."""
     t = F.coalesce(text.cast("string"), F.lit(""))
@@ -95,9 +141,9 @@ def base_spans(text: Column) -> Column:
     return let(t, found)
 
 
-def _contexts(text: Column, s: Column) -> Column:
-    """The last word and the last two words before position ``s``, lower-cased, digits made alike."""
-    left = F.lower(F.regexp_replace(F.substring(text, F.greatest(s - 47, F.lit(1)), F.least(s, F.lit(48))), F.lit("[0-9]"), F.lit("0")))
+def _contexts(before: Column) -> Column:
+    """The last word and the last two words of what stands before a match, lower-cased, digits made alike."""
+    left = F.lower(F.regexp_replace(before, F.lit("[0-9]"), F.lit("0")))
 
     def both(w: Column) -> Column:
         w = F.filter(w, lambda x: x != "")
@@ -107,7 +153,7 @@ def _contexts(text: Column, s: Column) -> Column:
 
 
 def _span(kind: str, rank: int):
-    return lambda x: F.struct(x["s"].alias("s"), F.lit(rank).alias("k"), x["e"].alias("e"), F.lit(kind).alias("kind"), x["m"].alias("m"))
+    return lambda x: F.struct(x["s"].alias("s"), F.lit(rank).alias("k"), x["e"].alias("e"), F.lit(kind).alias("kind"), x["m"].alias("m"), x["left"].alias("left"))
 
 
 def _written(spans: Column) -> Column:
@@ -128,16 +174,22 @@ def score_patterns(edges: DataFrame, rounds: int = 3, prior: float = 2.0) -> Dat
 def personal_data(docs: DataFrame, min_conf: float = 0.7, min_seeds: int = 5, rounds: int = 3) -> DataFrame:
     """``(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, n_other, spans)`` for each row of
     ``docs(doc_id, text)``."""
-    found = docs.select("doc_id", row_key("doc_id", "text").alias("rk"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), base_spans(F.col("text")).alias("b"))
+    found = docs.select("doc_id", row_key("doc_id", "text").alias("rk"), base_spans(F.col("text")).alias("b"))
     base = F.concat(*[F.transform(F.col(f"b.{k}"), _span(k, i)) for i, k in enumerate(KINDS)])
 
-    def with_context(text: Column, spans: Column) -> Column:
-        seeds = F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(True).alias("seed"), x["m"].alias("inst"), _contexts(text, x["s"]).alias("patterns")))
-        free = F.filter(F.col("b.token"), lambda y: ~F.exists(spans, lambda x: (x["s"] < y["e"]) & (y["s"] < x["e"])))
-        rest = F.transform(free, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(False).alias("seed"), x["m"].alias("inst"), _contexts(text, x["s"]).alias("patterns")))
-        return F.concat(seeds, rest)
+    def met(x: Column, seed: bool) -> Column:
+        return F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(seed).alias("seed"), x["m"].alias("inst"), _contexts(x["left"]).alias("patterns"))
+
+    def with_context(spans: Column) -> Column:
+        free = F.col("b.token")
+        for k in KINDS:
+            free = _apart(free, F.col(f"b.{k}"))
+        return F.concat(F.transform(spans, lambda x: met(x, True)), F.transform(free, lambda x: met(x, False)))
+
+    def bare(spans: Column) -> Column:
+        return F.transform(spans, lambda x: F.struct(*[x[c].alias(c) for c in ("s", "k", "e", "kind", "m")]))
 
-    rows = stash(found.select("doc_id", "rk", let(base, lambda spans: F.struct(spans.alias("base"), with_context(F.col("text"), spans).alias("near"))).alias("x"), *[F.size(f"b.{k}").cast("long").alias(f"n_{k}") for k in KINDS]), "pii")
+    rows = stash(found.select("doc_id", "rk", let(base, lambda spans: F.struct(bare(spans).alias("base"), with_context(spans).alias("near"))).alias("x"), *[F.size(f"b.{k}").cast("long").alias(f"n_{k}") for k in KINDS]), "pii")
 
     near = rows.select("rk", F.explode("x.near").alias("o")).select("rk", "o.*").withColumn("pattern", F.explode("patterns"))
     edges = stash(near.groupBy("pattern", "inst").agg(F.max("seed").alias("seed")), "edges")

@@ -125,3 +125,49 @@ def test_rules_beyond_ascii_lose_no_match(spark):
 
 def test_secrets_of_nothing(spark):
     assert secrets(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_scores_and_other_spans_against_plain_python(spark):
+    """Contexts of one word and of two, seeds and unknown identifiers in them, three rounds of scores, and the spans."""
+    rng = random.Random(12)
+    heads = ["mail", "write to", "badge", "member no", "ref", "call us at", "the"]
+    rows, found = [], []
+    for i in range(160):
+        at, text, own = 0, "", []
+        for _ in range(rng.randint(1, 6)):
+            head = rng.choice(heads)
+            seed = rng.random() < {"mail": 0.9, "write to": 0.85, "badge": 0.8, "member no": 0.75}.get(head, 0.1)
+            inst = f"user{rng.randrange(30)}@mail.org" if seed else f"AB-{rng.randrange(10000, 10030)}-X"
+            piece = f"{head} {inst} ; "
+            words = (text + head).replace(";", "; ").split()
+            before = re.sub("[0-9]", "0", (text + head + " ")[-48:]).lower().split()
+            own.append((at + len(head) + 1, at + len(head) + 1 + len(inst), seed, inst, [" ".join(before[-k:]) for k in (1, 2) if len(before) >= k]))
+            assert words
+            text += piece
+            at += len(piece)
+        rows.append((i, text))
+        found.append(own)
+    edges = {}
+    for own in found:
+        for _, _, seed, inst, patterns in own:
+            for p in patterns:
+                edges.setdefault(p, {})[inst] = seed
+    score = {inst: float(seed) for p in edges.values() for inst, seed in p.items()}
+    for _ in range(3):
+        conf = {p: sum(score[x] for x in inst) / (len(inst) + 2.0) for p, inst in edges.items()}
+        score = {x: 1.0 if any(p.get(x) for p in edges.values()) else max(conf[q] for q, p in edges.items() if x in p) for x in score}
+    good = {p for p, c in conf.items() if c >= 0.7 and sum(edges[p].values()) >= 5}
+    want = {}
+    for (i, _), own in zip(rows, found, strict=True):
+        spans = [(s, 0, e, "email") for s, e, seed, _, _ in own if seed] + [(s, 4, e, "other") for s, e, seed, _, ps in own if not seed and good & set(ps)]
+        want[i] = ",".join(f"{kind}:{s}:{e}" for s, _, e, kind in sorted(spans))
+    got = {r.doc_id: r.spans for r in personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and 10 < sum(w.count("other") for w in want.values()) < sum(len(o) for o in found)
+
+
+def test_a_text_of_very_many_matches(spark):
+    text = "".join(f"mail u{i}@m.org or AB-{i:06d}-X, 1.2.3.{i % 400} " for i in range(20_000))
+    row = personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    spans = sorted([(m.start(), 0, m.end(), "email") for m in re.finditer(r"u[0-9]+@m\.org", text)] + [(m.start(), 1, m.end(), "ip") for m in re.finditer(r"1\.2\.3\.([0-9]+)", text) if int(m[1]) < 256])
+    assert (row.n_email, row.n_ip) == (20_000, sum(i % 400 < 256 for i in range(20_000)))
+    assert row.base_sha256 == hashlib.sha256(",".join(f"{k}:{s}:{e}" for s, _, e, k in spans).encode()).hexdigest()
