@@ -12,35 +12,60 @@ from muralis.functions import geo, hashing
 from muralis.scratch import written
 
 
-def _cells(lat: Column, lon: Column, metres: float, reach: int) -> Column:
-    """Grid cells of ``metres`` around a point, ``reach`` rings; the cell width in longitude follows the row of
-    latitude, so that both sides of a join name cells alike."""
-    size = metres / DEGREE_M
-    row = F.floor(lat / size).cast("long")
-    if reach == 0:
-        return F.struct(row.alias("row"), _column(lon, row, size).alias("col"))
-    rows = F.sequence(row - 1, row + 1)
-    return F.flatten(F.transform(rows, lambda r: F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda k: F.struct(r.alias("row"), (_column(lon, r, size) + k).alias("col")))))
+#: Dense cells are cut into so many parts a side.
+_PARTS = 4
 
 
-def _column(lon: Column, row: Column, size: float) -> Column:
-    # the box at a latitude is widest at the row's edge away from the equator
+def _width(row: Column, size: float) -> Column:
+    """Degrees of longitude of the cells of a row: the box at a latitude is widest at the row's edge away from the
+    equator."""
     edge = F.greatest(F.abs(row + 1), F.abs(row)) * size
-    return F.floor(lon / (size / F.greatest(F.lit(0.2), F.cos(F.radians(edge + size))))).cast("long")
+    return size / F.greatest(F.lit(0.2), F.cos(F.radians(edge + size)))
+
+
+def _part_of(x: Column, size: Column | float) -> Column:
+    """Number of a part along an axis; ``_PARTS`` of them are a cell."""
+    return F.floor(x / size * _PARTS).cast("long")
+
 
+def _cell(part: Column) -> Column:
+    return F.floor(part / _PARTS).cast("long")
 
-def geo_pairs(new: DataFrame, old: DataFrame, rules: Rules = RULES, metres: float | None = None) -> DataFrame:
+
+def geo_pairs(new: DataFrame, old: DataFrame, rules: Rules = RULES, metres: float | None = None, dense: int = 256) -> DataFrame:
     """Pairs of ``new(i, lat, lon, ...)`` and ``old(j, jlat, jlon, ...)`` inside the candidate box of ``metres``
-    (a semantic predicate of its own) with ``i > j``, and their distance.  The probe side stands in nine cells, the
-    other in one; dense cells are skewed keys that adaptive execution splits."""
+    (a semantic predicate of its own) with ``i > j``, and their distance.
+
+    The probe side stands in nine cells, the other in one.  Cells of ``dense`` rows or more are cut into 16 parts, of which
+    a probe looks into those that its box touches: so where reports crowd, fewer pairs outside the box are looked at, and
+    keys are sixteen times smaller.  What is skewed beyond that is a key that adaptive execution splits."""
     metres = rules.limits("SCENE_ELSEWHERE")[1] if metres is None else metres
-    probe = new.withColumn("_c", F.explode(_cells(F.col("lat"), F.col("lon"), metres, 1)))
-    build = old.withColumn("_d", _cells(F.col("jlat"), F.col("jlon"), metres, 0))
+    size = metres / DEGREE_M
+    y, r = _part_of(F.col("jlat"), size), F.col("_r")
+    build = old.withColumn("_y", y).withColumn("_r", _cell(F.col("_y"))).withColumn("_x", _part_of(F.col("jlon"), _width(r, size))).withColumn("_c", _cell(F.col("_x")))
+    crowded = build.groupBy(F.col("_r").alias("_dr"), F.col("_c").alias("_dc")).agg(F.count("*").alias("_n")).filter(F.col("_n") >= dense).select("_dr", "_dc")
+    part = (F.col("_y") - F.col("_r") * _PARTS) * _PARTS + F.col("_x") - F.col("_c") * _PARTS
+    build = build.join(crowded, (F.col("_r") == F.col("_dr")) & (F.col("_c") == F.col("_dc")), "left").withColumn("_part", F.when(F.col("_dr").isNull(), -1).otherwise(part).cast("int")).drop("_y", "_x", "_dr", "_dc")
+
     dlat, dlon = geo.box_half(F.col("lat"), metres)
+    row = _cell(_part_of(F.col("lat"), size))
+    around = F.flatten(F.transform(F.sequence(row - 1, row + 1), lambda q: F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda k: F.struct(q.alias("_pr"), (_cell(_part_of(F.col("lon"), _width(q, size))) + k).alias("_pc")))))
+    probe = new.select("*", F.inline(around)).join(crowded, (F.col("_pr") == F.col("_dr")) & (F.col("_pc") == F.col("_dc")), "left")
+    wide = _width(F.col("_pr"), size)
+
+    def touched(low: Column, high: Column, unit: Column | float, cell: Column) -> tuple[Column, Column]:
+        return F.greatest(_part_of(low, unit) - cell * _PARTS, F.lit(0)), F.least(_part_of(high, unit) - cell * _PARTS, F.lit(_PARTS - 1))
+
+    y0, y1 = touched(F.col("lat") - dlat, F.col("lat") + dlat, size, F.col("_pr"))
+    x0, x1 = touched(F.col("lon") - dlon, F.col("lon") + dlon, wide, F.col("_pc"))
+    parts = F.flatten(F.transform(F.sequence(y0, y1), lambda a: F.transform(F.sequence(x0, x1), lambda b: (a * _PARTS + b).cast("int"))))
+    none = F.array().cast("array<int>")
+    look = F.when(F.col("_dr").isNull(), F.array(F.lit(-1))).when((y0 > y1) | (x0 > x1), none).otherwise(parts)
+    probe = probe.withColumn("_pp", F.explode(look)).drop("_dr", "_dc")
     inside = F.col("jlat").between(F.col("lat") - dlat, F.col("lat") + dlat) & F.col("jlon").between(F.col("lon") - dlon, F.col("lon") + dlon)
-    same = (F.col("_c.row") == F.col("_d.row")) & (F.col("_c.col") == F.col("_d.col"))
+    same = (F.col("_pr") == F.col("_r")) & (F.col("_pc") == F.col("_c")) & (F.col("_pp") == F.col("_part"))
     joined = probe.join(build, same & (F.col("i") > F.col("j")) & inside)
-    return joined.drop("_c", "_d").withColumn("metres", geo.haversine_m(F.col("lat"), F.col("lon"), F.col("jlat"), F.col("jlon")))
+    return joined.drop("_pr", "_pc", "_pp", "_r", "_c", "_part").withColumn("metres", geo.haversine_m(F.col("lat"), F.col("lon"), F.col("jlat"), F.col("jlon")))
 
 
 def hamming_pairs(fps: DataFrame, within: int = 8) -> DataFrame:

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from muralis import config, schema
 from muralis.functions import geo, hashing
-from muralis.operators import sitelog
+from muralis.operators import layout, sitelog
 from muralis.plans.registry import query
+from muralis.scratch import fresh_dir
 from muralis.sources import carrier, dataset_index
 from muralis.sources.carrier import sql
 
@@ -35,6 +36,14 @@ def scan_sites_box(spark, d):
     return carrier.sites(spark, d).filter(F.col("lat").between(*BOX[:2]) & F.col("lon").between(-180, 180)).select("site_id", "lat", "lon")
 
 
+@query("scan_box_clustered", sql("SELECT id, lat, lon FROM reviewed WHERE lat BETWEEN 37.56e0 AND 37.57e0 AND lon BETWEEN 126.97e0 AND 126.985e0 AND state <> 'rejected'"))
+def scan_box_clustered(spark, d):
+    """The box of ``scan_box`` from reports that are laid out along a curve."""
+    path = fresh_dir(spark, "clustered")
+    layout.write_clustered(carrier.reviewed(spark, d).select("id", "lat", "lon", "state"), path)
+    return layout.read_box(spark, path, *BOX).filter("state <> 'rejected'").select("id", "lat", "lon")
+
+
 @query("lookup_pk", sql("SELECT id, device, width FROM reports WHERE id = 77"))
 def lookup_pk(spark, d):
     return carrier.reports(spark, d).filter(F.col("id") == 77).select("id", "device", "width")
