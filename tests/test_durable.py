@@ -52,6 +52,14 @@ def test_any_cut_gives_one_replay(spark, tmp_path, reviewed):
     assert {r.site_key for r in store.sites().collect()} == {i for i, w in want.items() if w[2] == i}
 
 
+def test_slices_give_one_replay(spark):
+    reports, rng = crowd(100, 9), random.Random(4)
+    actions = [{"action_id": k, "report_id": (j := rng.randrange(1, 90)), "action": rng.choice(list(ACTION)), "at_us": reports[j - 1]["received_us"] + 1 + rng.randrange(9_000_000_000)} for k in range(40)]
+    df, acts = frame(spark, reports), acts_frame(spark, actions)
+    whole = {r.id: tuple(r) for r in verify.evaluate(df, acts).collect()}
+    assert {r.id: tuple(r) for r in verify.evaluate_in_slices(df, acts, slices=3).collect()} == whole and len(whole) == 100
+
+
 def test_resent_reports_and_lost_attempts(spark, tmp_path):
     root = f"file://{tmp_path}/store"
     reports = crowd(12, 1)
