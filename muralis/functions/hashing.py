@@ -37,3 +37,10 @@ def sha1_mod100(key: Column) -> Column:
     """The 160-bit SHA-1 of a string modulo 100, digit by digit."""
     digits = F.transform(F.split(F.sha1(key.cast("binary")), ""), lambda d: F.conv(d, 16, 10).cast("int"))
     return F.aggregate(F.filter(digits, lambda d: d.isNotNull()), F.lit(0), lambda acc, d: (acc * 16 + d) % 100)
+
+
+def flip_bits(fp: Column, n: Column, seed: Column) -> Column:
+    """``fp`` with ``n`` different bits of its 64 flipped, drawn by ``seed``: those whose hashes come first."""
+    drawn = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.struct(F.xxhash64(seed, k).alias("h"), k.alias("k"))))
+    taken = F.slice(drawn, F.lit(1), F.greatest(F.lit(0), F.least(n, F.lit(64))).cast("int"))
+    return F.aggregate(taken, fp, lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x["k"])))

@@ -241,10 +241,10 @@ def offset_m(spark, d):
     return carrier.reports(spark, d).select("id", F.round(lat, 9).alias("lat"), F.round(lon, 9).alias("lon"))
 
 
-@query("flip_bits", sql(f"SELECT id, bit_count(xor(fp, (('0x' || substr(md5(id::VARCHAR), 1, 16))::UBIGINT)))::INT AS h FROM reports"))
+@query("flip_bits", sql("SELECT id, (id % 21)::INT AS h, (id % 21) > 0 AS changed FROM reports"))
 def flip_bits(spark, d):
-    mask = hashing.fingerprint(F.substring(F.md5(F.col("id").cast("string").cast("binary")), 1, 16))
-    return carrier.reports(spark, d).select("id", hashing.hamming(F.col("fp"), F.col("fp").bitwiseXOR(F.col("fp")).bitwiseXOR(mask)).alias("h"))
+    flipped = hashing.flip_bits(F.col("fp"), F.col("id") % 21, F.col("id"))
+    return carrier.reports(spark, d).withColumn("to", flipped).select("id", hashing.hamming(F.col("fp"), F.col("to")).alias("h"), (F.col("fp") != F.col("to")).alias("changed"))
 
 
 @query("dt_hours", sql("SELECT id, abs(captured_us - received_us) / 3600000000e0 AS hours, (received_us - captured_us) / 86400000000e0 AS days, (captured_us - received_us) / 60000000e0 AS skew_min FROM reports"))

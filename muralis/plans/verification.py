@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from muralis.config import DELTAS
 from muralis.operators import verify
 from muralis.operators.components import duplicate_roots
+from muralis.operators.reasons import SENTENCES, reasons
 from muralis.plans.joins import BOXED, boxed
 from muralis.plans.registry import query
 from muralis.sources import carrier
@@ -34,6 +35,31 @@ def verify_static(spark, d):
     return verify.verify_static(carrier.reports(spark, d)).withColumn("codes", F.array_join("codes", ","))
 
 
+_TOLD = {
+    "PHOTO_REUSED_ELSEWHERE": "printf('{}', n_far)", "GPS_IMPRECISE": "printf('%.0f', accuracy_m)", "FUTURE_TIMESTAMP": "printf('%.0f', (captured_us - received_us)/60000000e0)",
+    "STALE_PHOTO": "printf('%.0f', (received_us - captured_us)/86400000000e0)", "FLOODING": "printf('%d', prior)",
+}
+
+
+def _sentence(code: str) -> str:
+    """SQL of a code's entry: delta and sentence."""
+    text = SENTENCES[code]
+    if code == "PHOTO_REUSED_ELSEWHERE":
+        said = "replace('" + text.replace("%s", "#", 1).replace("%s", "200") + "', '#', n_far::VARCHAR)"
+    elif code == "IMPLAUSIBLE_WIDTH":
+        said = "'" + text.replace("%s", "50") + "'"
+    else:
+        said = f"replace('{text}', '%s', {_TOLD[code]})" if code in _TOLD else f"'{text}'"
+    return f"CASE WHEN {_CONDITIONS[code]} THEN '{code} ' || ({DELTAS[code]}e0)::VARCHAR || ' ' || {said} END"
+
+
+@query("reason_text", sql(STATIC + "SELECT id, array_to_string(list_filter([" + ", ".join(map(_sentence, _CONDITIONS)) + "], lambda x: x IS NOT NULL), '|') AS reasons FROM decided JOIN floods USING (id) LEFT JOIN far USING (id)"))
+def reason_text(spark, d):
+    coded = verify.with_codes(carrier.reports(spark, d))
+    lines = F.transform(reasons(coded), lambda r: F.concat_ws(" ", r["code"], r["delta"].cast("string"), r["detail"]))
+    return coded.select("id", F.array_join(lines, "|").alias("reasons"))
+
+
 @query("retro_hold", sql(STATIC + ", marked AS (SELECT *, min(CASE WHEN list_contains(codes, 'FLOODING') THEN received_us END) OVER (PARTITION BY device ORDER BY received_us, id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nf FROM decided) SELECT id, CASE WHEN state = 'pending' AND nf <= received_us + 3600000000 THEN 'held' ELSE state END AS state, coalesce(state = 'pending' AND nf <= received_us + 3600000000, false) AS retro FROM marked"))
 def retro_hold(spark, d):
     r = carrier.reports(spark, d)
