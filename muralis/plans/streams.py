@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from muralis.plans.registry import query
+from muralis.plans.verification import FLOOD
 from muralis.scratch import fresh_dir
 from muralis.sources import carrier
 from muralis.sources.carrier import sql
@@ -12,14 +13,6 @@ from muralis.streaming import durable, queue
 from muralis.streaming import reports as streaming
 
 
-def stream_of(spark, d):
-    """The reports as a file stream: written once, in several files."""
-    path = fresh_dir(spark, "stream")
-    r = carrier.reports(spark, d).select("id", F.concat(F.lit("u"), (F.col("id") % 6000).cast("string")).alias("client_uuid"), "device", "received_us")
-    r.repartitionByRange(4, "received_us").write.parquet(f"{path}/in")
-    return spark.readStream.schema(r.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in"), path
-
-
 def arrive(rows, order, path, read, parts):
     """``rows`` come to the folder ``path`` in ``parts``, by ``order``; after each part the stream that ``read`` starts
     runs to the end of what is there, so that each part is a batch, and the stream goes on from its checkpoint."""
@@ -72,11 +65,11 @@ def ingest(spark, d):
     return store.decisions().withColumn("codes", F.array_join("codes", ","))
 
 
-@query("stream_flood")
+@query("stream_flood", sql(f"WITH {FLOOD} SELECT id, device, prior, prior >= 6 AS flooding FROM floods JOIN reports USING (id)"))
 def stream_flood(spark, d):
-    stream, path = stream_of(spark, d)
-    out = streaming.flood(stream)
-    out.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    path = fresh_dir(spark, "flood")
+    rows = carrier.reports(spark, d).select("id", "device", "received_us")
+    arrive(rows, "received_us", f"{path}/in", lambda stream: appended(streaming.flood(stream), path), 3)
     return spark.read.parquet(f"{path}/out")
 
 

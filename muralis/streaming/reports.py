@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Callable
 
 import pandas as pd
@@ -30,17 +31,18 @@ def ingest(stream: DataFrame, target: str, checkpoint: str, decide: Callable[[Da
 
 def _flood(limit: int):
     def run(key, batches, state):
-        """State: the arrival times of the device's last hour."""
-        times: list[int] = list(state.get[0]) if state.exists else []
+        """State: the arrival times of the device's last hour.  A report that comes late, in a later batch, counts those
+        before it that are still known, and is counted by those that come after it."""
+        times: list[int] = list(state.get[0]) if state.exists else []  # ascending
         out = []
         rows = pd.concat(list(batches)).sort_values(["received_us", "id"])
         for r in rows.itertuples(index=False):
-            times = [t for t in times if t >= r.received_us - HOUR]
-            if len(times) >= limit:
-                out.append((r.id, key[0], len(times), True))
-            else:
-                out.append((r.id, key[0], len(times), False))
-            times.append(int(r.received_us))
+            now = int(r.received_us)
+            first = bisect.bisect_left(times, now - HOUR)
+            prior = bisect.bisect_right(times, now) - first
+            out.append((r.id, key[0], prior, prior >= limit))
+            bisect.insort(times, now)
+        del times[: bisect.bisect_left(times, times[-1] - HOUR)]
         state.update((times,))
         yield pd.DataFrame(out, columns=["id", "device", "prior", "flooding"])
 
