@@ -5,7 +5,7 @@ finds the lowest rank among its adjacent pairs, and all sequences apply their ow
 sequence without a known pair is finished, and its surviving symbols are counted.  A count depends on the
 pre-token alone, so each distinct one is merged once for a block and remembered in a memo bounded in bytes.
 
-Defined cases: null and empty texts count 0 tokens and 0 bytes; special strings inside a text count as the library
+Defined cases: null and empty texts count 0 tokens and 0 bytes; a very long text is a block of its own, counted whole; special strings inside a text count as the library
 counts them, one token each; repeated rows are counted again; an empty table gives no rows; further columns are
 ignored.  Texts with pre-token classes that the simple pattern doesn't know (see ``bpe_encode.PLAIN``) are split by
 the library's own pre-tokenizer.

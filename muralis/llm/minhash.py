@@ -24,7 +24,8 @@ edits of their own that is the least edited one, to which a copy is more similar
 At a similarity of 0.8 the default 20 bands of 4 slots miss a pair with probability 3e-5, whatever the size of the
 bucket that it shares.
 
-Defined cases: null and empty texts, and those without words, are a class each; ties in arrival don't occur; rows
+Defined cases: null and empty texts, and those without words, are a class each; a very long text is a block of its own and
+is taken whole; ties in arrival don't occur; rows
 that repeat an id are rows of their own; an empty table gives no rows; further columns are ignored.  Verification
 compares 64-bit digests of (shingle, occurrence).
 

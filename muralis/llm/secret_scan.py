@@ -9,7 +9,7 @@ rules of either case and only widens the candidates of case-sensitive ones.
 The blocks are those in which Arrow hands texts to a worker; postings live as long as their block, so memory is
 bounded by it and nothing is shuffled.  ``postings`` returns them as rows, for an index that is kept.
 
-Defined cases: null and empty texts have no spans; repeated rows are each reported; spans of one start come in the
+Defined cases: null and empty texts have no spans; a very long text is searched whole; repeated rows are each reported; spans of one start come in the
 rules' order; an empty table gives no rows; further columns are ignored.
 """
 
