@@ -184,7 +184,7 @@ def sum_of_squares(lengths: list[int], capacity: int) -> tuple[list[int], list[i
 def _level(parts: DataFrame, number: int, capacity: int, block: int) -> tuple[DataFrame, int]:
     """``parts`` with ``sequence_id``, ``offset`` and ``gap``, and the number of blocks.  In a block, pieces of over a
     sixteenth of a sequence come first, in an order drawn by a hash, as sums of squares do well on pieces that come in no
-    order; the shorter ones follow by length, to fill what gaps are left."""
+    order; the shorter ones follow by length, to fill what gaps are left.  A task packs its blocks one after the other."""
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "twin"]
     n_blocks = max(1, -(-parts.count() // block))
     kind = parts.select(*names).schema
@@ -215,7 +215,7 @@ def _level(parts: DataFrame, number: int, capacity: int, block: int) -> tuple[Da
 
     dealt = parts.select(*names, F.pmod(draw(number), F.lit(n_blocks)).alias("block"))
     dealt = dealt.withColumn("turn", F.when(F.col("length") > capacity // 16, draw(-number))).withColumn("late", F.col("turn").isNull())
-    dealt = dealt.repartition(n_blocks, "block").sortWithinPartitions("block", "late", F.desc("turn"), F.desc("length"), "doc_id", "piece", "ids_crc32", "twin").select(*names, "block")
+    dealt = dealt.repartition("block").sortWithinPartitions("block", "late", F.desc("turn"), F.desc("length"), "doc_id", "piece", "ids_crc32", "twin").select(*names, "block")
     columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kind)
     return dealt.mapInArrow(pack, f"{columns}, sequence_id long, offset long, gap long"), n_blocks
 
