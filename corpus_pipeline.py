@@ -3,6 +3,10 @@
 ``STAGES`` lists ``(name, function)``; a function takes ``(spark, docs, sf_dir)``.  All but the last return the
 columns of ``documents``.  Decisions come back to their rows by the row's key, a hash of id and text, so rows that
 repeat an id are judged each on its own text.
+
+Defined cases, for every stage: null and empty texts have no words, so quality rules reject them; null ids and sources are
+values like others; very long texts are taken whole; of rows that share id and text one stays at near-duplicates, the
+first by its other columns; an empty table passes through all stages; further columns of any name are carried along.
 """
 
 from __future__ import annotations
