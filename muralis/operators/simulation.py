@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from muralis.operators.pairs import with_parent
+
 LEGIT, BAD, DUPLICATES = ("first", "followup", "corroborate"), ("prank_junk", "prank_reused", "wrong_building", "flood"), ("first", "double_tap", "viral")
 CONVINCING = "prank_convincing"
 
@@ -25,8 +27,8 @@ def rates(rows: DataFrame) -> DataFrame:
     """One row: shares of bad rows held, and held or merged, of convincing pranks held, duplicates merged, legitimate
     rows held or merged wrongly, follow-ups linked to their wall's main site; and the number of mixed sites."""
     mixed = mixed_sites(rows).count()
-    parent = rows.select(F.col("id").alias("duplicate_of"), F.col("wall").alias("pwall"), F.col("kind").alias("pkind"))
-    x = rows.join(parent, "duplicate_of", "left").join(main_sites(rows), "wall", "left")
+    parent = rows.select(F.col("id").alias("pid"), F.col("wall").alias("pwall"), F.col("kind").alias("pkind"))
+    x = with_parent(rows, parent).join(main_sites(rows), "wall", "left")
     kind, state = F.col("kind"), F.col("state")
     same = (F.col("pwall") == F.col("wall")) & F.col("pkind").isin(*DUPLICATES) & kind.isin(*DUPLICATES)
     caught = F.coalesce(same, F.lit(False)) & (state == "merged")
