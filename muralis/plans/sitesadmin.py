@@ -139,7 +139,7 @@ def agg_count_by_state(spark, d):
 
 @query("agg_reason_counts", sql(STATIC + "SELECT code, count(*) AS n FROM (SELECT unnest(codes) AS code FROM decided) GROUP BY code"))
 def agg_reason_counts(spark, d):
-    codes = verify.with_codes(carrier.reports(spark, d))
+    codes = verify.with_codes(carrier.reports(spark, d), ties=True)
     return codes.select(F.explode("codes").alias("code")).groupBy("code").agg(F.count("*").alias("n"))
 
 

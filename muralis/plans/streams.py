@@ -69,7 +69,7 @@ def ingest(spark, d):
 def stream_flood(spark, d):
     path = fresh_dir(spark, "flood")
     rows = carrier.reports(spark, d).select("id", "device", "received_us")
-    arrive(rows, "received_us", f"{path}/in", lambda stream: appended(streaming.flood(stream), path), 3)
+    arrive(rows, "received_us", f"{path}/in", lambda stream: appended(streaming.flood(stream, ties=True), path), 3)
     return spark.read.parquet(f"{path}/out")
 
 

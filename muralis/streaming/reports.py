@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import bisect
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
@@ -29,26 +29,23 @@ def ingest(stream: DataFrame, target: str, checkpoint: str, decide: Callable[[Da
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _flood(limit: int):
+def _flood(limit: int, ties: bool):
     def run(key, batches, state):
         """State: the arrival times of the device's last hour.  A report that comes late, in a later batch, counts those
         before it that are still known, and is counted by those that come after it."""
-        times: list[int] = list(state.get[0]) if state.exists else []  # ascending
-        out = []
         rows = pd.concat(list(batches)).sort_values(["received_us", "id"])
-        for r in rows.itertuples(index=False):
-            now = int(r.received_us)
-            first = bisect.bisect_left(times, now - HOUR)
-            prior = bisect.bisect_right(times, now) - first
-            out.append((r.id, key[0], prior, prior >= limit))
-            bisect.insort(times, now)
-        del times[: bisect.bisect_left(times, times[-1] - HOUR)]
-        state.update((times,))
-        yield pd.DataFrame(out, columns=["id", "device", "prior", "flooding"])
+        now = rows.received_us.to_numpy(dtype="int64")
+        times = np.sort(np.concatenate([np.array(state.get[0] if state.exists else [], dtype="int64"), now]))
+        prior = np.searchsorted(times, now, "right") - np.searchsorted(times, now - HOUR, "left") - 1
+        if not ties:  # less those of the same moment that come after
+            prior -= np.searchsorted(now, now, "right") - 1 - np.arange(len(now))
+        state.update((times[np.searchsorted(times, times[-1] - HOUR, "left") :].tolist(),))
+        yield pd.DataFrame({"id": rows.id, "device": key[0], "prior": prior, "flooding": prior >= limit})
 
     return run
 
 
-def flood(stream: DataFrame, limit: int = 6) -> DataFrame:
-    """``(id, device, prior, flooding)`` of each report of a stream, in arrival order of each device."""
-    return stream.groupBy("device").applyInPandasWithState(_flood(limit), "id long, device string, prior long, flooding boolean", "times array<long>", "append", "NoTimeout")
+def flood(stream: DataFrame, limit: int = 6, ties: bool = False) -> DataFrame:
+    """``(id, device, prior, flooding)`` of each report of a stream, in arrival order of each device; with ``ties``, reports
+    of the same moment that come in one batch count each other."""
+    return stream.groupBy("device").applyInPandasWithState(_flood(limit, ties), "id long, device string, prior long, flooding boolean", "times array<long>", "append", "NoTimeout")
