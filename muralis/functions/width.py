@@ -8,12 +8,31 @@ from pyspark.sql import functions as F
 from muralis.config import EXPERT, EXPERT_MM, FLOOR_PX, HOLD, MAX_SCALE_UNCERTAINTY, MEASURABLE_PX, OBSERVE, REPRESENTATIVE
 
 
+def _halves(x: Column) -> tuple[Column, Column]:
+    """A double as a sum of two of 26 bits."""
+    t = x * F.lit(134217729.0)
+    high = t - (t - x)
+    return high, x - high
+
+
+def product_sum(a: Column, b: Column, c: Column) -> Column:
+    """``a * b + c`` with one rounding: the product's and the sum's own errors are added at the end."""
+    (a1, a0), (b1, b0) = _halves(a), _halves(b)
+    p, s = a * b, a * b + c
+    lost = ((a1 * b1 - p) + a1 * b0 + a0 * b1) + a0 * b0
+    rest = s - p
+    return F.nanvl(s + (((p - (s - rest)) + (c - rest)) + lost), s)
+
+
 def percentile_sorted(xs: Column, q: float) -> Column:
-    """Linear percentile of a sorted array; null if empty."""
-    at = (F.size(xs) - 1) * F.lit(q)
-    low, high = F.floor(at).cast("int"), F.ceil(at).cast("int")
-    a, b = F.get(xs, low), F.get(xs, high)
-    return F.when(F.size(xs) > 0, a + (b - a) * (at - low))
+    """Linear percentile of a sorted array; null if empty.  Both neighbours are weighed and summed with one rounding, as
+    DuckDB does, so that a comparison with a limit comes out alike."""
+    at = F.greatest(F.size(xs) - 1, F.lit(0)) * F.lit(q)
+    low = F.floor(at).cast("int")
+    # one element, so that its fields are computed once
+    ends = F.array(F.struct(F.get(xs, low).cast("double").alias("a"), F.get(xs, F.ceil(at).cast("int")).cast("double").alias("b"), (at - low).alias("w")))
+    mixed = F.transform(ends, lambda e: F.when(e["w"] == 0, e["a"]).otherwise(product_sum(e["a"], 1 - e["w"], e["b"] * e["w"])))
+    return F.when(F.size(xs) > 0, F.get(mixed, F.lit(0)))
 
 
 def scale_from_card(corner_error: Column, anisotropy: Column) -> Column:

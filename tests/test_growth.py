@@ -92,3 +92,19 @@ def test_pairs_of_one_group_are_many_keys(spark, plain):
 def test_devices_of_a_wall_are_counted_not_listed(spark):
     plan = joins.anti_self_device(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_set" not in plan
+
+
+def test_percentiles_to_the_last_bit(spark):
+    from pyspark.sql import functions as F
+
+    from muralis.functions import width
+
+    rng = random.Random(4)
+    lists = [(sorted(rng.randrange(1, 51) / 5 for _ in range(rng.randrange(1, 9))),) for _ in range(3000)]
+    df = spark.createDataFrame(lists, "xs array<double>")
+    db = duckdb.connect()
+    db.execute("CREATE TABLE t (xs DOUBLE[])")
+    db.executemany("INSERT INTO t VALUES (?)", lists)
+    for q in (0.9, 0.5, 0.75, 0.25):
+        got = sorted(tuple(r) for r in df.select("xs", width.percentile_sorted(F.col("xs"), q)).collect())
+        assert got == sorted(db.execute(f"SELECT xs, list_aggregate(xs, 'quantile_cont', {q}) FROM t").fetchall())
