@@ -176,27 +176,88 @@ def _fits(n: str, m: str, similarity: float) -> Column:
     return F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9
 
 
-def prefix_pairs(docs: DataFrame, items: DataFrame, similarity: float, step: float = 1.1) -> DataFrame:
+def _slot(item: np.ndarray, bits: int) -> np.ndarray:
+    return (item.view(_U) >> _U(64 - bits)).astype(np.int64)
+
+
+def _listed(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the list and value of each value of an Arrow column of lists."""
+    sizes = lists.value_lengths().to_numpy()
+    return np.repeat(np.arange(len(sizes)), sizes), lists.flatten().to_numpy()
+
+
+def item_levels(each: DataFrame, bits: int, parts: int = 64) -> np.ndarray:
+    """How often the ``items`` of all rows fall into each of ``2**bits`` slots, by their leading bits: 0 never, 1 once, from
+    there a step for each eighth of a power of two.  A task adds up its own rows, then each part of the slots is added up by
+    one task, so no item is a row; the driver joins the parts, whose total size is fixed."""
+    size = (1 << bits) // parts
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            total = np.zeros(1 << bits, np.int64) if total is None else total
+            slot, n = np.unique(_slot(_listed(batch.column(0))[1], bits), return_counts=True)
+            total[slot] += n
+        for p in range(parts if total is not None else 0):
+            own = total[p * size : (p + 1) * size]
+            at = np.flatnonzero(own)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([at.tobytes()], pa.binary()), pa.array([own[at].tobytes()], pa.binary())], ["p", "at", "n"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for p, at, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                sums.setdefault(p, np.zeros(size, np.int64))[np.frombuffer(at, np.int64)] += np.frombuffer(n, np.int64)
+        for p, n in sums.items():
+            level = np.where(n > 0, 1 + np.round(8 * np.log2(np.maximum(n, 1))), 0).clip(max=255).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([level.tobytes()], pa.binary())], ["p", "level"])
+
+    out = np.zeros(1 << bits, np.uint8)
+    found = each.select("items").mapInArrow(count, "p int, at binary, n binary").repartition(parts, "p")
+    for p, level in found.mapInArrow(add, "p int, level binary").collect():
+        out[p * size : (p + 1) * size] = np.frombuffer(level, np.uint8)
+    return out
+
+
+def prefix_pairs(docs: DataFrame, items: DataFrame, similarity: float, step: float = 1.1, bits: int = 22) -> DataFrame:
     """``(p, q)``: all pairs of ``docs(fp, n, comp)`` of different ``comp`` that can have the wanted similarity.
 
-    Items are ordered by rarity.  A pair of n and m items needs ``similarity / (1 + similarity) * (n + m)`` common
-    ones, so if its first common item stands i-th, then ``m <= reach = (n - i + 1) * (1 + similarity) / similarity - n``.
+    Items are ordered by rarity, that of their slot of ``2**bits`` (``item_levels``), then by value: any order that all
+    texts share misses no pair.  An item that is alone in its slot stands in one text.  A pair of n and m items needs
+    ``similarity / (1 + similarity) * (n + m)`` common ones, so if its first common item stands i-th, then
+    ``m <= reach = (n - i + 1) * (1 + similarity) / similarity - n``.
     The longer text looks an item up in the length classes (a factor of ``step`` each) from ``similarity * n`` to its
     reach, where the shorter one stands if it reaches its own length.  In each of these lists the members of the most
     common component meet only the others, never each other."""
-    each = docs.join(items, "fp").select("fp", "n", "comp", F.explode(F.array_distinct("items")).alias("item"))
-    rarity = each.groupBy("item").agg(F.count("*").alias("df"))
-    ranked = each.join(rarity, "item").groupBy("fp", "n", "comp").agg(F.sort_array(F.collect_list(F.struct("df", "item"))).alias("r"))
+    each = stash(docs.join(items, "fp").select("fp", "n", "comp", "items"), "itemised")
+    levels = docs.sparkSession.sparkContext.broadcast(item_levels(each, bits))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owner, item = _listed(batch.column(3))
+            n = batch.column(1).to_numpy()
+            level = levels.value[_slot(item, bits)]
+            order = np.lexsort((item, level, owner))
+            owner, item, level = owner[order], item[order], level[order]
+            new = np.append(True, (item[1:] != item[:-1]) | (owner[1:] != owner[:-1]))[: len(item)]
+            owner, item, level = owner[new], item[new], level[new]
+            at = np.arange(len(item)) - np.searchsorted(owner, owner)
+            shortest = np.ceil(similarity * n - 1e-6).astype(np.int64)
+            keep = (at <= (n - shortest)[owner]) & (level > 1)
+            owner, left = owner[keep], (n[owner] - at)[keep]  # what can be common from this item on
+            own = pa.array(owner)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), batch.column(2).take(own), pa.array(item[keep]), pa.array(left)], ["fp", "n", "comp", "item", "left"])
+
     shortest = F.ceil(similarity * F.col("n") - 1e-6).cast("int")
-    prefix = ranked.select("fp", "n", "comp", F.posexplode(F.slice("r", F.lit(1), F.col("n").cast("int") - shortest + 1)).alias("at", "x")).filter("x.df > 1")
-    left = F.col("n") - F.col("at")  # what can be common from this item on
-    reach = F.floor(left * (1 + similarity) / similarity - F.col("n") + 1e-6)
+    reach = F.floor(F.col("left") * (1 + similarity) / similarity - F.col("n") + 1e-6)
     cls = lambda m: F.floor(F.log(m.cast("double")) / float(np.log(step))).cast("int")
-    prefix = prefix.select("fp", "n", "comp", F.col("x.item").alias("item"), left.alias("left"), reach.alias("reach"))
+    prefix = each.mapInArrow(run, "fp binary, n long, comp binary, item long, left long").withColumn("reach", reach)
     shorter = prefix.filter("reach >= n").select("item", cls(F.col("n")).alias("cls"), "comp", "fp", "n", "left", F.lit(False).alias("looks"))
     farthest = F.least("n", "reach")
     longer = prefix.filter(farthest >= shortest).select("item", F.explode(F.sequence(cls(shortest), cls(farthest))).alias("cls"), "comp", "fp", "n", "left", F.lit(True).alias("looks"))
     entries = stash(shorter.union(longer), "prefixes")
+    release(each)
     lists = entries.groupBy("item", "cls", "comp").agg(F.count("*").alias("k"), F.bool_or("looks").alias("looked"), F.bool_or(~F.col("looks")).alias("stands"))
     lists = lists.groupBy("item", "cls").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), (F.count("*") > 1).alias("mixed"), (F.bool_or("looked") & F.bool_or("stands")).alias("meet"))
     entries = entries.join(lists.filter("mixed and meet").drop("mixed", "meet"), ["item", "cls"]).withColumn("is_main", F.col("comp") == F.col("main"))
