@@ -108,3 +108,27 @@ def test_percentiles_to_the_last_bit(spark):
     for q in (0.9, 0.5, 0.75, 0.25):
         got = sorted(tuple(r) for r in df.select("xs", width.percentile_sorted(F.col("xs"), q)).collect())
         assert got == sorted(db.execute(f"SELECT xs, list_aggregate(xs, 'quantile_cont', {q}) FROM t").fetchall())
+
+
+def test_a_stored_batch_sends_nothing_out(spark, tmp_path, monkeypatch):
+    """Files are many times smaller than their rows, so small ones were sent out through the driver."""
+    from muralis.operators import components
+    from muralis.sources import carrier
+    from muralis.streaming import durable
+
+    plans = []
+
+    def noted(df, label, kept=verify.written):
+        plans.append((label, df._jdf.queryExecution().sparkPlan().toString()))
+        return kept(df, label)
+
+    for module in (verify, pairs, components):
+        monkeypatch.setattr(module, "written", noted)
+    store = durable.Store(spark, str(tmp_path / "store"))
+    rows = carrier.reports(spark, "/root/testdata/sf0.001")
+    store.commit(0, rows.filter("id <= 600"))
+    store.commit(1, rows.filter("id > 600"))
+    assert {"coded", "pairs", "events", "decisions"} <= {label for label, _ in plans}
+    # one row for each device
+    sent = [label for label, plan in plans if "BroadcastHashJoin" in plan.replace("BroadcastHashJoin [_pr", "").replace("BroadcastHashJoin [_r", "").replace("BroadcastHashJoin [coalesce(device", "")]
+    assert not sent
