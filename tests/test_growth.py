@@ -132,3 +132,22 @@ def test_a_stored_batch_sends_nothing_out(spark, tmp_path, monkeypatch):
     # one row for each device
     sent = [label for label, plan in plans if "BroadcastHashJoin" in plan.replace("BroadcastHashJoin [_pr", "").replace("BroadcastHashJoin [_r", "").replace("BroadcastHashJoin [coalesce(device", "")]
     assert not sent
+
+
+def test_links_of_one_place_are_no_rows(spark, monkeypatch):
+    """A place's pairs were written, and listed for each report."""
+    sizes = {}
+
+    def noted(df, label, kept=verify.written):
+        out = kept(df, label)
+        sizes[label] = out.count()
+        return out
+
+    monkeypatch.setattr(verify, "written", noted)
+    rows = spark.range(1, 301).selectExpr(
+        "id", "'d' || id % 7 as device", "id * 400000000 as received_us", "id * 400000000 as captured_us", "37.5 as lat", "127.0 as lon", "8.0D as accuracy_m", "0.2D as blur_score", "true as patch_found",
+        "'good' as quality", "1 as n_cracks", "0.8D as width", "if(id = 200, null, 7L) as fp").selectExpr("*", "double(lat) as y", "double(lon) as x").drop("lat", "lon").withColumnsRenamed({"y": "lat", "x": "lon"})
+    found = {r.id: r for r in verify.decide(rows).collect()}
+    assert sizes["pairs"] <= 600 and len(found) == 300
+    assert found[1].state == "pending" and found[200].duplicate_of is None
+    assert all(r.duplicate_of == 1 for i, r in found.items() if i not in (1, 200))
