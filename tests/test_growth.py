@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 from muralis.functions import hashing
-from muralis.operators import pairs, verify
+from muralis.operators import blocks, pairs, verify
 from muralis.plans import joins
 from muralis.streaming import reports as streaming
 
@@ -151,3 +151,17 @@ def test_links_of_one_place_are_no_rows(spark, monkeypatch):
     assert sizes["pairs"] <= 600 and len(found) == 300
     assert found[1].state == "pending" and found[200].duplicate_of is None
     assert all(r.duplicate_of == 1 for i, r in found.items() if i not in (1, 200))
+
+
+def test_close_pairs_are_never_joined(spark):
+    """They were rows of a join; fingerprints differ in the sign bit too."""
+    rng = random.Random(6)
+    near = lambda a: a + rng.choice([0, 2e-4, 1e-3])
+    rows = [(i, near(37.5), near(127.0), rng.choice([5.0, 40.0, None]), rng.choice([-7, 7]) ^ rng.choice([0, 1 << 40]), rng.choice(["a", "b", None]), i * 10**9) for i in range(1, 200)]
+    df = spark.createDataFrame(rows, "id long, lat double, lon double, accuracy_m double, fp long, device string, captured_us long")
+    found = blocks.close_pairs(df, 60.0, joins.in_scene, bits=18, block=30)
+    assert "Join [_pr" not in found._jdf.queryExecution().sparkPlan().toString()
+    old = pairs.geo_pairs(df.withColumnRenamed("id", "i"), df.selectExpr("id as j", "lat as jlat", "lon as jlon", "fp as jfp"), metres=60.0)
+    want = old.filter("metres <= least(50D, greatest(15D, accuracy_m)) and bit_count(fp ^ jfp) <= 18").selectExpr("i", "j", "bit_count(fp ^ jfp) as h")
+    pairs_of = sorted((r.i, r.j, r.h) for r in want.collect())
+    assert sorted((r.i, r.j, r.h) for r in found.collect()) == pairs_of and len(pairs_of) > 500
