@@ -165,3 +165,23 @@ def test_close_pairs_are_never_joined(spark):
     want = old.filter("metres <= least(50D, greatest(15D, accuracy_m)) and bit_count(fp ^ jfp) <= 18").selectExpr("i", "j", "bit_count(fp ^ jfp) as h")
     pairs_of = sorted((r.i, r.j, r.h) for r in want.collect())
     assert sorted((r.i, r.j, r.h) for r in found.collect()) == pairs_of and len(pairs_of) > 500
+
+
+def test_busy_device_is_many_tasks(spark, tmp_path, plain):
+    """Each task of a batch writes a file: the log of one device, whose link mostly works, must not be one file."""
+    from pyspark.sql import functions as F
+
+    from muralis.streaming import queue
+    from tests.test_durable import MIN, QUEUE, brute_queue
+
+    rng = random.Random(5)
+    rows = [("busy", i * MIN + 77, i, f"u{i // 3}", rng.random() < 0.8, rng.random() < 0.9) for i in range(2880)]
+    df = spark.createDataFrame(rows, QUEUE.replace("timestamp", "long")).withColumn("at", F.timestamp_micros("at"))
+    df.coalesce(1).write.parquet(f"{tmp_path}/in")
+    queue.use_rocksdb(spark)
+    log = queue.offline_queue(spark.readStream.schema(QUEUE).parquet(f"{tmp_path}/in"), "30 minutes")
+    log.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.parquet(f"{tmp_path}/out")
+    assert sorted((tuple(r) for r in out.collect()), key=repr) == brute_queue(rows, rows[-1][1] // 1000 * 1000 - 30 * MIN)
+    sizes = [r["count"] for r in out.groupBy(F.input_file_name()).count().collect()]
+    assert max(sizes) < 0.6 * sum(sizes)
