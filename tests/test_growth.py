@@ -185,3 +185,19 @@ def test_busy_device_is_many_tasks(spark, tmp_path, plain):
     assert sorted((tuple(r) for r in out.collect()), key=repr) == brute_queue(rows, rows[-1][1] // 1000 * 1000 - 30 * MIN)
     sizes = [r["count"] for r in out.groupBy(F.input_file_name()).count().collect()]
     assert max(sizes) < 0.6 * sum(sizes)
+
+
+def test_queue_of_rows_with_nulls(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from muralis.streaming import queue
+    from tests.test_durable import MIN, QUEUE
+
+    rows = [("a", MIN, None, "u1", None, True), ("a", MIN, 4, "u2", True, None), ("a", None, 5, "u3", True, True), (None, 2 * MIN, 6, None, True, True), ("a", 90 * MIN, 7, "u4", True, True)]
+    df = spark.createDataFrame(rows, QUEUE.replace("timestamp", "long")).withColumn("at", F.timestamp_micros("at"))
+    df.coalesce(1).write.parquet(f"{tmp_path}/in")
+    queue.use_rocksdb(spark)
+    log = queue.offline_queue(spark.readStream.schema(QUEUE).parquet(f"{tmp_path}/in"), "30 minutes")
+    log.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    want = [("a", "u1", MIN, 1, MIN, "failed"), ("a", "u1", MIN, 2, MIN, "sent"), ("a", "u2", MIN, 1, MIN, "refused"), (None, None, 2 * MIN, 1, 2 * MIN, "sent")]
+    assert sorted((tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect()), key=repr) == sorted(want, key=repr)
