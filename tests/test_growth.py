@@ -260,3 +260,15 @@ def test_counts_and_pairs_of_spots(spark):
     want = boxed(df, 500.0).filter("metres > 50 and metres <= 500 and h <= 12")
     pairs_of = sorted((r.i, r.j, r.h) for r in want.collect())
     assert sorted((r.i, r.j, r.h) for r in listed.collect()) == pairs_of and len(pairs_of) > 1000
+
+
+def test_pairs_within_hours_of_spots(spark):
+    """A place's reports of all times were paired, and those of other days left out afterwards."""
+    df = near_rows(spark, 300, 11).selectExpr("id", "lat", "lon", "fp", "accuracy_m", "device", "if(id % 17 = 0, null, id % 9 * 30000000000 + id * 1000) as captured_us")
+    got = blocks.close_pairs(df, 60.0, joins.repeated, bits=18, spot=joins.near, hours=24.0, block=16)
+    few = got.select("i", "j").collect()
+    old = blocks.close_pairs(df, 60.0, joins.repeated, bits=18, block=16)
+    assert sorted((r.i, r.j) for r in few) == sorted((r.i, r.j) for r in old.select("i", "j").collect()) and len(few) > 100
+    rows = df.select("id", "device", "captured_us", "lat", "lon", "fp").collect()
+    at = {r.id: r for r in rows}
+    assert all(abs(at[r.i].captured_us - at[r.j].captured_us) <= 24 * 3.6e9 for r in few)
